@@ -36,7 +36,13 @@ from .operators.profiles import (
     target_links,
     target_profiles,
 )
-from .operators.similarity import similarity, similarity_all_pairs, target_vectors, thesaurus
+from .operators.similarity import (
+    similarity,
+    similarity_all_pairs,
+    target_vectors,
+    thesaurus,
+    vector_parts,
+)
 from .operators.substitution import sentence_variants, substitute_sentence
 from .operators.thesaurus import (
     context_trigrams,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WHITE_SPACE, split_fields, token_windows, tokenize
+from ..functions.text import WHITE_SPACE, clean_line, split_fields, token_windows, tokenize
 
 
 def corpus_lines(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -23,7 +23,9 @@ def windows(lines: DataFrame, n: int, clean: bool = False, line: str = "line") -
 
     A line shorter than ``n`` gives one window with nulls at the end.
     """
-    tokens = lines.select(tokenize(line, clean).alias("tokens"))
+    if clean:
+        lines, line = lines.select(clean_line(line).alias("cleaned")), "cleaned"
+    tokens = lines.select(tokenize(line).alias("tokens"))
     return tokens.select(F.explode(token_windows("tokens", n)).alias("w")).select("w.*")
 
 

@@ -48,6 +48,25 @@ def target_vectors(pair_counts: DataFrame) -> DataFrame:
     )
 
 
+def vector_parts(pair_counts: DataFrame, size: int = 500) -> DataFrame:
+    """Vectors as maps: each target in parts of about ``size`` contexts.
+
+    A frequent target has more contexts than one row should hold, so its contexts are
+    dealt over ``ceil(contexts / size)`` parts by a hash any engine can repeat.
+    """
+    parts = (
+        pair_counts.groupBy("target")
+        .agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+    )
+    digest = F.conv(F.left(F.md5("context"), F.lit(8)), 16, 10).cast("bigint")
+    return (
+        pair_counts.join(parts, "target")
+        .withColumn("part", F.pmod(digest, F.col("parts")))
+        .groupBy("target", "part")
+        .agg(F.map_from_entries(F.collect_list(F.struct("context", "n"))).alias("vector"))
+    )
+
+
 def association_filter(pair_counts: DataFrame, assoc_min: float | None) -> DataFrame:
     """Keep pairs counted more than ``assoc_min`` times."""
     rows = pair_counts.select("target", "context", "n")
