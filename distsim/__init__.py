@@ -38,7 +38,6 @@ from .operators.profiles import (
 )
 from .operators.similarity import (
     similarity,
-    similarity_all_pairs,
     target_vectors,
     thesaurus,
     vector_parts,

@@ -112,18 +112,16 @@ def relative_entropy(p: Column, q: Column) -> Column:
     return F.when(p == 0, F.lit(0.0)).otherwise(p * F.ln(p / smoothed))
 
 
-def cosine(dot: Column, sumsq1: Column, sumsq2: Column) -> Column:
-    norm = F.sqrt(sumsq1) * F.sqrt(sumsq2)
-    return F.when(norm != 0, dot / norm).otherwise(F.lit(0.0))
+def ratio(part: Column, whole: Column) -> Column:
+    """``part / whole``, zero for an empty whole.
 
-
-def lin(shared: Column, total1: Column, total2: Column) -> Column:
-    """``shared`` is the sum of both weights over the shared contexts."""
-    total = total1 + total2
-    return F.when(total != 0, shared / total).otherwise(F.lit(0.0))
+    Gives the cosine from dot product and norms, and Lin's measure from the summed
+    weights over the shared contexts and over all contexts.
+    """
+    return F.when(whole != 0, part / whole).otherwise(F.lit(0.0))
 
 
-def weighted_jaccard(shared: Column, total1: Column, total2: Column) -> Column:
+def weighted_jaccard(shared: Column, total: Column) -> Column:
+    """Half the summed weights over the shared contexts, over the rest of the total."""
     half = shared / F.lit(2.0)
-    rest = total1 + total2 - half
-    return F.when(rest != 0, half / rest).otherwise(F.lit(0.0))
+    return ratio(half, total - half)

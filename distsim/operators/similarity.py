@@ -11,32 +11,49 @@ vectors never have to be gathered into one row:
   depends on its own weight alone, so the total of those terms over the whole vector,
   less the shared part, gives the unshared part.
 
-The pairs come from a self-join on context. A context with many targets is split into
-blocks of about ``block_size`` targets, and the join key becomes (context, block of the
-one, block of the other): work per key stays bounded however frequent a context is,
-and the number of tasks does not follow the bytes of the posting lists, which say
-little about the work in them.
+The matrix of target pairs is cut into cells. Targets fall into ``blocks`` blocks by
+hash; a vector entry goes to every cell of its block's row and column; one cell is
+joined on context. Three things follow:
+
+* a frequent context costs every cell the same share, and a frequent target is spread
+  over ``blocks`` cells, so no key is hot;
+* all shared contexts of a pair meet in one cell, so the rows of pairs, by far the
+  largest table of the job, are summed and filtered where they arise and never
+  shuffled: only the entries are, ``blocks + 1`` times;
+* the number of tasks is fixed by ``partitions``. Adaptive coalescing would go by the
+  bytes of the entries, which say little about the pairs they make.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
 
-BLOCK_SIZE = 1000
+MEASURES = ["cosine", "wjaccard", "lin", "l1", "l2", "jsd", "randomic", "askew1", "askew2"]
 
-# Above this cosine threshold the pruned join is cheaper (see similarity_pruned).
-PRUNE_FROM = 0.5
+# Cells per partition: enough for an even load, few enough to keep copies of entries low.
+CELLS_PER_PARTITION = 8
 
-MEASURES = ["cosine", "wjaccard", "lin", "l1", "l2", "jsd", "randomic", "askew1", "askew2"]
+# A context no vector can have, since a line has no line break.
+NO_CONTEXT = "\n"
 
 
-def _join_partitions(spark: SparkSession) -> int:
-    # Partitions of a posting join produce far more rows than they read, which adaptive
-    # coalescing by bytes would not see; a fixed number keeps all cores busy.
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _grid(
+    spark: SparkSession, partitions: int | None, blocks: int | None
+) -> tuple[int, int]:
+    """Number of join partitions, and of blocks so that their pairs fill them evenly."""
+    if partitions is None:
+        partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if blocks is None:
+        blocks = math.ceil(math.sqrt(2 * CELLS_PER_PARTITION * partitions))
+    # Both join sides are partitioned by cell. Without this, Spark would shuffle them
+    # again by cell and context, and then the pairs by target. It changes no result.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return partitions, blocks
 
 
 def target_vectors(pair_counts: DataFrame) -> DataFrame:
@@ -89,70 +106,89 @@ def _totals(entries: DataFrame, distances: bool, jsd: str) -> DataFrame:
     return entries.groupBy("target").agg(*aggregates)
 
 
-def _postings(entries: DataFrame, distances: bool, jsd: str, block_size: int) -> DataFrame:
-    """Vector entries with the totals of their target and the block they fall in."""
-    frequent = (
-        entries.groupBy("context")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .where(F.col("df") > block_size)
-        .select("context", F.ceil(F.col("df") / block_size).cast("int").alias("blocks"))
-    )
-    return (
-        entries.join(_totals(entries, distances, jsd), "target")
-        .join(frequent, "context", "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("block", F.pmod(F.hash("target"), F.col("blocks")))
-    )
-
-
-def _shared_sums(postings: DataFrame, distances: bool, jsd: str) -> DataFrame:
-    """Sums over shared contexts for every pair of targets that shares one.
+def _cells(
+    entries: DataFrame, distances: bool, jsd: str, all_pairs: bool, partitions: int, blocks: int
+) -> DataFrame:
+    """Pairs of entries on a shared context, each pair of targets in one cell (i, j).
 
-    ``target1 < target2``. The totals of both targets travel with the rows, so that the
-    table of pairs, the largest of the job, is shuffled once and never joined again.
+    The totals of both targets travel with the rows.
     """
-    partitions = _join_partitions(postings.sparkSession)
-    totals = ["s", "q", "own"] if distances else ["s", "q"]
+    totals = _totals(entries, distances, jsd)
+    rows = entries.join(totals, "target")
+    if all_pairs:
+        # One more entry per target, of weight zero: it pairs all targets and adds
+        # nothing to any sum.
+        zero = totals.withColumns({"context": F.lit(NO_CONTEXT), "n": F.lit(0).cast("bigint")})
+        rows = rows.unionByName(zero)
+    block = F.col("block")
+    rows = rows.withColumn("root", F.sqrt("q")).withColumn(
+        "block", F.pmod(F.hash("target"), F.lit(blocks))
+    )
+    carried = [c for c in rows.columns if c not in ("context", "block")]
 
     def side(name: str, i: Column, j: Column) -> DataFrame:
-        carried = [F.col(c).alias(f"{name}_{c}") for c in ["target", "n", *totals]]
-        keyed = postings.select("context", "block", i.alias("i"), j.alias("j"), *carried)
-        return keyed.drop("block").repartition(partitions, "context", "i", "j")
+        kept = [F.col(c).alias(f"{name}_{c}") for c in carried]
+        keyed = rows.select("context", i.alias("i"), j.alias("j"), *kept)
+        return keyed.repartition(partitions, "i", "j")
 
-    block, blocks = F.col("block"), F.col("blocks")
-    left = side("a", block, F.explode(F.sequence(block, blocks - 1)))
+    left = side("a", block, F.explode(F.sequence(block, F.lit(blocks - 1))))
     right = side("b", F.explode(F.sequence(F.lit(0), block)), block)
-    pairs = left.join(right, ["context", "i", "j"]).where(
+    return left.join(right.hint("merge"), ["i", "j", "context"]).where(
         (F.col("i") != F.col("j")) | (F.col("a_target") < F.col("b_target"))
     )
 
-    swap = F.col("a_target") > F.col("b_target")
-    ordered = ["target", "n", *totals]
-    pairs = pairs.select(
-        *[
-            F.when(swap, F.col(f"{two}_{c}")).otherwise(F.col(f"{one}_{c}")).alias(f"{c}{k}")
-            for c in ordered
-            for k, one, two in ((1, "a", "b"), (2, "b", "a"))
-        ]
-    )
 
-    v1, v2 = F.col("n1"), F.col("n2")
-    sums = {"dot": v1 * v2, "shared": v1 + v2}
+def _pair_sums(cells: DataFrame, distances: bool, jsd: str) -> DataFrame:
+    """Sums over shared contexts for each pair of targets, ``target1 < target2``."""
+    ordered = F.col("a_target") < F.col("b_target")
+
+    def first(name: str) -> Column:
+        return F.when(ordered, F.col(f"a_{name}")).otherwise(F.col(f"b_{name}"))
+
+    def second(name: str) -> Column:
+        return F.when(ordered, F.col(f"b_{name}")).otherwise(F.col(f"a_{name}"))
+
+    a, b = F.col("a_n"), F.col("b_n")
+    keys = [
+        "i", "j",
+        F.least("a_target", "b_target").alias("target1"),
+        F.greatest("a_target", "b_target").alias("target2"),
+    ]
+    # The same in both directions of a pair.
+    values = [
+        a.alias("a"), b.alias("b"),
+        (F.col("a_root") * F.col("b_root")).alias("norm"),
+        (F.col("a_s") + F.col("b_s")).alias("total"),
+    ]
+    sums = [
+        F.sum(F.col("a") * F.col("b")).alias("dot"),
+        F.sum(F.col("a") + F.col("b")).alias("shared"),
+        F.max("norm").alias("norm"),
+        F.max("total").alias("total"),
+    ]
     if distances:
+        values += [
+            (F.col("a_q") + F.col("b_q")).alias("squares"),
+            first("n").alias("v1"), second("n").alias("v2"),
+            first("s").alias("s1"), first("own").alias("own1"),
+        ]
+        v1, v2 = F.col("v1"), F.col("v2")
         mean = _half(v1 + v2, jsd)
-        sums["least"] = F.least(v1, v2)
-        sums["skew1"] = M.relative_entropy(v1, v2) - v1 * F.lit(M.LN_ABSENT)
-        sums["skew2"] = M.relative_entropy(v2, v1) - v2 * F.lit(M.LN_ABSENT)
-        sums["js"] = (
+        skew1 = M.relative_entropy(v1, v2) - v1 * F.lit(M.LN_ABSENT)
+        skew2 = M.relative_entropy(v2, v1) - v2 * F.lit(M.LN_ABSENT)
+        js = (
             M.relative_entropy(v1, mean)
             + M.relative_entropy(v2, mean)
             - M.relative_entropy(v1, _half(v1, jsd))
             - v2 * F.lit(M.LN_HALF)
         )
-    carried = [F.max(f"{c}{k}").alias(f"{c}{k}") for c in totals for k in (1, 2)]
-    return pairs.groupBy("target1", "target2").agg(
-        *[F.sum(e).alias(name) for name, e in sums.items()], *carried
-    )
+        sums += [
+            F.sum(F.least(v1, v2)).alias("least"),
+            F.sum(skew1).alias("skew1"), F.sum(skew2).alias("skew2"), F.sum(js).alias("js"),
+            F.max("squares").alias("squares"),
+            F.max("s1").alias("s1"), F.max("own1").alias("own1"),
+        ]
+    return cells.select(*keys, *values).groupBy("i", "j", "target1", "target2").agg(*sums)
 
 
 def _uniform(seed: int) -> Column:
@@ -169,14 +205,14 @@ def _finish(
     seed: int,
 ) -> DataFrame:
     """Measures from sums and totals, then the thresholds."""
-    s1, s2, q1, q2 = (F.col(c) for c in ("s1", "s2", "q1", "q2"))
-    shared = F.col("shared")
-    rows = sums.withColumn("cosine", M.cosine(F.col("dot"), q1, q2))
+    shared, total = F.col("shared"), F.col("total")
+    rows = sums.withColumn("cosine", M.ratio(F.col("dot"), F.col("norm")))
     if sim_min is not None:
         rows = rows.where(F.col("cosine") >= sim_min)
     if distances:
-        l1 = (s1 + s2 - 2 * F.col("least")).cast("double")
-        l2 = F.sqrt(q1 + q2 - 2 * F.col("dot"))
+        s1, s2 = F.col("s1"), total - F.col("s1")
+        l1 = (total - 2 * F.col("least")).cast("double")
+        l2 = F.sqrt(F.col("squares") - 2 * F.col("dot"))
         skew1 = F.col("skew1") + s1 * F.lit(M.LN_ABSENT)
         skew2 = F.col("skew2") + s2 * F.lit(M.LN_ABSENT)
         jsd = F.col("js") + F.col("own1") + s2 * F.lit(M.LN_HALF)
@@ -184,8 +220,8 @@ def _finish(
         l1 = l2 = skew1 = skew2 = jsd = F.lit(0.0)
     rows = rows.select(
         "target1", "target2", "cosine",
-        M.weighted_jaccard(shared, s1, s2).alias("wjaccard"),
-        M.lin(shared, s1, s2).alias("lin"),
+        M.weighted_jaccard(shared, total).alias("wjaccard"),
+        M.ratio(shared, total).alias("lin"),
         l1.alias("l1"), l2.alias("l2"), jsd.alias("jsd"),
         _uniform(seed).alias("randomic"),
         skew1.alias("askew1"), skew2.alias("askew2"),
@@ -204,9 +240,10 @@ def similarity(
     distances: bool = False,
     jsd: str = "integer",
     seed: int = 0,
-    block_size: int = BLOCK_SIZE,
+    partitions: int | None = None,
+    blocks: int | None = None,
 ) -> DataFrame:
-    """Similarity of every pair of targets, ``target1 < target2``.
+    """Similarity of pairs of targets, ``target1 < target2``.
 
     ``pair_counts`` has one row per (target, context), as the operator of that name
     gives. ``sim_min`` keeps pairs with at least that cosine. ``dist_max`` drops pairs
@@ -214,68 +251,17 @@ def similarity(
     counted more often. Without ``distances``, L1, L2 and the divergences are zero.
 
     With a positive ``sim_min`` only targets that share a context are ever paired.
-    Without it the result holds every pair of targets, as
-    :func:`similarity_all_pairs` explains.
-    """
-    if sim_min is None or sim_min <= 0:
-        return similarity_all_pairs(
-            pair_counts, sim_min, dist_max, assoc_min, distances, jsd, seed, block_size
-        )
-    entries = association_filter(pair_counts, assoc_min)
-    sums = _shared_sums(_postings(entries, distances, jsd, block_size), distances, jsd)
-    return _finish(sums, distances, sim_min, dist_max, seed)
-
+    Without it the result holds every pair of targets, shared context or not, and is
+    quadratic in the number of targets by definition.
 
-def similarity_all_pairs(
-    pair_counts: DataFrame,
-    sim_min: float | None = None,
-    dist_max: float | None = None,
-    assoc_min: float | None = None,
-    distances: bool = False,
-    jsd: str = "integer",
-    seed: int = 0,
-    block_size: int = BLOCK_SIZE,
-) -> DataFrame:
-    """Similarity of all pairs of targets, also of those without a shared context.
-
-    The result is quadratic in the number of targets by definition. Targets fall into
-    as many blocks as their number asks for, and each pair of blocks is one join key, so
-    that no task gets more than ``block_size`` squared pairs of one key.
+    ``partitions`` defaults to four times ``spark.sql.shuffle.partitions``, ``blocks``
+    follows from it.
     """
+    all_pairs = sim_min is None or sim_min <= 0
+    partitions, blocks = _grid(pair_counts.sparkSession, partitions, blocks)
     entries = association_filter(pair_counts, assoc_min)
-    shared = _shared_sums(_postings(entries, distances, jsd, block_size), distances, jsd)
-    totals = _totals(entries, distances, jsd)
-    carried = [c for c in totals.columns if c != "target"]
-
-    partitions = _join_partitions(pair_counts.sparkSession)
-    blocks = totals.agg(F.ceil(F.count(F.lit(1)) / block_size).cast("int")).scalar()
-    blocked = totals.withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.hash("target"), F.col("blocks"))
-    )
-
-    def side(name: str, i: Column, j: Column) -> DataFrame:
-        kept = [F.col(c).alias(f"{name}_{c}") for c in ["target", *carried]]
-        return blocked.select(i.alias("i"), j.alias("j"), *kept).repartition(partitions, "i", "j")
-
-    block = F.col("block")
-    left = side("a", block, F.explode(F.sequence(block, F.col("blocks") - 1)))
-    right = side("b", F.explode(F.sequence(F.lit(0), block)), block)
-    pairs = left.join(right, ["i", "j"]).where(
-        (F.col("i") != F.col("j")) | (F.col("a_target") < F.col("b_target"))
-    )
-    swap = F.col("a_target") > F.col("b_target")
-    pairs = pairs.select(
-        *[
-            F.when(swap, F.col(f"{two}_{c}")).otherwise(F.col(f"{one}_{c}")).alias(f"{c}{k}")
-            for c in ["target", *carried]
-            for k, one, two in ((1, "a", "b"), (2, "b", "a"))
-        ]
-    )
-    names = ["dot", "shared", "least", "skew1", "skew2", "js"] if distances else ["dot", "shared"]
-    sums = pairs.join(
-        shared.select("target1", "target2", *names), ["target1", "target2"], "left"
-    ).fillna(0, subset=names)
-    return _finish(sums, distances, sim_min, dist_max, seed)
+    cells = _cells(entries, distances, jsd, all_pairs, partitions, blocks)
+    return _finish(_pair_sums(cells, distances, jsd), distances, sim_min, dist_max, seed)
 
 
 def thesaurus(similarity: DataFrame, swap_askew: bool = False) -> DataFrame:
