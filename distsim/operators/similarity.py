@@ -22,13 +22,17 @@ joined on context. Three things follow:
   shuffled: only the entries are, ``blocks + 1`` times;
 * the number of tasks is fixed by ``partitions``. Adaptive coalescing would go by the
   bytes of the entries, which say little about the pairs they make.
+
+Under a high cosine threshold most pairs that share only frequent contexts fall away.
+The pruned plan (prefix filtering after Bayardo, Ma and Srikant, "Scaling Up All Pairs
+Similarity Search", WWW 2007) then never forms them: see :func:`_pruned_sums`.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
@@ -38,6 +42,13 @@ MEASURES = ["cosine", "wjaccard", "lin", "l1", "l2", "jsd", "randomic", "askew1"
 # Cells per partition: enough for an even load, few enough to keep copies of entries low.
 CELLS_PER_PARTITION = 8
 
+# From this cosine threshold on the pruned plan is used. Below it the result itself holds
+# a large part of all pairs that share a context, and pruning does not pay.
+PRUNE_FROM = 0.7
+
+# Slack for rounding when a bound is compared with the threshold.
+SLACK = 1 - 1e-9
+
 # A context no vector can have, since a line has no line break.
 NO_CONTEXT = "\n"
 
@@ -97,22 +108,108 @@ def _half(v: Column, jsd: str) -> Column:
     return F.floor(v / 2) if jsd == "integer" else v / F.lit(2.0)
 
 
+def _own_divergence(jsd: str) -> Column:
+    """Divergence of one entry from half of itself, for contexts only one target has."""
+    return M.relative_entropy(F.col("n"), _half(F.col("n"), jsd))
+
+
 def _totals(entries: DataFrame, distances: bool, jsd: str) -> DataFrame:
-    """Per-target totals; ``own`` is the divergence of a vector from half of itself."""
+    """Sum, sum of squares and divergence from its own half of each target's vector."""
     aggregates = [F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q")]
     if distances:
-        own = M.relative_entropy(F.col("n"), _half(F.col("n"), jsd))
-        aggregates.append(F.sum(own).alias("own"))
+        aggregates.append(F.sum(_own_divergence(jsd)).alias("own"))
     return entries.groupBy("target").agg(*aggregates)
 
 
-def _cells(
-    entries: DataFrame, distances: bool, jsd: str, all_pairs: bool, partitions: int, blocks: int
+def _in_cells(rows: DataFrame, blocks: int, partitions: int, part: str) -> DataFrame:
+    """Copies of the rows in the cells (i, j), i <= j, of their target's block.
+
+    ``part`` chooses the cells of the block's row, of its column, or both.
+    """
+    block = F.pmod(F.hash("target"), F.lit(blocks))
+    first, last = {
+        "row": (F.col("block"), F.lit(blocks - 1)),
+        "column": (F.lit(0), F.col("block")),
+        "both": (F.lit(0), F.lit(blocks - 1)),
+    }[part]
+    copies = rows.withColumn("block", block).withColumn("_k", F.explode(F.sequence(first, last)))
+    keyed = copies.withColumns(
+        {"i": F.least("block", "_k"), "j": F.greatest("block", "_k")}
+    ).drop("block", "_k")
+    return keyed.repartition(partitions, "i", "j")
+
+
+def _join_cells(rows: DataFrame, partitions: int, blocks: int) -> DataFrame:
+    """Pairs of entries on a shared context, each pair of targets in one cell (i, j)."""
+
+    def side(name: str, part: str) -> DataFrame:
+        kept = {c: f"{name}_{c}" for c in rows.columns if c != "context"}
+        return _in_cells(rows, blocks, partitions, part).withColumnsRenamed(kept)
+
+    return side("a", "row").join(
+        side("b", "column").hint("merge"), ["i", "j", "context"]
+    ).where((F.col("i") != F.col("j")) | (F.col("a_target") < F.col("b_target")))
+
+
+def _contributions(v1: Column, v2: Column, distances: bool, jsd: str) -> dict[str, Column]:
+    """What one shared context adds to each sum of a pair."""
+    terms = {"dot": v1 * v2, "shared": v1 + v2}
+    if distances:
+        mean = _half(v1 + v2, jsd)
+        terms["least"] = F.least(v1, v2)
+        terms["skew1"] = M.relative_entropy(v1, v2) - v1 * F.lit(M.LN_ABSENT)
+        terms["skew2"] = M.relative_entropy(v2, v1) - v2 * F.lit(M.LN_ABSENT)
+        terms["js"] = (
+            M.relative_entropy(v1, mean)
+            + M.relative_entropy(v2, mean)
+            - M.relative_entropy(v1, _half(v1, jsd))
+            - v2 * F.lit(M.LN_HALF)
+        )
+    return terms
+
+
+def _pair_sums(
+    cells: DataFrame, distances: bool, jsd: str, extra: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Pairs of entries on a shared context, each pair of targets in one cell (i, j).
+    """Sums over shared contexts for each pair of targets, ``target1 < target2``.
 
-    The totals of both targets travel with the rows.
+    What depends on the pair alone travels with its rows: the product of the norms, the
+    totals, and the ``extra`` columns.
     """
+    ordered = F.col("a_target") < F.col("b_target")
+
+    def oriented(first: str, second: str) -> Column:
+        return F.when(ordered, F.col(first)).otherwise(F.col(second))
+
+    constants = {
+        "norm": F.col("a_root") * F.col("b_root"),
+        "total": F.col("a_s") + F.col("b_s"),
+        **(extra or {}),
+    }
+    v1, v2 = F.col("a_n"), F.col("b_n")
+    if distances:
+        v1, v2 = oriented("a_n", "b_n"), oriented("b_n", "a_n")
+        constants["squares"] = F.col("a_q") + F.col("b_q")
+        constants["s1"] = oriented("a_s", "b_s")
+        constants["own1"] = oriented("a_own", "b_own")
+    rows = cells.select(
+        "i", "j",
+        F.least("a_target", "b_target").alias("target1"),
+        F.greatest("a_target", "b_target").alias("target2"),
+        v1.alias("v1"), v2.alias("v2"),
+        *[value.alias(name) for name, value in constants.items()],
+    )
+    terms = _contributions(F.col("v1"), F.col("v2"), distances, jsd)
+    return rows.groupBy("i", "j", "target1", "target2").agg(
+        *[F.sum(term).alias(name) for name, term in terms.items()],
+        *[F.max(name).alias(name) for name in constants],
+    )
+
+
+def _plain_sums(
+    entries: DataFrame, distances: bool, jsd: str, all_pairs: bool, partitions: int, blocks: int
+) -> DataFrame:
+    """Sums of every pair that shares a context, or of every pair at all."""
     totals = _totals(entries, distances, jsd)
     rows = entries.join(totals, "target")
     if all_pairs:
@@ -120,75 +217,105 @@ def _cells(
         # nothing to any sum.
         zero = totals.withColumns({"context": F.lit(NO_CONTEXT), "n": F.lit(0).cast("bigint")})
         rows = rows.unionByName(zero)
-    block = F.col("block")
-    rows = rows.withColumn("root", F.sqrt("q")).withColumn(
-        "block", F.pmod(F.hash("target"), F.lit(blocks))
-    )
-    carried = [c for c in rows.columns if c not in ("context", "block")]
+    rows = rows.withColumn("root", F.sqrt("q"))
+    return _pair_sums(_join_cells(rows, partitions, blocks), distances, jsd)
 
-    def side(name: str, i: Column, j: Column) -> DataFrame:
-        kept = [F.col(c).alias(f"{name}_{c}") for c in carried]
-        keyed = rows.select("context", i.alias("i"), j.alias("j"), *kept)
-        return keyed.repartition(partitions, "i", "j")
-
-    left = side("a", block, F.explode(F.sequence(block, F.lit(blocks - 1))))
-    right = side("b", F.explode(F.sequence(F.lit(0), block)), block)
-    return left.join(right.hint("merge"), ["i", "j", "context"]).where(
-        (F.col("i") != F.col("j")) | (F.col("a_target") < F.col("b_target"))
-    )
 
+def _levelled(entries: DataFrame, distances: bool, jsd: str, sim_min: float) -> DataFrame:
+    """Entries with the totals of their target and the frequency level of their context.
 
-def _pair_sums(cells: DataFrame, distances: bool, jsd: str) -> DataFrame:
-    """Sums over shared contexts for each pair of targets, ``target1 < target2``."""
-    ordered = F.col("a_target") < F.col("b_target")
+    Levels rise with the number of targets a context has, two levels for each doubling.
+    ``cut`` is the highest level down to which, from the top, the vector's norm reaches
+    ``sim_min`` of the whole; ``rest`` is the share of the norm above it, which is less
+    than ``sim_min``. Sums per level keep this a window over a few dozen rows per target.
+    """
+    frequency = entries.groupBy("context").agg(F.count(F.lit(1)).alias("df"))
+    rows = entries.join(
+        frequency.select("context", F.floor(2 * F.log2("df")).cast("int").alias("level")),
+        "context",
+    )
+    aggregates = [F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q")]
+    if distances:
+        aggregates.append(F.sum(_own_divergence(jsd)).alias("own"))
+    by_target = Window.partitionBy("target")
+    from_top = by_target.orderBy(F.col("level").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    levels = rows.groupBy("target", "level").agg(*aggregates).withColumns(
+        {"reached": F.sum("q").over(from_top), "all": F.sum("q").over(by_target)}
+    )
+    enough = F.col("reached") >= F.lit(sim_min * sim_min * SLACK) * F.col("all")
+    totals = levels.groupBy("target").agg(
+        *[F.sum(c).alias(c) for c in ("s", "q", "own") if c in levels.columns],
+        F.max(F.when(enough, F.col("level"))).alias("cut"),
+        F.sqrt(
+            F.coalesce(F.max(F.when(~enough, F.col("reached"))), F.lit(0)) / F.max("all")
+        ).alias("rest"),
+    )
+    return rows.join(totals, "target").withColumn("root", F.sqrt("q"))
 
-    def first(name: str) -> Column:
-        return F.when(ordered, F.col(f"a_{name}")).otherwise(F.col(f"b_{name}"))
 
-    def second(name: str) -> Column:
-        return F.when(ordered, F.col(f"b_{name}")).otherwise(F.col(f"a_{name}"))
+def _pruned_sums(
+    entries: DataFrame, distances: bool, jsd: str, sim_min: float, partitions: int, blocks: int
+) -> DataFrame:
+    """Sums of every pair that can reach the cosine ``sim_min``; exact for those.
+
+    Only entries at or below the cut of their target are joined. Take a pair and the
+    lower of its two cuts: above it, one of the two vectors has less than ``sim_min`` of
+    its norm, so a pair that reaches the threshold also shares a context below, where
+    both have their entries joined. For the pairs found, that bound on the missing part
+    drops most; the others get the missing contexts from the vector that lacks them, by
+    lookups within the cell.
+    """
+    rows = _levelled(entries, distances, jsd, sim_min)
+    joined = _join_cells(rows.where(F.col("level") <= F.col("cut")), partitions, blocks)
+    a_cut, b_cut, a_rest, b_rest = (F.col(c) for c in ("a_cut", "b_cut", "a_rest", "b_rest"))
+    bound = (
+        F.when(a_cut < b_cut, a_rest).when(a_cut > b_cut, b_rest).otherwise(a_rest * b_rest)
+    )
+    a_first = F.col("a_target") < F.col("b_target")
+    lacks_first = F.when(a_first, a_cut <= b_cut).otherwise(b_cut < a_cut)
+    found = _pair_sums(joined, distances, jsd, {"bound": bound, "lacks_first": lacks_first})
+    reach = F.col("dot") + F.col("bound") * F.col("norm")
+    found = found.where(reach >= F.lit(sim_min * SLACK) * F.col("norm"))
+
+    # Missing contexts of the vector with the lower cut, then their weight in the other.
+    missing = rows.where(F.col("level") > F.col("cut")).select("target", "context", "n")
+    missing = _in_cells(missing, blocks, partitions, "both").withColumnsRenamed(
+        {"target": "lacking", "n": "n_lacking"}
+    )
+    other = _in_cells(entries, blocks, partitions, "both").withColumnsRenamed(
+        {"target": "other", "n": "n_other"}
+    )
 
-    a, b = F.col("a_n"), F.col("b_n")
-    keys = [
-        "i", "j",
-        F.least("a_target", "b_target").alias("target1"),
-        F.greatest("a_target", "b_target").alias("target2"),
-    ]
-    # The same in both directions of a pair.
-    values = [
-        a.alias("a"), b.alias("b"),
-        (F.col("a_root") * F.col("b_root")).alias("norm"),
-        (F.col("a_s") + F.col("b_s")).alias("total"),
-    ]
-    sums = [
-        F.sum(F.col("a") * F.col("b")).alias("dot"),
-        F.sum(F.col("a") + F.col("b")).alias("shared"),
-        F.max("norm").alias("norm"),
-        F.max("total").alias("total"),
-    ]
-    if distances:
-        values += [
-            (F.col("a_q") + F.col("b_q")).alias("squares"),
-            first("n").alias("v1"), second("n").alias("v2"),
-            first("s").alias("s1"), first("own").alias("own1"),
-        ]
-        v1, v2 = F.col("v1"), F.col("v2")
-        mean = _half(v1 + v2, jsd)
-        skew1 = M.relative_entropy(v1, v2) - v1 * F.lit(M.LN_ABSENT)
-        skew2 = M.relative_entropy(v2, v1) - v2 * F.lit(M.LN_ABSENT)
-        js = (
-            M.relative_entropy(v1, mean)
-            + M.relative_entropy(v2, mean)
-            - M.relative_entropy(v1, _half(v1, jsd))
-            - v2 * F.lit(M.LN_HALF)
+    first = F.col("lacks_first")
+    one, two = F.col("target1"), F.col("target2")
+    found = found.withColumns(
+        {
+            "lacking": F.when(F.col("bound") > 0, F.when(first, one).otherwise(two)),
+            "other": F.when(first, two).otherwise(one),
+        }
+    )
+    rest = found.join(missing.hint("merge"), ["i", "j", "lacking"], "left").join(
+        other.hint("merge"), ["i", "j", "other", "context"], "left"
+    )
+    v1 = F.when(first, F.col("n_lacking")).otherwise(F.col("n_other"))
+    v2 = F.when(first, F.col("n_other")).otherwise(F.col("n_lacking"))
+    terms = _contributions(F.col("v1"), F.col("v2"), distances, jsd)
+    known = [c for c in found.columns if c not in ("i", "j", "target1", "target2", *terms)]
+    known = [c for c in known if c not in ("bound", "lacks_first", "lacking", "other")]
+    shared = F.col("n_other").isNotNull()
+    return (
+        rest.select(
+            "i", "j", "target1", "target2", *terms, *known,
+            F.when(shared, v1).otherwise(0).alias("v1"), F.when(shared, v2).otherwise(0).alias("v2"),
         )
-        sums += [
-            F.sum(F.least(v1, v2)).alias("least"),
-            F.sum(skew1).alias("skew1"), F.sum(skew2).alias("skew2"), F.sum(js).alias("js"),
-            F.max("squares").alias("squares"),
-            F.max("s1").alias("s1"), F.max("own1").alias("own1"),
-        ]
-    return cells.select(*keys, *values).groupBy("i", "j", "target1", "target2").agg(*sums)
+        .groupBy("i", "j", "target1", "target2")
+        .agg(
+            *[(F.max(name) + F.sum(term)).alias(name) for name, term in terms.items()],
+            *[F.max(name).alias(name) for name in known],
+        )
+    )
 
 
 def _uniform(seed: int) -> Column:
@@ -242,6 +369,7 @@ def similarity(
     seed: int = 0,
     partitions: int | None = None,
     blocks: int | None = None,
+    prune: bool | None = None,
 ) -> DataFrame:
     """Similarity of pairs of targets, ``target1 < target2``.
 
@@ -255,13 +383,20 @@ def similarity(
     quadratic in the number of targets by definition.
 
     ``partitions`` defaults to four times ``spark.sql.shuffle.partitions``, ``blocks``
-    follows from it.
+    follows from it. ``prune`` forces or forbids the pruned plan; the result is the same.
     """
     all_pairs = sim_min is None or sim_min <= 0
+    if prune is None:
+        prune = not all_pairs and sim_min >= PRUNE_FROM
+    if prune and all_pairs:
+        raise ValueError("pruning needs a positive sim_min")
     partitions, blocks = _grid(pair_counts.sparkSession, partitions, blocks)
     entries = association_filter(pair_counts, assoc_min)
-    cells = _cells(entries, distances, jsd, all_pairs, partitions, blocks)
-    return _finish(_pair_sums(cells, distances, jsd), distances, sim_min, dist_max, seed)
+    if prune:
+        sums = _pruned_sums(entries, distances, jsd, sim_min, partitions, blocks)
+    else:
+        sums = _plain_sums(entries, distances, jsd, all_pairs, partitions, blocks)
+    return _finish(sums, distances, sim_min, dist_max, seed)
 
 
 def thesaurus(similarity: DataFrame, swap_askew: bool = False) -> DataFrame:
