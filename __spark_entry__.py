@@ -159,6 +159,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         contexts = ds.sentence_contexts(_sentences(s, d), WORDS)
         return ds.context_trigrams(_trigrams(s, d), contexts, _reduced(s, d))
 
+    def render_similarity(s, d):
+        pairs = ds.similarity(_pairs(s, d), sim_min=SIM_MIN, distances=True)
+        # The random score is left out: no other engine repeats it.
+        return ds.render_similarity(_round_similarity(pairs).withColumn("randomic", F.lit(0.0)))
+
     def build_thesaurus(s, d):
         return _round_similarity(ds.build_thesaurus(
             _lines(s, d), MIN_FREQ, MIN_PAIR, sim_min=SIM_MIN, distances=True))
@@ -214,9 +219,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "render_vector": lambda s, d: vectors(s, d).select(
             "target", "part", ds.render_vector("vector").alias("text")),
         "parse_vector": parse_vector,
-        "render_profiles": lambda s, d: ds.render_profiles(ds.assoc_profiles(_pairs(s, d))),
-        "render_similarity": lambda s, d: ds.render_similarity(
-            ds.similarity(_pairs(s, d), sim_min=SIM_MIN, distances=True)),
+        "render_profiles": lambda s, d: ds.render_profiles(
+            _round_profiles(ds.assoc_profiles(_pairs(s, d)))),
+        "render_similarity": render_similarity,
         "neighbor_frequencies": lambda s, d: ds.neighbor_frequencies(
             _reduced(s, d), _frequencies(s, d), sort=True),
         "sentence_contexts": lambda s, d: ds.sentence_contexts(_sentences(s, d), WORDS),
@@ -422,6 +427,11 @@ def _select(final: str) -> str:
     return f"WITH {ctes} {final}" if ctes else final
 
 
+def _decimal(expr: str, digits: int) -> str:
+    """A number in text with at most ``digits`` decimals, half-even rounded."""
+    return f"rtrim(rtrim(printf('%.{digits}f', {expr}), '0'), '.')"
+
+
 def _top(source: str) -> str:
     return f"""SELECT target, neighbor, {_r('score')} AS score
         FROM (SELECT *, row_number() OVER
@@ -430,7 +440,7 @@ def _top(source: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL per query; queries with text in JVM number format have none."""
+    """DuckDB SQL per query; the random score has none."""
     profile = "target, context, n, target_n, context_n"
     rounded = ", ".join(f"{_r(m)} AS {m}" for m in MEASURES)
     stored = ", ".join(f"{_r(f'round({m}, 10)')} AS {m}" for m in MEASURES)
@@ -452,6 +462,11 @@ def oracle_sql() -> dict[str, str]:
               "WHERE k <= {0})"
     white = r"[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}" \
             r"\x{202f}\x{205f}\x{3000}]+"
+    profile_text = ", ".join(_decimal(_r(m), 10) for m in MEASURES)
+    similarity_text = ", ".join(
+        [_decimal(_r(m), 6) for m in ("cosine", "wjaccard", "lin", "l1", "l2")]
+        + [_decimal(_r("jsd", 4), 6), "'0'"]
+        + [_decimal(_r(m, 4), 6) for m in ("askew1", "askew2")])
     vectors = """SELECT target, context, n,
           ('0x' || left(md5(context), 8))::BIGINT % ceil(d / 500)::BIGINT AS part
         FROM (SELECT *, count(*) OVER (PARTITION BY target) AS d FROM pc)"""
@@ -513,6 +528,10 @@ def oracle_sql() -> dict[str, str]:
         "render_vector": "SELECT target, part, string_agg(context || ':' || n, ',' "
                          f"ORDER BY context) AS text FROM ({vectors}) GROUP BY 1, 2",
         "parse_vector": "SELECT target, context, n FROM pc",
+        "render_profiles": f"SELECT concat_ws(chr(9), target, '0.0', context, '0.0', n, "
+                           f"target_n, context_n, {profile_text}) AS line FROM prof",
+        "render_similarity": f"SELECT concat_ws(chr(9), target1, target2, {similarity_text}) "
+                             "AS line FROM simdist",
         "neighbor_frequencies": "SELECT target, neighbor, cosine, freq FROM nf",
         "sentence_contexts": "SELECT word, w_prev, target, w_next FROM ctx",
         "context_trigrams": "SELECT target, w_prev, w, w_next, n, weight FROM lm",
