@@ -38,18 +38,44 @@ def context_counts(counted: DataFrame, min_freq: int = 0) -> DataFrame:
     return _frequent(counted, "context", min_freq)
 
 
+def keep_frequent(counted: DataFrame, targets: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Counted pairs whose words are in the two vocabularies.
+
+    Each word is there once, so an inner join keeps or drops a pair. A semi join would
+    say so more plainly, but the optimizer moves it below the counting, and the corpus
+    is then tokenized twice. Adaptive execution broadcasts a vocabulary only if its real
+    size allows it, and splits the rows of a frequent word otherwise.
+    """
+    return (
+        counted.join(targets.select(F.col("word").alias("target")), "target")
+        .join(contexts.select(F.col("word").alias("context")), "context")
+        .select("target", "context", "n")
+    )
+
+
 def filtered_pairs(counted: DataFrame, min_freq: int = 0) -> DataFrame:
     """Counted pairs whose target and context both pass the frequency threshold.
 
-    ``n`` is the number of occurrences the row stands for. The vocabulary sides are left
-    to adaptive execution, which broadcasts them only if their real size allows it.
+    ``n`` is the number of occurrences the row stands for.
+    """
+    return keep_frequent(
+        counted, target_counts(counted, min_freq), context_counts(counted, min_freq)
+    )
+
+
+def shared_once(pair_counts: DataFrame) -> DataFrame:
+    """Pair counts behind a shuffle that every branch of a plan can reuse.
+
+    Operators that read the pairs several times (for totals, for marginals, for the pairs
+    themselves) start here, so that counting and filtering run once. Both columns are
+    keys, which spreads the rows of a frequent word; their order differs from that of
+    the counting shuffle, or Spark would drop this one as redundant. Nulls are dropped
+    here because each branch would otherwise push its own test for them below.
     """
-    targets = target_counts(counted, min_freq).select(F.col("word").alias("target"))
-    contexts = context_counts(counted, min_freq).select(F.col("word").alias("context"))
-    return counted.join(targets, "target", "left_semi").join(contexts, "context", "left_semi")
+    rows = pair_counts.select("target", "context", "n").dropna()
+    return rows.repartition("context", "target")
 
 
 def pair_counts(pairs: DataFrame, min_freq: int = 0, min_pair: int = 1) -> DataFrame:
     """Count pairs, drop rare words, then drop pairs seen fewer than ``min_pair`` times."""
-    kept = filtered_pairs(count_pairs(pairs), min_freq).where(F.col("n") >= min_pair)
-    return kept.select("target", "context", "n")
+    return filtered_pairs(count_pairs(pairs), min_freq).where(F.col("n") >= min_pair)

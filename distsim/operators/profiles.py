@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
+from .counts import shared_once
 
 
 def pair_total(pair_counts: DataFrame) -> DataFrame:
@@ -94,4 +95,5 @@ def profile_measures(marginals: DataFrame, total: DataFrame) -> DataFrame:
 
 def assoc_profiles(pair_counts: DataFrame) -> DataFrame:
     """Association profile of each pair: counts, ten measures and two entropies."""
-    return profile_measures(pair_marginals(pair_counts), pair_total(pair_counts))
+    pairs = shared_once(pair_counts)
+    return profile_measures(pair_marginals(pairs), pair_total(pairs))

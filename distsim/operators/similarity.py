@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
+from .counts import shared_once
 
 MEASURES = ["cosine", "wjaccard", "lin", "l1", "l2", "jsd", "randomic", "askew1", "askew2"]
 
@@ -126,7 +127,8 @@ def _in_cells(rows: DataFrame, blocks: int, partitions: int, part: str) -> DataF
 
     ``part`` chooses the cells of the block's row, of its column, or both.
     """
-    block = F.pmod(F.hash("target"), F.lit(blocks))
+    # Never null, said so that no test for it is pushed below the shuffle of the entries.
+    block = F.coalesce(F.pmod(F.hash("target"), F.lit(blocks)), F.lit(0))
     first, last = {
         "row": (F.col("block"), F.lit(blocks - 1)),
         "column": (F.lit(0), F.col("block")),
@@ -391,7 +393,7 @@ def similarity(
     if prune and all_pairs:
         raise ValueError("pruning needs a positive sim_min")
     partitions, blocks = _grid(pair_counts.sparkSession, partitions, blocks)
-    entries = association_filter(pair_counts, assoc_min)
+    entries = shared_once(association_filter(pair_counts, assoc_min))
     if prune:
         sums = _pruned_sums(entries, distances, jsd, sim_min, partitions, blocks)
     else:

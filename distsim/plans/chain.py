@@ -25,10 +25,7 @@ def filter_pairs(
     counted = steps("pairs_counted", counts.count_pairs(pairs))
     targets = steps("targets_filtered", counts.target_counts(counted, min_freq))
     contexts = steps("contexts_filtered", counts.context_counts(counted, min_freq))
-    kept = counted.join(
-        targets.select(F.col("word").alias("target")), "target", "left_semi"
-    ).join(contexts.select(F.col("word").alias("context")), "context", "left_semi")
-    kept = steps("filtered_pairs", kept.select("target", "context", "n"))
+    kept = steps("filtered_pairs", counts.keep_frequent(counted, targets, contexts))
     return steps("pair_counts", kept.where(F.col("n") >= min_pair))
 
 
