@@ -19,6 +19,15 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import distsim as ds  # noqa: E402
 
+try:
+    from distsim.llm import queries as llm_queries
+except ImportError:
+    llm_queries = None
+try:
+    import corpus_pipeline
+except ImportError:
+    corpus_pipeline = None
+
 DATA = "/root/testdata"
 WORDS = ["the", "of", "and"]
 MIN_FREQ, MIN_PAIR, SIM_MIN = 10, 2, 0.2
@@ -108,6 +117,26 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All registered queries: the core's own and those of the optional subpackage."""
+    found = core_queries()
+    if llm_queries is not None:
+        found |= llm_queries.QUERIES
+    if corpus_pipeline is not None:
+        found["pipeline"] = corpus_pipeline.run
+    return found
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL of the queries that SQL can express."""
+    found = core_sql()
+    if llm_queries is not None:
+        found |= llm_queries.ORACLE_SQL
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
+
+
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; a suffix names a parameter variant."""
 
     def clean_line(s, d):
@@ -439,7 +468,7 @@ def _top(source: str) -> str:
         WHERE rn <= 10"""
 
 
-def oracle_sql() -> dict[str, str]:
+def core_sql() -> dict[str, str]:
     """DuckDB SQL per query; the random score has none."""
     profile = "target, context, n, target_n, context_n"
     rounded = ", ".join(f"{_r(m)} AS {m}" for m in MEASURES)

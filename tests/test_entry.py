@@ -23,11 +23,11 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"similarity_random"}
+    assert set(entry.core_queries()) - set(entry.core_sql()) == {"similarity_random"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.core_queries()))
 def test_query_equals_sql(spark, con, name):
-    rows = entry.queries()[name](spark, SF).toPandas()
-    if name in entry.oracle_sql():
-        assert difference(rows, con.sql(entry.oracle_sql()[name]).df()) is None
+    rows = entry.core_queries()[name](spark, SF).toPandas()
+    if name in entry.core_sql():
+        assert difference(rows, con.sql(entry.core_sql()[name]).df()) is None
