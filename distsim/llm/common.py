@@ -1,12 +1,16 @@
-"""Shared pieces: words, labels by checksum, stored intermediate tables, components."""
+"""Shared pieces: words, folds by checksum, stored intermediate tables, global numbering."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = r"[\x20\x09-\x0D]+"
+# Tables of at most this many rows, counted first, may be broadcast.
+SMALL_ROWS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -26,18 +30,52 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def in_fold(doc_id: Column, folds: int, number: int) -> Column:
+    """Whether the id falls in the fold; false for a null id."""
+    return F.coalesce(fold(doc_id, folds) == number, F.lit(False))
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder all executors share.
+    """``df`` computed once, written to the folder all executors share, and read again.
 
-    The folder is ``spark.checkpoint.dir``; only if that is unset, a folder below the
-    warehouse is used, which is shared as well.
+    The folder is ``spark.checkpoint.dir``; only if that is unset, one below the warehouse,
+    which is shared as well. A lost executor costs nothing that is stored. The files stay
+    until the application's owner clears the folder.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        context.setCheckpointDir(f"{base}/_checkpoints")
-    return df.checkpoint()
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    path = f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def has_rows(df: DataFrame) -> bool:
     return len(df.take(1)) > 0
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have few rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "number") -> DataFrame:
+    """``df`` with a gapless number from 0 in the given order, stored.
+
+    Rows are range-partitioned and sorted; each gets its position in its partition, and
+    the partitions' row counts (one number per partition) are turned into offsets. No
+    task sees more than its range.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(ranged.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("__at", 33)
+    counts = {r.p: r.n for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
+              .collect()}
+    offsets, total = [], 0
+    for p in sorted(counts):
+        offsets.append((p, total))
+        total += counts[p]
+    table = df.sparkSession.createDataFrame(offsets, "__part long, __first long")
+    joined = rows.join(F.broadcast(table), part == F.col("__part"))
+    number = F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return joined.select(*df.columns, number.alias(name))
