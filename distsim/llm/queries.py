@@ -2,21 +2,50 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import bpe, brown, langid, mixing, quality, simhash
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op2_class_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return brown.class_model_scores(_table(spark, sf, "documents"))
+
+
+def op3_simhash_vptree(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.identify(_table(spark, sf, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encoded(_table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY),
+                       public_tokenizers.PATTERN)
+
+
+def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf, "documents"))
+
+
 QUERIES = {
+    "op2_class_lm": op2_class_lm,
+    "op3_simhash_vptree": op3_simhash_vptree,
+    "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
