@@ -190,6 +190,22 @@ def best_class(n: np.ndarray, own: int, left: np.ndarray, right: np.ndarray) ->
     return best if gain[best] > gain[own] + 1e-9 else own
 
 
+def _mover(of: np.ndarray, counts: np.ndarray, width: int, tasks: int, half: int):
+    """Function of one task's neighbor counts: new classes of every other of its units."""
+
+    def move(table: pa.Table) -> pa.Table:
+        u, v, side, n = (table.column(c).to_numpy() for c in ("u", "v", "side", "n"))
+        ids, at = np.unique(u, return_inverse=True)
+        seen = np.zeros(2 * len(ids) * width)
+        np.add.at(seen, (at * 2 + side) * width + of[v], n)
+        seen = seen.reshape(len(ids), 2, width)
+        turn = np.flatnonzero((ids // tasks) % 2 == half)
+        new = [best_class(counts, int(of[ids[i]]), seen[i, 0], seen[i, 1]) for i in turn]
+        return pa.table({"u": pa.array(ids[turn], pa.int64()), "c": pa.array(new, pa.int64())})
+
+    return move
+
+
 def exchange(pairs: DataFrame, units: Units, *, classes: int = CLASSES, rounds: int = ROUNDS,
              tasks: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """(class of each unit, class-by-class counts); the last class is the end's."""
@@ -202,18 +218,7 @@ def exchange(pairs: DataFrame, units: Units, *, classes: int = CLASSES, rounds:
     counts = class_counts(pairs, of, classes + 1)
     best = (likelihood(counts), of, counts)
     for k in range(rounds):
-        def move(table: pa.Table, of=of, counts=counts, k=k) -> pa.Table:
-            u, v, side, n = (table.column(c).to_numpy() for c in ("u", "v", "side", "n"))
-            ids, at = np.unique(u, return_inverse=True)
-            width = classes + 1
-            seen = np.zeros(2 * len(ids) * width)
-            np.add.at(seen, (at * 2 + side) * width + of[v], n)
-            seen = seen.reshape(len(ids), 2, width)
-            turn = [i for i, x in enumerate(ids) if (x // tasks + k) % 2 == 0]
-            new = [best_class(counts, int(of[ids[i]]), seen[i, 0], seen[i, 1]) for i in turn]
-            return pa.table({"u": pa.array(ids[turn].astype(np.int64)),
-                             "c": pa.array(new, pa.int64())})
-
+        move = _mover(of, counts, classes + 1, tasks, k % 2)
         moved = both.groupBy("task").applyInArrow(move, "u long, c long").collect()
         new = of.copy()
         for r in moved:

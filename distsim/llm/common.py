@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -35,19 +35,26 @@ def in_fold(doc_id: Column, folds: int, number: int) -> Column:
     return F.coalesce(fold(doc_id, folds) == number, F.lit(False))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` computed once, written to the folder all executors share, and read again.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share.
 
     The folder is ``spark.checkpoint.dir``; only if that is unset, one below the warehouse,
-    which is shared as well. A lost executor costs nothing that is stored. The files stay
-    until the application's owner clears the folder.
+    which is shared as well.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or (
         spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    path = f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once, written to the shared folder, and read again.
+
+    A lost executor costs nothing that is stored. The files stay until the application's
+    owner clears the folder.
+    """
+    path = shared_path(df.sparkSession, "stored")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def has_rows(df: DataFrame) -> bool:

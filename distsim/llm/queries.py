@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, langid, mixing, quality, simhash
+from . import bpe, brown, conversations, langid, mixing, order, quality, simhash
+from . import toxicity, vectors
+from .common import shared_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -14,6 +16,10 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op2_class_lm(spark: SparkSession, sf: str) -> DataFrame:
     return brown.class_model_scores(_table(spark, sf, "documents"))
 
@@ -30,6 +36,14 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op6_training_order(spark: SparkSession, sf: str) -> DataFrame:
+    return order.training_order(_table(spark, sf, "documents"), shared_path(spark, "shards"))
+
+
+def op7_snapshot_collapse(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.maximal_conversations(_table(spark, sf, "conversations"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encoded(_table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY),
                        public_tokenizers.PATTERN)
@@ -39,13 +53,23 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(_table(spark, sf, "documents"))
 
 
+def op10_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf, "embeddings"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_class_lm": op2_class_lm,
     "op3_simhash_vptree": op3_simhash_vptree,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op6_training_order": op6_training_order,
+    "op7_snapshot_collapse": op7_snapshot_collapse,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_mixing": op9_mixing,
+    "op10_near_vectors": op10_near_vectors,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_snapshot_collapse": conversations.SQL,
+}
