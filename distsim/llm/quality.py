@@ -12,7 +12,7 @@ constant array, so scoring is one pass over the documents without any shuffle.
 
 Edges: a null or blank text has no words, fails the base rules and scores 0. Rows are
 judged one by one, so repeated rows get the same verdict. With no trusted document at all
-both multinomials would differ by smoothing only, so the ratio is 0 everywhere.
+the ratio is 0 everywhere.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from .common import words
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2)
-SMOOTHING = 1.0
-THRESHOLD = -0.05
+PRIOR = 16.0
+THRESHOLD = -0.07
 TRUSTED_ROWS = 20_000
 WINDOW = 5
 MIN_WORDS = 10
@@ -107,9 +107,12 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame, *, orders=ORDERS, buckets: int = BUCKETS,
-                smoothing: float = SMOOTHING) -> list[float]:
+                prior: float = PRIOR) -> list[float]:
     """Log ratio of trusted to raw probability of each bucket, over all of ``docs``.
 
+    Trusted counts are shrunk towards those expected at the raw rate by ``prior``
+    pseudo-counts, so a bucket that is too rare to tell has a ratio near zero.
+
     ``trusted`` has the ids (``doc_id``) of trusted documents; its size is bounded by
     :func:`trusted_ids`, so it is broadcast.
     """
@@ -123,12 +126,9 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, *, orders=ORDERS, buckets:
     good = sum(x for _, x in counts.values())
     if not good:
         return [0.0] * buckets
-
-    def share(c: int, n: int) -> float:
-        return math.log((c + smoothing) / (n + smoothing * buckets))
-
+    rate = good / raw
     pairs = (counts.get(b, (0, 0)) for b in range(buckets))
-    return [round(share(g, good) - share(r, raw), 4) for r, g in pairs]
+    return [round(math.log((g + prior) / (r * rate + prior)), 4) for r, g in pairs]
 
 
 def with_quality(docs: DataFrame, table: list[float], *, threshold: float = THRESHOLD,
