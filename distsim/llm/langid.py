@@ -178,15 +178,22 @@ def fit(docs: DataFrame, *, per_class: int = PER_CLASS, max_classes: int = MAX_C
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
     usable = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(
         ~in_fold(F.col("doc_id"), folds, held_out))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(by_hash)).where(
-        F.col("k") <= per_class)
     langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_classes)
-    languages = sorted(r.lang for r in langs.collect())
+    sizes = {r.lang: r["count"] for r in langs.collect()}
+    languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0), idf)
-    chosen = ids.where(F.col("lang").isin(languages)).groupBy("doc_id").agg(
-        F.min("k").alias("k"))
+    # A threshold on the hash leaves about three times the rows wanted of each language, so
+    # that ranking sees only those, whatever the size of the input.
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    share = F.lit(0)
+    for lang, size in sizes.items():
+        limit = min(1 << 40, (3 * per_class << 40) // size)
+        share = F.when(F.col("lang") == lang, F.lit(limit)).otherwise(share)
+    by_hash = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    ids = usable.select("doc_id", "lang", draw.alias("draw")).where(F.col("draw") < share)
+    chosen = ids.withColumn("k", F.row_number().over(by_hash)).where(
+        F.col("k") <= per_class).groupBy("doc_id").agg(F.min("k").alias("k"))
 
     def featurize(batches):
         for batch in batches:
