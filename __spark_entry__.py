@@ -31,13 +31,7 @@ except ImportError:
 DATA = "/root/testdata"
 WORDS = ["the", "of", "and"]
 MIN_FREQ, MIN_PAIR, SIM_MIN = 10, 2, 0.2
-# Thresholds for the queries whose result is quadratic in the number of targets.
-HIGH_FREQ, HIGH_PAIR = 50, 5
-
-MEASURES = [
-    "cond_prob", "pmi", "npmi", "lmi", "tscore", "zscore", "dice", "chisquare",
-    "loglike", "affinity", "entropy_target", "entropy_context",
-]
+MEASURES = ds.PROFILE_MEASURES
 
 
 # --- inputs ------------------------------------------------------------------------
@@ -45,12 +39,12 @@ MEASURES = [
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf}/documents.parquet").select("text")
-    return ds.corpus_lines(ds.spread(documents))
+    return ds.corpus_lines(documents)
 
 
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf}/conversations.parquet").select("text")
-    return ds.corpus_lines(ds.spread(turns)).withColumnRenamed("line", "sentence")
+    return ds.corpus_lines(turns).withColumnRenamed("line", "sentence")
 
 
 def _counted(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,16 +57,18 @@ def _pairs(
     return ds.pair_counts(ds.bigram_pairs(_lines(spark, sf), clean=True), min_freq, min_pair)
 
 
-def _high_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(spark, sf, HIGH_FREQ, HIGH_PAIR)
-
-
 def _thesaurus(spark: SparkSession, sf: str) -> DataFrame:
+    ds.configure(spark)
     return ds.thesaurus(ds.similarity(_pairs(spark, sf), sim_min=SIM_MIN))
 
 
+def _word_thesaurus(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of the thesaurus that a few words need."""
+    return ds.thesaurus(ds.similarity(_pairs(spark, sf), sim_min=SIM_MIN, words=WORDS))
+
+
 def _reduced(spark: SparkSession, sf: str) -> DataFrame:
-    return ds.reduced_thesaurus(_thesaurus(spark, sf), WORDS)
+    return ds.reduced_thesaurus(_word_thesaurus(spark, sf), WORDS)
 
 
 def _frequencies(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,6 +107,7 @@ def _round_similarity(df: DataFrame) -> DataFrame:
 
 def entry(spark: SparkSession) -> DataFrame:
     """Ten nearest neighbors of every word of the smallest corpus."""
+    ds.configure(spark)
     pairs = _pairs(spark, f"{DATA}/sf0.001")
     nearest = ds.thesaurus(ds.similarity(pairs, sim_min=SIM_MIN))
     return ds.reduced_thesaurus(nearest, size=10)
@@ -179,30 +176,43 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def evaluate(dedupe):
         def run(s, d):
             return ds.evaluate_thesaurus(
-                _thesaurus(s, d), _frequencies(s, d), _trigrams(s, d), _sentences(s, d),
+                _word_thesaurus(s, d), _frequencies(s, d), _trigrams(s, d), _sentences(s, d),
                 WORDS, dedupe=dedupe,
             ).select("target", "neighbor", _round("score"))
         return run
 
+    def evaluate_all_words(s, d):
+        nearest = _thesaurus(s, d)
+        targets = nearest.select(F.col("target1").alias("target")).distinct()
+        return ds.evaluate_thesaurus(
+            nearest, _frequencies(s, d), _trigrams(s, d), _sentences(s, d), targets,
+            strict_context=True,
+        ).select("target", "neighbor", _round("score"))
+
     def context_trigrams(s, d):
         contexts = ds.sentence_contexts(_sentences(s, d), WORDS)
         return ds.context_trigrams(_trigrams(s, d), contexts, _reduced(s, d))
 
     def render_similarity(s, d):
+        ds.configure(s)
         pairs = ds.similarity(_pairs(s, d), sim_min=SIM_MIN, distances=True)
-        # The random score is left out: no other engine repeats it.
+        # The random score has a query of its own.
         return ds.render_similarity(_round_similarity(pairs).withColumn("randomic", F.lit(0.0)))
 
     def build_thesaurus(s, d):
+        ds.configure(s)
         return _round_similarity(ds.build_thesaurus(
             _lines(s, d), MIN_FREQ, MIN_PAIR, sim_min=SIM_MIN, distances=True))
 
-    def sim(pairs=_pairs, **options):
-        return lambda s, d: _round_similarity(ds.similarity(pairs(s, d), **options))
+    def sim(**options):
+        def run(s, d):
+            ds.configure(s)
+            return _round_similarity(ds.similarity(_pairs(s, d), **options))
+        return run
 
     return {
         "corpus_lines": _lines,
-        "sentences_from": _sentences,
+        "sentence_lines": _sentences,
         "clean_line": clean_line,
         "tokenize": tokenize,
         "ngrams_2": lambda s, d: ds.ngrams(_lines(s, d), 2),
@@ -228,8 +238,9 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "similarity_distances": sim(sim_min=SIM_MIN, distances=True),
         "similarity_high_threshold": sim(sim_min=0.7, distances=True),
         "similarity_assoc_min": sim(sim_min=SIM_MIN, assoc_min=3),
-        "similarity_dist_max": sim(_high_pairs, dist_max=0.5, distances=True),
-        "similarity_all_pairs": sim(_high_pairs, distances=True),
+        "similarity_pruned": sim(sim_min=0.7, distances=True, prune=True),
+        "similarity_words": sim(sim_min=SIM_MIN, distances=True, words=WORDS),
+        "similarity_dist_max": sim(sim_min=SIM_MIN, dist_max=0.5, distances=True),
         "similarity_random": similarity_random,
         "thesaurus": lambda s, d: _round_similarity(_thesaurus(s, d)),
         "reduced_thesaurus": _reduced,
@@ -257,10 +268,11 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "context_trigrams": context_trigrams,
         "evaluate_thesaurus": evaluate(False),
         "evaluate_thesaurus_dedupe": evaluate(True),
+        "evaluate_thesaurus_all_words": evaluate_all_words,
         "sentence_variants": lambda s, d: ds.sentence_variants(
-            _sentences(s, d), _thesaurus(s, d), "the", size=5),
+            _sentences(s, d), _word_thesaurus(s, d), "the"),
         "substitute_sentence": lambda s, d: ds.substitute_sentence(
-            _sentences(s, d), _thesaurus(s, d), "the"),
+            _sentences(s, d), _word_thesaurus(s, d), "the"),
         "build_thesaurus": build_thesaurus,
     }
 
@@ -278,6 +290,7 @@ def _tokens(line: str) -> str:
 
 
 def _clean(line: str) -> str:
+    # Fixed value: the characters that cleaning removes.
     special = r"""[~!@#$^%&*\\()_+={}|;:"''<,>.?`/-]"""
     return (f"regexp_replace(regexp_replace({line}, '{special}', '', 'g'), ' +', ' ', 'g')")
 
@@ -378,7 +391,6 @@ _CTES = {
               "(SELECT string_split(rtrim(ngram, ' '), ' ') AS f FROM bigrams) WHERE len(f) = 2",
     "counted": "SELECT target, context, count(*)::BIGINT AS n FROM parsed GROUP BY 1, 2",
     "pc": _filtered(MIN_FREQ, MIN_PAIR),
-    "pchigh": _filtered(HIGH_FREQ, HIGH_PAIR),
     "pcassoc": "SELECT * FROM pc WHERE n > 3",
     "tprof": _entropy("target"),
     "cprof": _entropy("context"),
@@ -399,14 +411,6 @@ _CTES = {
                "USING (target1, target2)",
     "simhighdist": f"SELECT * FROM simhigh JOIN ({_distances('simhigh', 'pc')}) "
                    "USING (target1, target2)",
-    "highpairs": """SELECT a.target AS target1, b.target AS target2
-        FROM (SELECT DISTINCT target FROM pchigh) a
-        JOIN (SELECT DISTINCT target FROM pchigh) b ON a.target < b.target""",
-    "simall": f"""SELECT target1, target2, coalesce(cosine, 0) AS cosine,
-          coalesce(wjaccard, 0) AS wjaccard, coalesce(lin, 0) AS lin,
-          l1, l2, jsd, askew1, askew2
-        FROM ({_distances('highpairs', 'pchigh')})
-        LEFT JOIN ({_similar('pchigh')}) USING (target1, target2)""",
     "thes": """SELECT target1 AS target, target2 AS neighbor, cosine FROM simcos UNION ALL
         SELECT target2, target1, cosine FROM simcos""",
     "ranked": """SELECT target, neighbor, cosine, row_number() OVER
@@ -436,10 +440,29 @@ _CTES = {
           ON a.word = r.target AND a.w_prev = t.w_prev
         JOIN (SELECT word, w_next, count(*) AS k FROM ctx GROUP BY 1, 2) b
           ON b.word = r.target AND b.w_next = t.w_next""",
+    "hitsall": f"""SELECT word, tok, list_position(tok, word) AS p
+        FROM (SELECT tok, unnest(list_distinct(tok)) AS word
+              FROM (SELECT {_tokens('sentence')} AS tok FROM sents))
+        WHERE word IN (SELECT target FROM thes)""",
+    "ctxall": """SELECT word, lower(CASE WHEN p > 1 THEN tok[p - 1] ELSE '' END) AS w_prev,
+          lower(coalesce(tok[p + 1], '')) AS w_next FROM hitsall""",
+    "reducedall": "SELECT target, neighbor, cosine FROM ranked WHERE rn <= 50",
+    "lmall": """SELECT r.target, t.w, t.n, (a.k * b.k)::BIGINT AS weight
+        FROM tris t
+        JOIN reducedall r ON r.neighbor = t.w
+        JOIN (SELECT word, w_prev, count(*) AS k FROM ctxall GROUP BY 1, 2) a
+          ON a.word = r.target AND a.w_prev = t.w_prev
+        JOIN (SELECT word, w_next, count(*) AS k FROM ctxall GROUP BY 1, 2) b
+          ON b.word = r.target AND b.w_next = t.w_next""",
+    "scoredall": """SELECT r.target, r.neighbor,
+          cosine + coalesce(ln(n + 1), 0) + ln(freq) / 10 AS score,
+          unnest(range(least(coalesce(weight, 1), 10))) AS copy
+        FROM reducedall r JOIN freqs ON freqs.word = r.neighbor
+        LEFT JOIN lmall m ON m.target = r.target AND m.w = r.neighbor""",
     "nf": "SELECT target, neighbor, cosine, freq FROM reduced JOIN freqs ON word = neighbor",
     "scored": """SELECT nf.target, nf.neighbor,
           cosine + coalesce(ln(n + 1), 0) + ln(freq) / 10 AS score,
-          unnest(range(coalesce(least(weight, 10), 1))) AS copy
+          unnest(range(least(coalesce(weight, 1), 10))) AS copy
         FROM nf LEFT JOIN lm ON lm.target = nf.target AND lm.w = nf.neighbor""",
     "best": "SELECT target, neighbor, max(score) AS score FROM scored GROUP BY 1, 2",
 }
@@ -469,7 +492,7 @@ def _top(source: str) -> str:
 
 
 def core_sql() -> dict[str, str]:
-    """DuckDB SQL per query; the random score has none."""
+    """DuckDB SQL per query."""
     profile = "target, context, n, target_n, context_n"
     rounded = ", ".join(f"{_r(m)} AS {m}" for m in MEASURES)
     stored = ", ".join(f"{_r(f'round({m}, 10)')} AS {m}" for m in MEASURES)
@@ -501,7 +524,7 @@ def core_sql() -> dict[str, str]:
         FROM (SELECT *, count(*) OVER (PARTITION BY target) AS d FROM pc)"""
     sql = {
         "corpus_lines": "SELECT line FROM lines",
-        "sentences_from": "SELECT sentence FROM sents",
+        "sentence_lines": "SELECT sentence FROM sents",
         "clean_line": "SELECT line, cleaned FROM cleaned",
         "tokenize": "SELECT line, array_to_string(t, '|') AS tokens, len(t)::BIGINT AS size "
                     f"FROM (SELECT line, {_tokens('line')} AS t FROM lines)",
@@ -537,9 +560,14 @@ def core_sql() -> dict[str, str]:
         "similarity_distances": f"SELECT {far} FROM simdist",
         "similarity_high_threshold": f"SELECT {far} FROM simhighdist",
         "similarity_assoc_min": f"SELECT {near} FROM simassoc",
-        "similarity_dist_max": f"SELECT {far} FROM simall "
+        "similarity_pruned": f"SELECT {far} FROM simhighdist",
+        "similarity_words": f"SELECT {far} FROM simdist "
+                            f"WHERE target1 IN ({_WORDS_SQL}) OR target2 IN ({_WORDS_SQL})",
+        "similarity_dist_max": f"SELECT {far} FROM simdist "
                                "WHERE NOT (lin > 0.5 AND l1 > 0.5 AND jsd > 0.5)",
-        "similarity_all_pairs": f"SELECT {far} FROM simall",
+        "similarity_random": """SELECT target1, target2,
+            ('0x' || left(md5(concat_ws(chr(9), '7', target1, target2)), 13))::BIGINT
+              * pow(2, -52) AS randomic FROM simcos""",
         "thesaurus": f"SELECT {near} FROM simcos UNION ALL SELECT {nearback} FROM simcos",
         "reduced_thesaurus": "SELECT target, neighbor, cosine FROM reduced",
         "reduced_thesaurus_all_words": "SELECT target, neighbor, cosine FROM ranked "
@@ -566,11 +594,12 @@ def core_sql() -> dict[str, str]:
         "context_trigrams": "SELECT target, w_prev, w, w_next, n, weight FROM lm",
         "evaluate_thesaurus": _top("scored"),
         "evaluate_thesaurus_dedupe": _top("best"),
+        "evaluate_thesaurus_all_words": _top("scoredall"),
         "sentence_variants": f"""SELECT sentence, NULL::VARCHAR AS neighbor, sentence AS variant
             FROM sents WHERE contains(sentence, 'the')
             UNION ALL SELECT sentence, neighbor, regexp_replace(sentence,
               '(^|[^\\p{{L}}\\p{{Nd}}_])the', '\\1' || neighbor, 'g') AS variant
-            FROM sents, {nearest.format(5)} WHERE contains(sentence, 'the')""",
+            FROM sents, {nearest.format(50)} WHERE contains(sentence, 'the')""",
         "substitute_sentence": "SELECT sentence, neighbor, replace(sentence, 'the', neighbor) "
                                f"AS variant FROM sents, {nearest.format(1)}",
         "build_thesaurus": f"SELECT {far} FROM simdist UNION ALL SELECT {back} FROM simdist",

@@ -1,6 +1,7 @@
 """Distributional semantics over large text corpora, on Spark DataFrames."""
 
 from .functions.render import (
+    PROFILE_MEASURES,
     parse_vector,
     render_evaluation,
     render_ngram_counts,
@@ -37,6 +38,7 @@ from .operators.profiles import (
     target_profiles,
 )
 from .operators.similarity import (
+    configure,
     similarity,
     target_vectors,
     thesaurus,
@@ -45,13 +47,20 @@ from .operators.similarity import (
 from .operators.substitution import sentence_variants, substitute_sentence
 from .operators.thesaurus import (
     context_trigrams,
-    evaluate_thesaurus,
     neighbor_frequencies,
     reduced_thesaurus,
     score_neighbors,
     sentence_contexts,
+    shared_neighbors,
+)
+from .plans.chain import (
+    build_profiles,
+    build_thesaurus,
+    calculate_similarity,
+    evaluate,
+    evaluate_thesaurus,
+    filter_pairs,
 )
-from .plans.chain import build_profiles, build_thesaurus, calculate_similarity, evaluate, filter_pairs
 from .sources.sinks import StepWriter, write_pairs_csv, write_stage
 from .sources.text_files import (
     read_frequencies_text,
@@ -61,7 +70,6 @@ from .sources.text_files import (
     read_thesaurus_text,
     read_trigrams_text,
     sentences_from,
-    spread,
 )
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -31,6 +31,7 @@ Similarity Search", WWW 2007) then never forms them: see :func:`_pruned_sums`.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,16 +44,9 @@ MEASURES = ["cosine", "wjaccard", "lin", "l1", "l2", "jsd", "randomic", "askew1"
 # Cells per partition: enough for an even load, few enough to keep copies of entries low.
 CELLS_PER_PARTITION = 8
 
-# From this cosine threshold on the pruned plan is used. Below it the result itself holds
-# a large part of all pairs that share a context, and pruning does not pay.
-PRUNE_FROM = 0.7
-
 # Slack for rounding when a bound is compared with the threshold.
 SLACK = 1 - 1e-9
 
-# A context no vector can have, since a line has no line break.
-NO_CONTEXT = "\n"
-
 
 def _grid(
     spark: SparkSession, partitions: int | None, blocks: int | None
@@ -62,12 +56,22 @@ def _grid(
         partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     if blocks is None:
         blocks = math.ceil(math.sqrt(2 * CELLS_PER_PARTITION * partitions))
-    # Both join sides are partitioned by cell. Without this, Spark would shuffle them
-    # again by cell and context, and then the pairs by target. It changes no result.
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return partitions, blocks
 
 
+def configure(spark: SparkSession) -> None:
+    """Let joins and aggregations use a partitioning by some of their keys.
+
+    Both sides of the pair join are partitioned by cell. With Spark's default, they are
+    shuffled again by cell and context, and the rows of pairs, the largest table of the
+    job, by target. An application that computes similarities calls this once for its
+    session; it changes no result, and no operator calls it. The setting holds for all
+    queries of the session: a join on two keys whose sides happen to be partitioned by one
+    of them is then not shuffled again.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def target_vectors(pair_counts: DataFrame) -> DataFrame:
     """Size, sum and sum of squares of each target's vector."""
     return pair_counts.groupBy("target").agg(
@@ -141,16 +145,20 @@ def _in_cells(rows: DataFrame, blocks: int, partitions: int, part: str) -> DataF
     return keyed.repartition(partitions, "i", "j")
 
 
+def _entry_keys(rows: DataFrame) -> list[str]:
+    """What two entries must share to meet: the context, and whether they are added ones."""
+    return [c for c in ("context", "added") if c in rows.columns]
+
+
 def _join_cells(rows: DataFrame, partitions: int, blocks: int) -> DataFrame:
     """Pairs of entries on a shared context, each pair of targets in one cell (i, j)."""
 
     def side(name: str, part: str) -> DataFrame:
-        kept = {c: f"{name}_{c}" for c in rows.columns if c != "context"}
+        kept = {c: f"{name}_{c}" for c in rows.columns if c not in _entry_keys(rows)}
         return _in_cells(rows, blocks, partitions, part).withColumnsRenamed(kept)
 
-    return side("a", "row").join(
-        side("b", "column").hint("merge"), ["i", "j", "context"]
-    ).where((F.col("i") != F.col("j")) | (F.col("a_target") < F.col("b_target")))
+    keys = ["i", "j", *_entry_keys(rows)]
+    return side("a", "row").join(side("b", "column").hint("merge"), keys).where((F.col("i") != F.col("j")) | (F.col("a_target") < F.col("b_target")))
 
 
 def _contributions(v1: Column, v2: Column, distances: bool, jsd: str) -> dict[str, Column]:
@@ -208,21 +216,54 @@ def _pair_sums(
     )
 
 
-def _plain_sums(
-    entries: DataFrame, distances: bool, jsd: str, all_pairs: bool, partitions: int, blocks: int
+def _with_totals(
+    entries: DataFrame, distances: bool, jsd: str, all_pairs: bool
 ) -> DataFrame:
-    """Sums of every pair that shares a context, or of every pair at all."""
+    """Entries with the totals of their target, and the root of its sum of squares."""
     totals = _totals(entries, distances, jsd)
     rows = entries.join(totals, "target")
     if all_pairs:
-        # One more entry per target, of weight zero: it pairs all targets and adds
-        # nothing to any sum.
-        zero = totals.withColumns({"context": F.lit(NO_CONTEXT), "n": F.lit(0).cast("bigint")})
-        rows = rows.unionByName(zero)
-    rows = rows.withColumn("root", F.sqrt("q"))
+        # One more entry per target, of weight zero and apart from all contexts: it pairs
+        # all targets and adds nothing to any sum.
+        zero = totals.withColumns(
+            {"context": F.lit(""), "n": F.lit(0).cast("bigint"), "added": F.lit(True)}
+        )
+        rows = rows.withColumn("added", F.lit(False)).unionByName(zero)
+    return rows.withColumn("root", F.sqrt("q"))
+
+
+def _plain_sums(
+    entries: DataFrame, distances: bool, jsd: str, all_pairs: bool, partitions: int, blocks: int
+) -> DataFrame:
+    """Sums of every pair that shares a context, or of every pair at all."""
+    rows = _with_totals(entries, distances, jsd, all_pairs)
     return _pair_sums(_join_cells(rows, partitions, blocks), distances, jsd)
 
 
+def _word_sums(
+    entries: DataFrame, distances: bool, jsd: str, all_pairs: bool, words: DataFrame
+) -> DataFrame:
+    """Sums of the pairs with at least one of the words.
+
+    The words' entries meet all entries on context, so no pair of others is formed and no
+    entry is copied. A pair of two words is taken from the smaller one.
+    """
+    rows = _with_totals(entries, distances, jsd, all_pairs)
+    chosen = words.select("target").where(F.col("target").isNotNull()).distinct()
+    marked = rows.join(chosen.withColumn("word", F.lit(True)), "target", "left")
+
+    def side(name: str, df: DataFrame) -> DataFrame:
+        kept = {c: f"{name}_{c}" for c in df.columns if c not in _entry_keys(df)}
+        return df.withColumnsRenamed(kept)
+
+    one = side("a", rows.join(chosen, "target", "left_semi"))
+    met = one.join(side("b", marked), _entry_keys(rows)).where(
+        (F.col("a_target") != F.col("b_target"))
+        & (F.col("b_word").isNull() | (F.col("a_target") < F.col("b_target")))
+    )
+    return _pair_sums(met.withColumns({"i": F.lit(0), "j": F.lit(0)}), distances, jsd)
+
+
 def _levelled(entries: DataFrame, distances: bool, jsd: str, sim_min: float) -> DataFrame:
     """Entries with the totals of their target and the frequency level of their context.
 
@@ -321,9 +362,9 @@ def _pruned_sums(
 
 
 def _uniform(seed: int) -> Column:
-    """A number in [0, 1) per pair, the same again when a lost task is recomputed."""
-    bits = F.xxhash64(F.lit(seed), "target1", "target2")
-    return F.shiftrightunsigned(bits, 11) * F.lit(2.0**-53)
+    """A number in [0, 1) per pair from a digest that any engine repeats."""
+    digest = F.md5(F.concat_ws("\t", F.lit(str(seed)), "target1", "target2"))
+    return F.conv(F.left(digest, F.lit(13)), 16, 10).cast("bigint") * F.lit(2.0**-52)
 
 
 def _finish(
@@ -371,7 +412,9 @@ def similarity(
     seed: int = 0,
     partitions: int | None = None,
     blocks: int | None = None,
-    prune: bool | None = None,
+    prune: bool = False,
+    all_pairs: bool = False,
+    words: str | Sequence[str] | DataFrame | None = None,
 ) -> DataFrame:
     """Similarity of pairs of targets, ``target1 < target2``.
 
@@ -381,26 +424,42 @@ def similarity(
     counted more often. Without ``distances``, L1, L2 and the divergences are zero.
 
     With a positive ``sim_min`` only targets that share a context are ever paired.
-    Without it the result holds every pair of targets, shared context or not, and is
-    quadratic in the number of targets by definition.
+    ``all_pairs=True`` gives every pair of targets, shared context or not, which is
+    quadratic in the number of targets; without either, the call is refused.
 
-    ``partitions`` defaults to four times ``spark.sql.shuffle.partitions``, ``blocks``
-    follows from it. ``prune`` forces or forbids the pruned plan; the result is the same.
+    ``words`` (a word, a list, or a DataFrame with a column ``target``) keeps the pairs with
+    at least one of them, and forms no others; it is meant for few words.
+
+    ``partitions`` defaults to four times ``spark.sql.shuffle.partitions``. Entries are
+    copied ``blocks + 1`` times; ``blocks`` defaults to about eight cells per partition, and
+    may be set lower if partitions are many for other reasons than the size of the data.
+    ``prune`` uses the pruned plan, with the same result; it pays at high thresholds over
+    long vectors. Call :func:`configure` once per session for the best plan.
     """
-    all_pairs = sim_min is None or sim_min <= 0
-    if prune is None:
-        prune = not all_pairs and sim_min >= PRUNE_FROM
-    if prune and all_pairs:
-        raise ValueError("pruning needs a positive sim_min")
-    partitions, blocks = _grid(pair_counts.sparkSession, partitions, blocks)
+    if all_pairs == (sim_min is not None and sim_min > 0):
+        raise ValueError("give either a positive sim_min or all_pairs=True")
+    if prune and (all_pairs or words is not None):
+        raise ValueError("pruning needs a positive sim_min and no words")
     entries = shared_once(association_filter(pair_counts, assoc_min))
-    if prune:
-        sums = _pruned_sums(entries, distances, jsd, sim_min, partitions, blocks)
+    if words is not None:
+        sums = _word_sums(entries, distances, jsd, all_pairs, word_table(entries, words))
     else:
-        sums = _plain_sums(entries, distances, jsd, all_pairs, partitions, blocks)
+        partitions, blocks = _grid(pair_counts.sparkSession, partitions, blocks)
+        if prune:
+            sums = _pruned_sums(entries, distances, jsd, sim_min, partitions, blocks)
+        else:
+            sums = _plain_sums(entries, distances, jsd, all_pairs, partitions, blocks)
     return _finish(sums, distances, sim_min, dist_max, seed)
 
 
+def word_table(df: DataFrame, words: str | Sequence[str] | DataFrame) -> DataFrame:
+    """Words as a DataFrame with a column ``target``."""
+    if isinstance(words, DataFrame):
+        return words.select("target")
+    listed = [words] if isinstance(words, str) else list(words)
+    return df.sparkSession.createDataFrame([(w,) for w in listed], "target string")
+
+
 def thesaurus(similarity: DataFrame, swap_askew: bool = False) -> DataFrame:
     """Every pair in both directions, with the same measures.
 

@@ -35,7 +35,11 @@ def reduced_thesaurus(
     """
     if "target1" in thesaurus.columns:
         thesaurus = thesaurus.withColumnsRenamed({"target1": "target", "target2": "neighbor"})
-    rows = thesaurus.select("target", "neighbor", F.bround("cosine", 6).alias("cosine"))
+    # Nulls are dropped first: else each use of the result pushes its own test for them
+    # below the ranking, and what computes the thesaurus runs once per use.
+    rows = thesaurus.select("target", "neighbor", F.bround("cosine", 6).alias("cosine")).where(
+        F.col("target").isNotNull() & F.col("neighbor").isNotNull() & F.col("cosine").isNotNull()
+    )
     if isinstance(words, DataFrame):
         rows = rows.join(words.select("target").distinct(), "target", "left_semi")
     elif words is not None:
@@ -43,6 +47,14 @@ def reduced_thesaurus(
     return top_rows(rows, "target", "cosine", size)
 
 
+def shared_neighbors(reduced: DataFrame) -> DataFrame:
+    """A reduced thesaurus behind a shuffle that all uses of it in a plan share.
+
+    All columns are keys, so a use that needs fewer of them still reads the same shuffle.
+    """
+    return reduced.repartition("neighbor", "target", "cosine")
+
+
 def neighbor_frequencies(
     reduced: DataFrame, frequencies: DataFrame, sort: bool = False
 ) -> DataFrame:
@@ -58,7 +70,7 @@ def neighbor_frequencies(
 
 def sentence_contexts(
     sentences: DataFrame,
-    words: str | Sequence[str],
+    words: str | Sequence[str] | DataFrame,
     strict_context: bool = False,
     sentence: str = "sentence",
 ) -> DataFrame:
@@ -68,33 +80,56 @@ def sentence_contexts(
     context. ``strict_context`` gives the right neighbor of a first word and drops
     sentences where the word is no token. ``word`` is the key, as given; the other
     columns are lower-cased.
-    """
-    word = F.col("word")
-    hits = (
-        sentences.select(
-            F.col(sentence).alias("sentence"),
-            F.explode(F.array(*[F.lit(w) for w in _words(words)])).alias("word"),
-        )
-        .where(F.contains("sentence", word))
-        .select("word", split_fields("sentence", " ").alias("tokens"))
-        .select("word", "tokens", F.array_position("tokens", word).cast("int").alias("at"))
-    )
-
-    def token(offset: int) -> Column:
-        return F.coalesce(F.get("tokens", F.col("at") - 1 + offset), F.lit(""))
 
+    ``words`` may be a DataFrame with a column ``target``, of any size, with
+    ``strict_context`` only: tokens are then joined with it. Finding words inside others
+    tries every word on every sentence, which is for a short list.
+    """
+    tokens = split_fields(sentence, " ")
     if strict_context:
-        hits = hits.where(F.col("at") > 0)
-        left = F.when(F.col("at") > 1, token(-1)).otherwise("")
-        right = token(1)
+        rows = sentences.select(tokens.alias("tokens"))
+
+        def around(token: Column, at: Column) -> Column:
+            return F.when(
+                F.array_position("tokens", token) == at + 1,
+                F.struct(
+                    token.alias("word"),
+                    F.when(at > 0, F.get("tokens", at - 1)).alias("w_prev"),
+                    F.get("tokens", at + 1).alias("w_next"),
+                ),
+            )
+
+        if isinstance(words, DataFrame):
+            chosen = words.select(F.col("target").alias("word")).distinct()
+            first = F.explode(F.array_compact(F.transform("tokens", around)))
+            hits = rows.select(first.alias("hit")).select("hit.*").join(chosen, "word")
+        else:
+            listed = F.array(*[F.lit(w) for w in _words(words)])
+            first = F.explode(F.array_compact(F.transform(
+                "tokens", lambda t, at: F.when(F.array_contains(listed, t), around(t, at)))))
+            hits = rows.select(first.alias("hit")).select("hit.*")
+        left, right = F.col("w_prev"), F.col("w_next")
     else:
-        left = F.when(F.col("at") > 1, token(-1)).otherwise("")
-        right = F.when(F.col("at") > 1, token(1)).otherwise("")
+        if isinstance(words, DataFrame):
+            raise ValueError("a table of words needs strict_context=True")
+        word = F.col("word")
+        found = (
+            sentences.select(
+                F.col(sentence).alias("sentence"),
+                F.explode(F.array(*[F.lit(w) for w in _words(words)])).alias("word"),
+            )
+            .where(F.contains("sentence", word))
+            .select("word", split_fields("sentence", " ").alias("tokens"))
+        )
+        hits = found.withColumn("at", F.array_position("tokens", word).cast("int"))
+        left, right = (
+            F.when(F.col("at") > 1, F.get("tokens", F.col("at") - 1 + k)) for k in (-1, 1)
+        )
     return hits.select(
         "word",
-        F.lower(left).alias("w_prev"),
+        F.lower(F.coalesce(left, F.lit(""))).alias("w_prev"),
         F.lower("word").alias("target"),
-        F.lower(right).alias("w_next"),
+        F.lower(F.coalesce(right, F.lit(""))).alias("w_next"),
     )
 
 
@@ -144,9 +179,18 @@ def score_neighbors(
 
     Each matching trigram scores its neighbor separately, as often as its weight says,
     so a neighbor can take several places. ``dedupe`` keeps the best score of each.
+
+    The score rises with ``n``, so of the trigrams of one neighbor the ``synonyms`` with the
+    largest ``n`` are enough; the others are dropped before the join, which is dealt by both
+    words, whatever the session's settings.
     """
+    both = ["target", "neighbor"]
     matched = matches.select("target", F.col("w").alias("neighbor"), "n", "weight")
-    scored = neighbors.join(matched, ["target", "neighbor"], "left").select(
+    matched = matched.groupBy(*both, "n").agg(F.sum("weight").alias("weight"))
+    best = Window.partitionBy(*both).orderBy(F.col("n").desc())
+    matched = matched.repartition(*both).withColumn("_k", F.row_number().over(best)).where(
+        F.col("_k") <= synonyms).drop("_k")
+    scored = neighbors.repartition(*both).join(matched, ["target", "neighbor"], "left").select(
         "target",
         "neighbor",
         substitute_score(F.col("cosine"), F.col("freq"), F.col("n")).alias("score"),
@@ -160,22 +204,3 @@ def score_neighbors(
         copies = F.sequence(F.lit(1), F.least(F.col("weight"), F.lit(synonyms)).cast("int"))
         scored = scored.select("target", "neighbor", "score", F.explode(copies)).drop("col")
     return top_rows(scored, "target", "score", synonyms).select("target", "neighbor", "score")
-
-
-def evaluate_thesaurus(
-    thesaurus: DataFrame,
-    frequencies: DataFrame,
-    trigrams: DataFrame,
-    sentences: DataFrame,
-    words: str | Sequence[str],
-    synonyms: int = 10,
-    thesaurus_size: int = 50,
-    dedupe: bool = False,
-    same_sentence: bool = False,
-    strict_context: bool = False,
-) -> DataFrame:
-    """Rank substitutes for each word from similarity, frequency and sentence context."""
-    reduced = reduced_thesaurus(thesaurus, words, thesaurus_size)
-    contexts = sentence_contexts(sentences, words, strict_context)
-    matches = context_trigrams(trigrams, contexts, reduced, same_sentence)
-    return score_neighbors(neighbor_frequencies(reduced, frequencies), matches, synonyms, dedupe)

@@ -31,6 +31,7 @@ def filter_pairs(
 
 def build_profiles(pair_counts: DataFrame, steps: Steps = no_steps) -> DataFrame:
     """Association profiles of counted pairs."""
+    pair_counts = counts.shared_once(pair_counts)
     steps("target_profiles", profiles.target_profiles(pair_counts))
     steps("context_profiles", profiles.context_profiles(pair_counts))
     marginals = steps("pair_marginals", profiles.pair_marginals(pair_counts))
@@ -63,26 +64,28 @@ def build_thesaurus(
     assoc_min: float | None = None,
     distances: bool = False,
     clean: bool = True,
+    pair_lines: bool = False,
     steps: Steps = no_steps,
     **options,
 ) -> DataFrame:
-    """Corpus lines to thesaurus.
+    """Corpus lines to thesaurus; with ``pair_lines``, lines of two words each are read.
 
-    Association profiles are not computed on the way: similarity reads only the counts.
+    Needs a positive ``sim_min`` or ``all_pairs=True``. Association profiles are not
+    computed on the way: similarity reads only the counts.
     """
-    pairs = ngrams.bigram_pairs(lines, clean)
+    pairs = ngrams.parse_pairs(lines, "line") if pair_lines else ngrams.bigram_pairs(lines, clean)
     counted = filter_pairs(pairs, min_freq, min_pair, steps)
     return calculate_similarity(
         counted, sim_min, dist_max, assoc_min, distances, steps, **options
     )
 
 
-def evaluate(
+def evaluate_thesaurus(
     thesaurus: DataFrame,
     frequencies: DataFrame,
     trigrams: DataFrame,
     sentences: DataFrame,
-    words: str | Sequence[str],
+    words: str | Sequence[str] | DataFrame,
     synonyms: int = 10,
     thesaurus_size: int = 50,
     dedupe: bool = False,
@@ -90,11 +93,18 @@ def evaluate(
     strict_context: bool = False,
     steps: Steps = no_steps,
 ) -> DataFrame:
-    """Ranked substitutes of the given words."""
-    reduced = steps("reduced_thesaurus", thes.reduced_thesaurus(thesaurus, words, thesaurus_size))
+    """Rank substitutes for each word from similarity, frequency and sentence context.
+
+    ``words`` may be a DataFrame with a column ``target``, then with ``strict_context``.
+    """
+    reduced = thes.reduced_thesaurus(thesaurus, words, thesaurus_size)
+    reduced = steps("reduced_thesaurus", thes.shared_neighbors(reduced))
     neighbors = steps("neighbor_frequencies", thes.neighbor_frequencies(reduced, frequencies))
     contexts = thes.sentence_contexts(sentences, words, strict_context)
     matches = steps(
         "context_trigrams", thes.context_trigrams(trigrams, contexts, reduced, same_sentence)
     )
     return steps("evaluation", thes.score_neighbors(neighbors, matches, synonyms, dedupe))
+
+
+evaluate = evaluate_thesaurus

@@ -35,7 +35,8 @@ def check(result, expected):
 
 def test_golden_pairs(spark):
     counted = ds.pair_counts(ds.bigram_pairs(lines(spark, CORPUS)))
-    found = {(r.target1, r.target2): r for r in ds.similarity(counted, distances=True).collect()}
+    found = {(r.target1, r.target2): r for r in ds.similarity(
+        counted, distances=True, all_pairs=True).collect()}
     row = found["cat", "dog"]
     assert [round(row[n], 6) for n in ("cosine", "wjaccard", "lin", "l1", "l2", "jsd", "askew1", "askew2")] == [
         0.707107, 0.555556, 0.714286, 3, 1.732051, 6.654761, 5.971564, 3.917036]
@@ -51,7 +52,8 @@ def test_golden_pairs(spark):
 def test_all_pairs_against_brute_force(spark, jsd, partitions, blocks):
     rows = vectors(1)
     result = ds.similarity(
-        frame(spark, rows), distances=True, jsd=jsd, partitions=partitions, blocks=blocks)
+        frame(spark, rows), distances=True, jsd=jsd, partitions=partitions, blocks=blocks,
+        all_pairs=True)
     check(result, all_measures(rows, jsd == "integer"))
 
 
@@ -90,7 +92,8 @@ def test_distance_filter_drops_only_if_all_three_exceed_it(spark, dist_max):
         p: m for p, m in all_measures(rows).items()
         if not (m["lin"] > dist_max and m["l1"] > dist_max and m["jsd"] > dist_max)
     }
-    check(ds.similarity(frame(spark, rows), dist_max=dist_max, distances=True), expected)
+    check(ds.similarity(frame(spark, rows), dist_max=dist_max, distances=True, all_pairs=True),
+          expected)
 
 
 def test_distances_off_are_zero(spark):
@@ -135,6 +138,46 @@ def test_thesaurus_is_symmetric(spark):
 
 def test_pruning_needs_a_threshold(spark):
     with pytest.raises(ValueError):
-        ds.similarity(frame(spark, vectors(1)), prune=True)
+        ds.similarity(frame(spark, vectors(1)), prune=True, all_pairs=True)
     with pytest.raises(ValueError):
         ds.similarity(frame(spark, vectors(1)), sim_min=0.1, distances=True, jsd="other")
+
+
+def test_a_quadratic_result_must_be_asked_for(spark):
+    df = frame(spark, vectors(1))
+    for wrong in ({}, {"sim_min": 0.0}, {"sim_min": 0.5, "all_pairs": True}):
+        with pytest.raises(ValueError):
+            ds.similarity(df, **wrong)
+    with pytest.raises(ValueError):
+        ds.calculate_similarity(df)
+
+
+def test_no_operator_changes_the_session(spark):
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    spark.conf.set(key, "true")
+    try:
+        expected = {p: m for p, m in all_measures(vectors(3)).items() if m["cosine"] >= 0.3}
+        check(ds.similarity(frame(spark, vectors(3)), sim_min=0.3, distances=True), expected)
+        assert spark.conf.get(key) == "true"
+    finally:
+        ds.configure(spark)
+    assert spark.conf.get(key) == "false"
+
+
+@pytest.mark.parametrize("sim_min", [None, 0.2, 0.7])
+def test_words_give_the_rows_of_the_full_result(spark, sim_min):
+    rows = vectors(10)
+    words = ["t01", "t02", "wide", "absent"]
+    expected = {p: m for p, m in all_measures(rows).items()
+                if (sim_min is None or m["cosine"] >= sim_min) and set(p) & set(words)}
+    table = spark.createDataFrame([(w,) for w in words + [None, "t01"]], "target string")
+    for chosen in (words, table):
+        check(ds.similarity(frame(spark, rows), sim_min=sim_min, distances=True, words=chosen,
+                            all_pairs=sim_min is None), expected)
+    plan = ds.similarity(frame(spark, rows), sim_min=0.2, words="t01")._jdf.queryExecution()
+    assert "Generate" not in plan.executedPlan().toString()
+
+
+def test_added_entries_meet_no_context(spark):
+    rows = [("a", "\n", 2), ("b", "\n", 3), ("c", "", 4), ("d", "", 1), ("e", "x", 1)]
+    check(ds.similarity(frame(spark, rows), distances=True, all_pairs=True), all_measures(rows))

@@ -180,3 +180,58 @@ def test_sentence_variants_quote_the_word(spark):
     thesaurus = spark.createDataFrame([("a.c", "x", 0.9)], THESAURUS)
     rows = ds.sentence_variants(sentences(spark, ["abc a.c"]), thesaurus, "a.c").collect()
     assert sorted(r.variant for r in rows) == ["abc a.c", "abc x"]
+
+
+def test_sorted_inside_each_partition(spark):
+    reduced = spark.createDataFrame(
+        [("a", f"n{i}", 0.5) for i in range(200)], THESAURUS).repartition(4)
+    freqs = spark.createDataFrame([(f"n{i}", float(i * 7 % 50)) for i in range(200)], FREQ)
+    sorted_rows = ds.neighbor_frequencies(reduced, freqs, sort=True)
+    for part in sorted_rows.select("freq").rdd.glom().collect():
+        values = [r.freq for r in part]
+        assert values == sorted(values, reverse=True)
+
+
+def test_table_of_words(spark):
+    texts = ["b cat x cat", "concat it", "cat y", "", "a dog"]
+    words = ["cat", "dog", "none"]
+    table = spark.createDataFrame([(w,) for w in words + ["cat"]], "target string")
+    df = sentences(spark, texts)
+    listed = ds.sentence_contexts(df, words, strict_context=True).collect()
+    assert sorted(ds.sentence_contexts(df, table, strict_context=True).collect()) == sorted(listed)
+    assert sorted(tuple(r) for r in listed) == [
+        ("cat", "", "cat", "y"), ("cat", "b", "cat", "x"), ("dog", "a", "dog", "")]
+    with pytest.raises(ValueError):
+        ds.sentence_contexts(df, table)
+
+
+def _evaluation_plan(spark):
+    rows = [(f"t{i}", f"c{i % 7}", 1 + i % 3) for i in range(60)]
+    counted = spark.createDataFrame(rows, "target string, context string, n long")
+    nearest = ds.thesaurus(ds.similarity(counted, sim_min=0.1))
+    result = ds.evaluate_thesaurus(
+        nearest, spark.createDataFrame([("t1", 2.0)], FREQ),
+        spark.createDataFrame([("a", "t1", "b", 1)], TRIGRAM),
+        sentences(spark, ["a t2 b"]), ["t2"])
+    result.collect()
+    return result._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("all_keys", ["true", "false"])
+def test_evaluation_pairs_once_and_deals_scores_by_both_words(spark, all_keys):
+    key, limit = ("spark.sql.requireAllClusterKeysForCoPartition",
+                  "spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, all_keys)
+    spark.conf.set(limit, "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _evaluation_plan(spark)
+    finally:
+        spark.conf.unset(limit)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        ds.configure(spark)
+    pair_joins = [x for x in plan.splitlines() if "SortMergeJoin [i#" in x]
+    assert len(pair_joins) == 1, plan
+    scores = [x for x in plan.splitlines() if "hashpartitioning(target#" in x
+              and ", neighbor#" in x and "REPARTITION_BY_COL" in x]
+    assert len(scores) >= 2, plan
