@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import in_fold, stored
 
 CLASSES = 64
-CORE = 8192
-GROUPS = 1024
+CORE = 2048
+GROUPS = 512
 DICTIONARY = 1 << 18
 ROUNDS = 8
 FOLDS, HELD_OUT = 10, 0

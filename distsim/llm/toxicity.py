@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold
+from .common import in_fold, stored
 
 FOLDS, HELD_OUT = 5, 0
 TOXIC_ROWS, OTHER_ROWS = 2000, 4000
@@ -264,8 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_out: int
                 ["toxic", "words"])
 
     # Copies of a text tell no more than one.
-    rows = chosen.dropDuplicates(["text"]).select("toxic", "text").mapInArrow(
-        words, "toxic int, words array<string>")
+    rows = stored(chosen.dropDuplicates(["text"]).select("toxic", "text").mapInArrow(
+        words, "toxic int, words array<string>"))
 
     def features(batches):
         for batch in batches:
