@@ -204,6 +204,12 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return _round_similarity(ds.build_thesaurus(
             _lines(s, d), MIN_FREQ, MIN_PAIR, sim_min=SIM_MIN, distances=True))
 
+    def build_from_pair_lines(s, d):
+        ds.configure(s)
+        pairs = ds.ngrams(_lines(s, d), 2, clean=True).withColumnRenamed("ngram", "line")
+        return _round_similarity(ds.build_thesaurus(
+            pairs, MIN_FREQ, MIN_PAIR, sim_min=SIM_MIN, distances=True, pair_lines=True))
+
     def sim(**options):
         def run(s, d):
             ds.configure(s)
@@ -273,7 +279,10 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _sentences(s, d), _word_thesaurus(s, d), "the"),
         "substitute_sentence": lambda s, d: ds.substitute_sentence(
             _sentences(s, d), _word_thesaurus(s, d), "the"),
+        "substitute_words": lambda s, d: ds.substitute_words(
+            _sentences(s, d), _thesaurus(s, d)),
         "build_thesaurus": build_thesaurus,
+        "build_thesaurus_pair_lines": build_from_pair_lines,
     }
 
 
@@ -602,6 +611,12 @@ def core_sql() -> dict[str, str]:
             FROM sents, {nearest.format(50)} WHERE contains(sentence, 'the')""",
         "substitute_sentence": "SELECT sentence, neighbor, replace(sentence, 'the', neighbor) "
                                f"AS variant FROM sents, {nearest.format(1)}",
+        "substitute_words": f"""SELECT sentence, target, neighbor,
+              replace(sentence, target, neighbor) AS variant
+            FROM (SELECT sentence, unnest(list_distinct({_tokens('sentence')})) AS word FROM sents)
+            JOIN ranked ON target = word WHERE rn = 1 AND word <> ''""",
+        "build_thesaurus_pair_lines": f"SELECT {far} FROM simdist "
+                                      f"UNION ALL SELECT {back} FROM simdist",
         "build_thesaurus": f"SELECT {far} FROM simdist UNION ALL SELECT {back} FROM simdist",
     }
     return {name: _select(text) for name, text in sql.items()}

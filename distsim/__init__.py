@@ -44,7 +44,7 @@ from .operators.similarity import (
     thesaurus,
     vector_parts,
 )
-from .operators.substitution import sentence_variants, substitute_sentence
+from .operators.substitution import sentence_variants, substitute_sentence, substitute_words
 from .operators.thesaurus import (
     context_trigrams,
     neighbor_frequencies,

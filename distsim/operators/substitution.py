@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import split_fields
 from .thesaurus import reduced_thesaurus
 
 # Fixed value: the characters that count as part of a word at a word boundary.
@@ -78,3 +79,25 @@ def substitute_sentence(
     return rows.select(
         "sentence", "neighbor", F.replace("sentence", F.lit(word), F.col("neighbor")).alias("variant")
     )
+
+
+def substitute_words(
+    sentences: DataFrame,
+    thesaurus: DataFrame,
+    words: DataFrame | None = None,
+    k: int = 1,
+    sentence: str = "sentence",
+) -> DataFrame:
+    """:func:`substitute_sentence` for a table of words (column ``target``), or for all.
+
+    One row per sentence, word that is a token of it, and neighbor. Tokens are joined with
+    the words' neighbors, so the thesaurus is ranked once for all words, and sentences
+    without any of the words give no rows.
+    """
+    best = reduced_thesaurus(thesaurus, words, k).select("target", "neighbor")
+    tokens = F.explode(F.array_distinct(split_fields(sentence, " "))).alias("target")
+    rows = sentences.select(F.col(sentence).alias("sentence"), tokens).where("target <> ''")
+    return rows.join(best, "target").select(
+        "sentence", "target", "neighbor",
+        F.replace("sentence", F.col("target"), F.col("neighbor")).alias("variant"),
+    )

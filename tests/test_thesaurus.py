@@ -235,3 +235,15 @@ def test_evaluation_pairs_once_and_deals_scores_by_both_words(spark, all_keys):
     scores = [x for x in plan.splitlines() if "hashpartitioning(target#" in x
               and ", neighbor#" in x and "REPARTITION_BY_COL" in x]
     assert len(scores) >= 2, plan
+
+
+def test_substitute_words_joins_tokens(spark):
+    thesaurus = spark.createDataFrame(
+        [("a", "x", 0.9), ("a", "y", 0.8), ("b", "z", 0.5), ("no", "w", 0.5)], THESAURUS)
+    df = sentences(spark, ["a b a", "ab", "", "b"])
+    rows = ds.substitute_words(df, thesaurus).collect()
+    assert sorted(tuple(r) for r in rows) == [
+        ("a b a", "a", "x", "x b x"), ("a b a", "b", "z", "a z a"), ("b", "b", "z", "z")]
+    table = spark.createDataFrame([("a",), ("a",)], "target string")
+    rows = ds.substitute_words(df, thesaurus, table, k=2).collect()
+    assert sorted(r.variant for r in rows) == ["x b x", "y b y"]
