@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, brown, conversations, langid, mixing, order, quality, simhash
 from . import toxicity, vectors
-from .common import shared_path
+from .common import shared_path, ship
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
