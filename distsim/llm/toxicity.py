@@ -39,9 +39,9 @@ from .common import in_fold, stored
 FOLDS, HELD_OUT = 5, 0
 TOXIC_ROWS, OTHER_ROWS = 2000, 4000
 LEXICON_ROWS = 20_000
-LEAST_WEIGHT, LEAST_G2, LEAST_SHARE = 2.5, 14.0, 0.01
+LEAST_WEIGHT, LEAST_G2, LEAST_SHARE = 2.5, 14.0, 0.02
 PREFIXES = (4, 5, 6)
-MEMORY = 400_000
+MEMORY = 100_000
 SPAN = 64
 
 # Letters that look-alike characters stand for.
@@ -190,8 +190,12 @@ def document_words(text: str | None, model: np.ndarray, memory: dict) -> set[str
     for token in set(low.split()):
         words = memory.get(token)
         if words is None:
-            words = memory[token] = restore(token, model)
-        out.update(words)
+            found = restore(token, model)
+            words = memory[token] = found[0] if len(found) == 1 else tuple(found)
+        if isinstance(words, str):
+            out.add(words)
+        else:
+            out.update(words)
     out.update(spaced(low, model))
     return out
 
