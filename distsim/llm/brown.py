@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, stored
+from .common import in_fold, stored, values
 
 CLASSES = 64
 CORE = 2048
@@ -69,7 +69,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 ["word", "c"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 seen.update(tokens(text))
                 seen[b""] += 1
                 if len(seen) > FLUSH:
@@ -131,7 +131,7 @@ def neighbor_counts(texts: DataFrame, units: Units) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 u = np.concatenate([[units.end], units.of(tokens(text)), [units.end]])
                 kept.append(u[:-1] * size + u[1:])
                 held += len(u)
@@ -316,8 +316,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
         for batch in batches:
             out = [[] for _ in range(5)]
             rare_row, rare_word, rare_class = [], [], []
-            for rid, text in zip(batch.column("rid").to_pylist(),
-                                 batch.column("text").to_pylist()):
+            for rid, text in zip(values(batch.column("rid")), values(batch.column("text"))):
                 ws = tokens(text)
                 at = np.array([get(w, -1) for w in ws], np.int64)
                 k = k_of[at] if len(at) else at

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,6 +82,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def values(array, rows: int = 500) -> Iterator:
+    """Values of an Arrow array, made Python objects a few rows at a time."""
+    for at in range(0, len(array), rows):
+        yield from array.slice(at, rows).to_pylist()
+
+
 def has_rows(df: DataFrame) -> bool:
     return len(df.take(1)) > 0
 

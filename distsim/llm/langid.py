@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_fold
+from .common import in_fold, values
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
@@ -80,7 +80,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches):
         df, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 if (found := counts(text)) is not None:
                     df[found[0]] += 1
                     n += 1
@@ -197,8 +197,7 @@ def fit(docs: DataFrame, *, per_class: int = PER_CLASS, max_classes: int = MAX_C
 
     def featurize(batches):
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(),
-                                  batch.column("text").to_pylist()):
+            for lang, text in zip(values(batch.column("lang")), values(batch.column("text"))):
                 if (found := counts(text)) is not None:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang]), pa.array([found[0].tobytes()]),
@@ -233,7 +232,7 @@ def language(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("lang string, score double")
     def predict(texts: pa.Array) -> pa.Array:
-        found = [model.predict(t) for t in texts.to_pylist()]
+        found = [model.predict(t) for t in values(texts)]
         return pa.StructArray.from_arrays(
             [pa.array([x for x, _ in found], pa.string()),
              pa.array([s for _, s in found], pa.float64())], ["lang", "score"])

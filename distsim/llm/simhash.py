@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, values
 from .components import components
 
 SHINGLE = 3
@@ -64,7 +64,7 @@ def fingerprint(text: Column) -> Column:
 
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
-        found = [_fingerprint(t) for t in texts.cast(pa.binary()).to_pylist()]
+        found = [_fingerprint(t) for t in values(texts.cast(pa.binary()))]
         return pa.array(found, pa.int64())
 
     return run(text)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, stored
+from .common import in_fold, stored, values
 
 FOLDS, HELD_OUT = 5, 0
 TOXIC_ROWS, OTHER_ROWS = 2000, 4000
@@ -95,7 +95,7 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(28 ** 3, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 if text:
                     total += letter_trigrams(text)
         some = np.flatnonzero(total)
@@ -264,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_out: int
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic"), pa.array(
                     [sorted(document_words(t, letters, memory))
-                     for t in batch.column("text").to_pylist()], pa.list_(pa.string()))],
+                     for t in values(batch.column("text"))], pa.list_(pa.string()))],
                 ["toxic", "words"])
 
     # Copies of a text tell no more than one.
@@ -323,7 +323,7 @@ def toxic_score(text: Column, model: Model) -> Column:
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
         out = []
-        for text in texts.to_pylist():
+        for text in values(texts):
             words = document_words(text, model.letters, memory)
             new = [w for w in words if w not in hit]
             for w in new:

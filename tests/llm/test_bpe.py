@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -70,6 +71,6 @@ def test_memory_is_bounded_and_changes_nothing(monkeypatch, library):
     monkeypatch.setattr(bpe, "TEXTS", 2)
     encoder = bpe.Encoder(PATH, P.PATTERN)
     known = [t for t in texts() if t][:40] * 2
-    for text, parts in zip(known, encoder.texts(known)):
+    for text, parts in zip(known, encoder.texts(pa.array(known))):
         ids = [int(i) for x, _, _ in parts for i in x.split()]
         assert ids == library.encode_ordinary(text)
