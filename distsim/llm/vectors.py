@@ -65,11 +65,11 @@ def _candidates(x: np.ndarray, y: np.ndarray, spans, budget: float) -> np.ndarra
     for s in spans:
         a, b = x[:, s], y[:, s]
         share = budget * a.shape[1] / x.shape[1] + SLACK
-        d = a @ b.T
-        d *= -2
-        d += (a * a).sum(1)[:, None]
-        d += (b * b).sum(1)[None, :]
-        near |= d <= share
+        # One product gives |a|^2 - 2ab + |b|^2.
+        one, two = (np.ones((len(z), 1), z.dtype) for z in (a, b))
+        left = np.hstack([-2 * a, (a * a).sum(1, keepdims=True), one])
+        right = np.hstack([b, two, (b * b).sum(1, keepdims=True)])
+        near |= left @ right.T <= share
     return near
 
 
