@@ -150,9 +150,12 @@ def with_quality(docs: DataFrame, table: list[float], *, threshold: float = THRE
     ratio = F.when(n > 0, F.round(b["total"] / grams_n, 6)).otherwise(F.lit(0.0))
     failed = (n < MIN_WORDS) | (100 * b["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
     fields = [b[k].alias(k) for k in base]
-    return counted.withColumn("quality_rules", F.struct(
-        *fields, failed.alias("base_failed"), ratio.alias("ratio"),
-        (~failed & (ratio >= threshold)).alias("kept"))).drop("__words", "__hashes", "__base")
+    # Exploding one element keeps a filter on the result from being moved below, where the
+    # words would be split anew for each use.
+    verdict = F.struct(*fields, failed.alias("base_failed"), ratio.alias("ratio"),
+                       (~failed & (ratio >= threshold)).alias("kept"))
+    return counted.withColumn("quality_rules", F.explode(F.array(verdict))).drop(
+        "__words", "__hashes", "__base")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD,
