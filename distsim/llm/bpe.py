@@ -7,8 +7,8 @@ leftmost pair of minimum rank, and goes on with the words that had one, until no
 ordered aggregation gives each word's ids, and another, over the ids joined with the
 vocabulary, decodes them. A text's ids are those of its matches in order.
 
-Each worker keeps what it has encoded, up to ``CACHE_WORDS`` entries, then starts anew.
-Nothing is shuffled. The recursion takes one step for each merge of the longest word, so a
+Each worker keeps what it has encoded, about twice ``CACHE_WORDS`` entries, and then a second
+generation that starts with what is still met of the first. Nothing is shuffled. The recursion takes one step for each merge of the longest word, so a
 match of more than ``LONG_BYTES`` bytes is merged by the same rule with a heap instead.
 
 Edges: a null text is encoded as an empty one: no ids. Texts are taken whole, whatever
@@ -31,26 +31,35 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 500_000
-LONG_BYTES = 160
-TEXTS = 2000
+CACHE_WORDS = 30_000
+QUERY_WORDS = 16_000
+LONG_BYTES = 96
+TEXTS = 500
 
 # The characters with the Unicode property White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _OTHER_SPACE = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _DOUBLE = ("  ", " \n", "\n ", "\n\n")
 
+# A row is a token with its position, the next token and that one's position. Of each word,
+# ``best`` packs the pair of minimum rank, leftmost among equals: id, position, position of
+# the token that it takes in.
 _ENCODE = """
-WITH RECURSIVE t(w, pos, tok, step) AS (
-  SELECT w, pos, tok, 0 FROM start
+WITH RECURSIVE t(w, pos, tok, next_pos, next_tok, step) AS (
+  SELECT w, pos, tok, next_pos, next_tok, 0 FROM start
   UNION ALL
-  SELECT w, pos, CASE WHEN pos = best & 65535 THEN (best >> 16)::INTEGER ELSE tok END, step + 1
-  FROM (SELECT w, pos, tok, step, before, min(code) OVER (PARTITION BY w) AS best
-        FROM (SELECT a.*, (m.id::BIGINT << 16) | pos AS code
-              FROM (SELECT *, lead(tok) OVER p AS after, lag(pos) OVER p AS before
-                    FROM t WINDOW p AS (PARTITION BY w ORDER BY pos)) a
-              LEFT JOIN merges m ON m.l = tok AND m.r = after))
-  WHERE best IS NOT NULL AND before IS DISTINCT FROM best & 65535
+  SELECT x.w, x.pos, CASE WHEN x.pos = spot THEN id ELSE x.tok END,
+    CASE WHEN x.pos = spot THEN y.next_pos ELSE x.next_pos END,
+    CASE WHEN x.pos = spot THEN y.next_tok WHEN x.next_pos = spot THEN id ELSE x.next_tok END,
+    x.step + 1
+  FROM (SELECT t.*, (best >> 32)::INTEGER AS id, ((best >> 16) & 65535)::INTEGER AS spot,
+          (best & 65535)::INTEGER AS gone,
+          CASE WHEN pos = (best >> 16) & 65535 THEN next_pos END AS taken
+        FROM t JOIN (SELECT w, min((m.id::BIGINT << 32) | (pos << 16) | next_pos) AS best
+                     FROM t JOIN merges m ON m.l = tok AND m.r = next_tok GROUP BY w)
+          USING (w)) x
+  LEFT JOIN t y ON y.w = x.w AND y.pos = x.taken
+  WHERE x.pos <> gone
 )
 SELECT w, list(tok ORDER BY pos) AS ids
 FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step)
@@ -70,19 +79,19 @@ class Encoder:
         lines = open(path, "rb").read().split(b"\n")
         self.ranks = {base64.b64decode(a): int(b) for a, b in
                       (line.split() for line in lines if line)}
-        self.vocabulary = {i: b for b, i in self.ranks.items()}
         explicit = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]")
         self.pattern = regex.compile(explicit.replace(r"\s", f"[{SPACE}]"))
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.older: dict[str, tuple[str, int, bytes]] = {}
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         self.con.execute("SET temp_directory = ''")
         merges = [(self.ranks[b[:k]], self.ranks[b[k:]], i) for b, i in self.ranks.items()
                   for k in range(1, len(b)) if b[:k] in self.ranks and b[k:] in self.ranks]
         rows = pa.table(dict(zip("l r id".split(), np.array(merges, np.int32).T)))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM rows")
-        rows = pa.table({"tok": pa.array(list(self.vocabulary), pa.int32()),
-                         "hex": [b.hex() for b in self.vocabulary.values()]})
+        rows = pa.table({"tok": pa.array(self.ranks.values(), pa.int32()),
+                         "hex": [b.hex() for b in self.ranks]})
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM rows")
 
     def merged(self, word: bytes) -> list[int]:
@@ -123,9 +132,12 @@ class Encoder:
             size = np.array([len(found[k]) for k in some])
             at = np.repeat(np.cumsum(size) - size, size)
             data = np.frombuffer(b"".join(found[k] for k in some), np.uint8)
+            pos, tok = (np.arange(len(data)) - at).astype(np.int32), self.first[data]
+            following = np.append(tok[1:], -1).astype(np.int32)
+            following[np.cumsum(size) - 1] = -1
             start = pa.table({"w": np.repeat(np.arange(len(some), dtype=np.int32), size),
-                              "pos": (np.arange(len(data)) - at).astype(np.int32),
-                              "tok": self.first[data]})
+                              "pos": pos, "tok": tok, "next_pos": pos + 1,
+                              "next_tok": following})
             self.con.register("start", start)
             result = self.con.sql(_ENCODE).to_arrow_table().column("ids").to_pylist()
             for k, x in zip(some, result):
@@ -167,9 +179,12 @@ class Encoder:
     def learn(self, new: set[str]) -> None:
         """Encode and decode chunks and keep the results."""
         cut = {x: self.pattern.findall(x) for x in new}
-        words = sorted({m for ms in cut.values() for m in ms} - self.known.keys())
-        for at in range(0, len(words), 50_000):
-            part = words[at:at + 50_000]
+        self.known.update({m: self.older[m] for ms in cut.values() for m in ms
+                           if m not in self.known and m in self.older})
+        # Words of like length take as many steps, so they share a query.
+        words = sorted({m for ms in cut.values() for m in ms if m not in self.known}, key=len)
+        for at in range(0, len(words), QUERY_WORDS):
+            part = words[at:at + QUERY_WORDS]
             ids = self.encode_words([m.encode() for m in part])
             for m, i, b in zip(part, ids, self.decode_words(ids)):
                 self.known[m] = (" ".join(map(str, i)), len(i), b)
@@ -179,15 +194,17 @@ class Encoder:
                 self.known[x] = (" ".join(i for i, _, _ in own), sum(n for _, n, _ in own),
                                  b"".join(b for _, _, b in own))
 
-    def texts(self, texts: list[str | None]) -> Iterable[list[tuple[str, int, bytes]]]:
+    def texts(self, texts: pa.Array) -> Iterable[list[tuple[str, int, bytes]]]:
         """For each text, its chunks as (ids in text form, number of ids, decoded bytes)."""
         for at in range(0, len(texts), TEXTS):
-            cut = [self.chunks(t or "") for t in texts[at:at + TEXTS]]
-            new = set().union(*cut) - self.known.keys()
-            if new:
-                if len(self.known) + len(new) > CACHE_WORDS:
-                    self.known.clear()
-                    new = set().union(*cut)
+            cut = [self.chunks(t or "") for t in texts.slice(at, TEXTS).to_pylist()]
+            seen = set().union(*cut)
+            if len(self.known) + len(seen) > 2 * CACHE_WORDS:
+                self.older, self.known = self.known, {}
+            for x in seen - self.known.keys():
+                if x in self.older:
+                    self.known[x] = self.older[x]
+            if new := seen - self.known.keys():
                 self.learn(new)
             for parts in cut:
                 yield [self.known[x] for x in parts]
@@ -209,7 +226,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        found = encoder(path, pattern).texts(texts.to_pylist())
+        found = encoder(path, pattern).texts(texts)
         ids = [[int(i) for x, _, _ in parts for i in x.split()] for parts in found]
         return pa.array(ids, pa.list_(pa.int32()))
 
@@ -239,7 +256,7 @@ def token_digest(text: Column, path: str, pattern: str) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         sha = hashlib.sha256
         n, ids, decoded = [], [], []
-        for parts in encoder(path, pattern).texts(texts.to_pylist()):
+        for parts in encoder(path, pattern).texts(texts):
             n.append(sum(k for _, k, _ in parts))
             ids.append(sha(" ".join([i for i, _, _ in parts]).encode()).hexdigest())
             decoded.append(sha(b"".join([b for _, _, b in parts])).hexdigest())
