@@ -18,6 +18,16 @@ group of near copies, is split into chunks, and tasks search pairs of chunks.
 
 Edges: null and blank texts have fingerprint 0 and link like any other. Rows with a null
 doc_id get a fingerprint but no component. Repeated rows give repeated result rows.
+
+Near copies. ``near_copies`` links texts whose sets of 5-word shingles have a Jaccard
+similarity of ``LEAST`` or more. At that similarity fingerprints differ in ten bits and more,
+a radius at which no cut of the Hamming space prunes, so candidates come from MinHash bands:
+two texts of similarity s share a band with probability 1 - (1 - s^4)^20, which is 0.99997 at
+0.8. Candidates are checked exactly on their shingles. Texts with equal sets are one point. A
+bucket's points are first held against its smallest one; buckets that still have points of
+several components are then compared in parts of about ``PEERS`` points, all pairs of a part,
+dealt anew in each round until a round links nothing. Smaller buckets are one part, so all
+their pairs are checked.
 """
 
 from __future__ import annotations
@@ -30,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, values
+from .common import has_rows, stored, values
 from .components import components
 
 SHINGLE = 3
@@ -41,6 +51,10 @@ SHARD_ROWS = 256
 MAX_SHARDS = 4096
 CHUNK = 1 << 16
 BLOCK = 512
+COPY_SHINGLE = 5
+LEAST = 0.8
+BANDS, BAND_ROWS = 20, 4
+PEERS = 16
 
 
 def _fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
@@ -209,3 +223,127 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, sample_rows: int =
     return rows.join(known, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         own.alias("component_id"))
+
+
+# --- near copies ---------------------------------------------------------------------
+
+
+def _shingles(text: bytes | None) -> np.ndarray:
+    """Sorted distinct hashes of the 5-word shingles of a text in UTF-8."""
+    w = text.lower().split() if text else []
+    if not w:
+        return np.zeros(0, np.uint64)
+    digest, join, n = xxhash.xxh64_intdigest, b" ".join, COPY_SHINGLE
+    runs = zip(*[w[k:] for k in range(n)]) if len(w) >= n else [w]
+    return np.unique(np.array([digest(join(r), SEED) for r in runs], dtype=np.uint64))
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    if not len(x) and not len(y):
+        return 1.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """(id, digest of the shingle set, its size, MinHash bands) of (id, text)."""
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+    odd = odd * np.uint64(2) + np.uint64(1)
+
+    def bands(x: np.ndarray) -> list[int]:
+        least = np.full(len(odd), np.iinfo(np.uint64).max)
+        for at in range(0, len(x), 4096):
+            part = (x[at:at + 4096, None] * odd[None, :]).min(axis=0)
+            least = np.minimum(least, part)
+        rows = least.reshape(BANDS, BAND_ROWS)
+        return [xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)]
+
+    def run(batches):
+        for batch in batches:
+            digests, sizes, found = [], [], []
+            for text in values(batch.column(1).cast(pa.binary())):
+                x = _shingles(text)
+                digests.append(xxhash.xxh3_128_digest(x.tobytes(), SEED))
+                sizes.append(len(x))
+                found.append(np.array(bands(x), np.uint64).view(np.int64))
+            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+            ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
+                 pa.ListArray.from_arrays(ends, pa.array(flat))],
+                ["id", "digest", "size", "bands"])
+
+    return docs.select("id", "text").mapInArrow(
+        run, "id long, digest binary, size long, bands array<long>")
+
+
+def _checked(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of ids whose texts have a Jaccard similarity of at least ``least``."""
+
+    def run(batches):
+        memory: dict = {}
+
+        def shingles(key, text):
+            if key not in memory:
+                if len(memory) >= 64:
+                    memory.clear()
+                memory[key] = _shingles(text)
+            return memory[key]
+
+        for batch in batches:
+            ta, tb = (batch.column(c).cast(pa.binary()) for c in ("ta", "tb"))
+            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+            keep = [_jaccard(shingles(i, x), shingles(j, y)) >= least
+                    for i, j, x, y in zip(a, b, values(ta), values(tb))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    first = docs.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    second = docs.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(
+        run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, *, least: float = LEAST, peers: int = PEERS) -> DataFrame:
+    """(id, component) of every row of ``docs`` (id, text); component is the smallest id.
+
+    ``docs`` should be stored, with distinct ids.
+    """
+    sketches = stored(_sketches(docs))
+    points = stored(sketches.groupBy("digest").agg(F.min("id").alias("point")))
+    bands = sketches.join(points.select(F.col("point").alias("id")), "id", "left_semi")
+    members = stored(bands.select("id", "size", F.explode("bands").alias("key")))
+    buckets = stored(members.groupBy("key").agg(
+        F.min(F.struct("id", "size")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    members = stored(members.join(buckets, "key"))
+    # Sets of sizes further apart can't be that similar.
+    sizes = F.least("size", "size2") >= F.greatest("size", "size2") * F.lit(least)
+    pairs = members.withColumn("size2", F.col("first.size")).where(sizes).where(
+        "id <> first.id").select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+    tried = stored(pairs.distinct())
+    links = stored(_checked(tried, docs, least))
+    found = components(links)
+    turn = 0
+    while True:
+        turn += 1
+        own = stored(members.select("key", "id", "size", "n").join(
+            found.withColumnRenamed("node", "id"), "id", "left").withColumn(
+            "component", F.coalesce("component", "id")))
+        several = stored(own.groupBy("key").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"))
+        part = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.ceil(F.col("n") / peers))
+        rows = stored(own.join(several, "key", "left_semi").withColumn("part", part))
+        others = rows.select("key", "part", F.col("id").alias("id2"),
+                             F.col("size").alias("size2"), F.col("component").alias("other"))
+        pairs = rows.join(others, ["key", "part"]).where(
+            "id < id2 AND component <> other").where(sizes)
+        pairs = stored(pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+                       .join(tried, ["a", "b"], "left_anti"))
+        new = stored(_checked(pairs, docs, least))
+        if not has_rows(new):
+            break
+        tried, links = tried.unionByName(pairs), links.unionByName(new)
+        found = components(links)
+    known = points.join(found.withColumnRenamed("node", "point"), "point", "left").select(
+        "digest", F.coalesce("component", "point").alias("component"))
+    return sketches.select("id", "digest").join(stored(known), "digest").select(
+        "id", "component")

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from distsim.llm import simhash
+from distsim.llm.common import stored
 from distsim.llm.components import components
 
 DOC = "doc_id long, text string"
@@ -111,3 +112,42 @@ def test_components_of_chains_stars_and_self_links(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
+
+
+def copies():
+    """Texts in chains of edits, so that similarities lie on both sides of 0.8."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    out = [None, " ", "One two", "one TWO", "x y " * 40]
+    for k in range(60):
+        w = [rng.choice(words) for _ in range(rng.randint(30, 300))]
+        out.append(" ".join(w))
+        for _ in range(rng.randint(0, 6)):
+            for _ in range(max(1, len(w) // rng.choice((40, 60, 90, 200)))):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            out.append("\n".join(w).upper() if k % 3 else " ".join(w))
+    w = [rng.choice(words) for _ in range(100)]
+    for _ in range(80):  # more than one part of a bucket
+        v = list(w)
+        v[rng.randrange(100)] = rng.choice(words)
+        out.append(" ".join(v))
+    return out
+
+
+def test_near_copies_against_brute_force(spark):
+    rows = [(2000 - 7 * i, t) for i, t in enumerate(copies())]
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+    ids = list(sets)
+    linked = [(a, b) for n, a in enumerate(ids) for b in ids[:n]
+              if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    far = [(a, b) for a, b in linked if sets[a] != sets[b]]
+    assert len(far) > 50
+    df = stored(spark.createDataFrame(rows, "id long, text string").repartition(3))
+    found = {r.id: r.component for r in simhash.near_copies(df).collect()}
+    assert found == groups(ids, linked)
+    # The radius of the fingerprint query leaves most of them.
+    fps = {i: fingerprint(t) for i, t in rows}
+    assert sum((fps[a] ^ fps[b]).bit_count() <= 2 for a, b in far) < 0.5 * len(far)
