@@ -5,8 +5,8 @@ set apart (``i d i o t``, ``i.d.i.o.t``) and by repetition (``idiooot``). Such a
 a lattice: each character has edges to the letters it may stand for, to nothing (a
 separator), or to a repeat of the letter before, each with a channel cost. The path with the
 smallest channel cost plus negative log probability under a trigram model of the corpus'
-letters is found by Viterbi search over pairs of letters. A word of letters without a run of
-three equal ones has only one path, itself, and is taken as it is.
+letters is found by Viterbi search over pairs of letters. A word of letters without two equal
+neighbors has only one path, itself, and is taken as it is.
 
 The letter model counts trigrams over all texts (28 ^ 3 numbers from each task).
 
@@ -55,7 +55,7 @@ COST_SEPARATOR = 0.2
 SEPARATORS = " .-_*,'~/\\"
 
 _SINGLES = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
-_TRIPLE = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"(.)\1")
 _RUN = re.compile(r"(.)\1+")
 _EDGE = ".,;:!?\"'()[]{}…«»“”"
 
@@ -155,13 +155,15 @@ def decode(span: str, model: np.ndarray) -> list[str]:
 def restore(word: str, model: np.ndarray) -> list[str]:
     """Restored words of one lower-cased token without blanks."""
     core = word.strip(_EDGE)
-    if core.isalpha() and not _TRIPLE.search(core):
+    if core.isalpha() and not _DOUBLE.search(core):
         return [core]
-    # A token longer than any word is restored piece by piece.
-    pieces = [word[k:k + SPAN] for k in range(0, len(word), SPAN)]
+    # A token longer than any word is restored piece by piece; pieces overlap by half, so
+    # that a word over the end of one is whole in the next.
+    pieces = [word[k:k + 2 * SPAN] for k in range(0, max(1, len(word) - SPAN), SPAN)]
     found = [w for p in pieces if any(map(str.isalpha, p)) for w in decode(p, model)]
     found += [_RUN.sub(r"\1", w) for w in found]
-    return found + [w for w in re.findall(r"[^\W\d_]+", word) if len(w) > 2]
+    found += [w for w in re.findall(r"[^\W\d_]+", word) if len(w) > 2]
+    return found + [core] if core.isalpha() else found
 
 
 def spaced(text: str, model: np.ndarray) -> list[str]:

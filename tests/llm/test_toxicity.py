@@ -26,6 +26,15 @@ def test_restores_disguised_words(letters, written, word):
     assert word in toxicity.restore(written, letters)
 
 
+@pytest.mark.parametrize("written, word", [
+    ("iddiot", "idiot"), ("sttuupid", "stupid"), ("moronn", "moron"), ("aa", "aa"),
+    ("x" * 62 + ".i.d.i.o.t." + "x" * 80, "idiot"), ("a_" * 30 + "m_o_r_o_n" + "_a" * 60, "moron"),
+])
+def test_restores_doubled_letters_and_words_over_a_piece_boundary(letters, written, word):
+    found = toxicity.restore(written, letters)
+    assert word in found or any(word in w for w in found if len(written) > toxicity.SPAN)
+
+
 def test_restores_spaced_words(letters):
     words = toxicity.document_words("you are an i d i o t and M O R O N today", letters, {})
     assert {"idiot", "moron", "you", "today"} <= words
