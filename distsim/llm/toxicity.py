@@ -54,10 +54,13 @@ COST_LITERAL, COST_LOOKALIKE, COST_DROP, COST_REPEAT, COST_BREAK = 0.0, 0.7, 4.0
 COST_SEPARATOR = 0.2
 SEPARATORS = " .-_*,'~/\\"
 
-_SINGLES = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 _DOUBLE = re.compile(r"(.)\1")
 _RUN = re.compile(r"(.)\1+")
 _EDGE = ".,;:!?\"'()[]{}…«»“”"
+_MARK = f"[{re.escape(_EDGE)}]"
+# A single character, or one between marks.
+_SINGLE = rf"(?:{_MARK}*[^\s{re.escape(_EDGE)}]{_MARK}*|{_MARK})"
+_SINGLES = re.compile(rf"(?<!\S){_SINGLE}(?:\s+{_SINGLE}){{2,}}(?!\S)")
 
 
 def _base(ch: str) -> int:
@@ -167,11 +170,13 @@ def restore(word: str, model: np.ndarray) -> list[str]:
 
 
 def spaced(text: str, model: np.ndarray) -> list[str]:
-    """Words hidden in runs of single characters; long runs of one character are skipped
-    over as one repeat."""
+    """Words hidden in runs of single characters with any white space between them; marks
+    around a character are left out, long runs of one character are skipped over as one
+    repeat."""
     out = []
     for m in _SINGLES.finditer(text):
-        run = re.sub(r"(\S)(?: \1){2,}", r"\1 \1", m.group())
+        run = " ".join(c if len(c) == 1 else c.strip(_EDGE) for c in m.group().split())
+        run = re.sub(r"(\S)(?: \1){2,}", r"\1 \1", run)
         for k in range(0, len(run), SPAN):
             out += decode(run[k:k + 2 * SPAN], model)
     return out

@@ -42,6 +42,18 @@ def test_restores_spaced_words(letters):
     assert toxicity.document_words(None, letters, {}) == set()
 
 
+@pytest.mark.parametrize("written", [
+    "an i d i o t.", "i d i o t, yes", '"i d i o t"', "he is (i d i o t)!", "i  d  i  o  t",
+    "i\td\ti\to\tt", "i\nd\ni\no\nt", "an i d ! o t", "I. D. I. O. T.",
+])
+def test_restores_spaced_words_with_marks_and_wide_blanks(letters, written):
+    assert "idiot" in toxicity.document_words(written, letters, {})
+
+
+def test_long_runs_of_marks_are_quick(letters):
+    assert toxicity.spaced("... " * 20_000 + '"' * 20_000 + " ( ." * 500, letters) is not None
+
+
 def test_viterbi_finds_the_cheapest_path(letters):
     """Against every path of the lattice."""
     def paths(span, at=0):
