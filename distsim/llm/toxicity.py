@@ -13,6 +13,8 @@ The letter model counts trigrams over all texts (28 ^ 3 numbers from each task).
 Scoring. Features of a document are its distinct restored words and their first letters. A
 bounded, balanced sample of labelled documents gives each feature a log-odds weight; those
 that are significant for toxic documents form the lexicon, bounded by ``lexicon_rows``. A
+feature needs a fixed number of toxic documents, whatever the size of the sample, and a G2
+that grows with the number of features tested, so that less than one passes by chance. A
 document's evidence is its largest weight plus the logarithm of its number of matches, and
 a logistic curve in it, fitted to the sample at the labels' base rate, is the score.
 
@@ -39,7 +41,7 @@ from .common import in_fold, stored, values
 FOLDS, HELD_OUT = 5, 0
 TOXIC_ROWS, OTHER_ROWS = 2000, 4000
 LEXICON_ROWS = 20_000
-LEAST_WEIGHT, LEAST_G2, LEAST_SHARE = 2.5, 14.0, 0.02
+LEAST_WEIGHT, LEAST_G2, LEAST_COUNT = 2.5, 14.0, 3
 PREFIXES = (4, 5, 6)
 MEMORY = 100_000
 SPAN = 64
@@ -287,8 +289,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_out: int
                 [pa.array([f for f, _ in out], pa.string()),
                  pa.array([t for _, t in out], pa.int32())], ["f", "toxic"])
 
-    tables = rows.mapInArrow(features, "f string, toxic int").groupBy("f").agg(
-        F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no"))
+    tables = stored(rows.mapInArrow(features, "f string, toxic int").groupBy("f").agg(
+        F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no")).where(
+        F.col("yes") >= LEAST_COUNT))
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_yes, n_no = n.get(1, 0), n.get(0, 0)
     if not n_yes or not n_no:
@@ -298,9 +301,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_out: int
     share = n_yes / (n_yes + n_no)
     g2 = 2 * (a * F.log(a / ((a + b) * share))
               + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
-    strong = tables.where(a >= max(3, LEAST_SHARE * n_yes)).select("f", weight.alias("w"),
-                                                                   g2.alias("g2"))
-    strong = strong.where((F.col("w") >= LEAST_WEIGHT) & (F.col("g2") >= LEAST_G2))
+    # The tail of G2 beyond 2 log(m) is less than 1 / m.
+    least_g2 = max(LEAST_G2, 2 * math.log(max(tables.count(), 1)))
+    strong = tables.select("f", weight.alias("w"), g2.alias("g2"))
+    strong = strong.where((F.col("w") >= LEAST_WEIGHT) & (F.col("g2") >= least_g2))
     lexicon = {r.f: r.w for r in strong.orderBy(F.desc("g2"), "f").limit(lexicon_rows).collect()}
     model = Model(letters, lexicon)
     if not lexicon:

@@ -115,6 +115,25 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert by_id[903].predicted == by_id[None].predicted == 1
 
 
+def test_rare_toxic_words_are_learned(spark):
+    """Each toxic word is in about one in 75 of the toxic documents."""
+    rng = random.Random(11)
+    words = [f"{a}{b}{c}{d}" for a in "bdgkmnt" for b in "aeio" for c in "lmnrst" for d in "aeiou"]
+    bad = ["".join(rng.choices("bcdfghjklmnpqrstvwz", k=7)) for _ in range(75)]
+    rows, labels = [], []
+    for i in range(4000):
+        w = rng.choices(words, k=20)
+        if i % 2:
+            w[rng.randrange(20)] = bad[i // 2 % 75]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, i % 2))
+    found = toxicity.toxicity(spark.createDataFrame(rows, DOC),
+                              spark.createDataFrame(labels, LABEL)).collect()
+    held = [r for r in found if r.held_out]
+    assert np.mean([r.predicted for r in held if r.doc_id % 2]) > 0.95
+    assert np.mean([r.predicted for r in held if r.doc_id % 2 == 0]) < 0.05
+
+
 def test_labels_of_one_kind_and_empty_tables(spark):
     rows, labels = corpus()
     docs = spark.createDataFrame(rows[:20], DOC)
