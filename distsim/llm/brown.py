@@ -4,13 +4,16 @@ P(text) is the product over tokens of P(class | class before) * P(word | class)
 al., "Class-Based n-gram Models of Natural Language", 1992). Tokens are the lower-cased
 words of a text and one end; the end is a class of its own and also starts a text.
 
-Clustering. The ``core`` most frequent words and ``groups`` groups of all other words, by a
-hash of their last letters, are the units that are exchanged; the model so has a class for
-any word. Counts of neighboring units are taken once over the whole corpus. In each round
-every unit, taken out of its class, finds the class that raises the likelihood most, against
-the counts of the round before; half of the units move, as in distributed exchange
-clustering (Uszkoreit and Brants, 2008). Units are dealt to tasks by number; the driver holds
-one class per unit and the class-by-class counts, all bounded by parameters.
+Clustering. All words of the dictionary with at least ``least`` tokens, a set that grows with
+the corpus, and in any case the ``core`` most frequent words are units that are exchanged, as
+are ``groups`` groups of all other words by a hash of their last letters; the model so has a
+class for any word. Counts of neighboring units are taken once over the whole corpus. In each
+round every unit, taken out of its class, finds the class that raises the likelihood most,
+against the counts of the round before; half of the units move, as in distributed exchange
+clustering (Uszkoreit and Brants, 2008). Rounds go on until ``IDLE`` of them in a row do not
+raise the likelihood by a ``SETTLED`` part of its rise so far. Units are dealt to tasks by
+number, more tasks for more pairs; the driver holds one class per unit, at most
+``dictionary`` and ``groups``, and the class-by-class counts.
 
 Probabilities. Transitions are smoothed by the class unigram. Word counts are discounted
 absolutely, and what a class's words give up is its probability of an unknown word; so the
@@ -39,10 +42,12 @@ from pyspark.sql import functions as F
 from .common import in_fold, stored, values
 
 CLASSES = 64
-CORE = 2048
-GROUPS = 512
+CORE = 8192
+LEAST = 1000
+GROUPS = 1024
 DICTIONARY = 1 << 18
-ROUNDS = 8
+SETTLED, IDLE = 1e-3, 4
+TASK_PAIRS = 500_000
 FOLDS, HELD_OUT = 10, 0
 PRIOR = 5.0
 FLUSH = 200_000
@@ -206,9 +211,13 @@ def _mover(of: np.ndarray, counts: np.ndarray, width: int, tasks: int, half: int
     return move
 
 
-def exchange(pairs: DataFrame, units: Units, *, classes: int = CLASSES, rounds: int = ROUNDS,
-             tasks: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, class-by-class counts); the last class is the end's."""
+def exchange(pairs: DataFrame, units: Units, *, classes: int = CLASSES,
+             rounds: int | None = None, tasks: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each unit, class-by-class counts); the last class is the end's.
+
+    Without ``rounds`` there are as many as raise the likelihood.
+    """
+    tasks = tasks or max(64, 2 * pairs.count() // TASK_PAIRS)
     of = np.append(np.arange(units.end) % classes, classes).astype(np.int64)
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1).alias("side"), "n")
     both = both.unionByName(pairs.select(
@@ -216,20 +225,21 @@ def exchange(pairs: DataFrame, units: Units, *, classes: int = CLASSES, rounds:
     both = both.where((F.col("u") != F.col("v")) & (F.col("u") != units.end))
     both = stored(both.withColumn("task", F.col("u") % tasks).repartition("task"))
     counts = class_counts(pairs, of, classes + 1)
-    best = (likelihood(counts), of, counts)
-    for k in range(rounds):
+    start = likelihood(counts)
+    best, idle, k = (start, of, counts), 0, 0
+    while idle < IDLE and (rounds is None or k < rounds):
         move = _mover(of, counts, classes + 1, tasks, k % 2)
         moved = both.groupBy("task").applyInArrow(move, "u long, c long").collect()
         new = of.copy()
         for r in moved:
             new[r.u] = r.c
-        changed = int((new != of).sum())
+        k += 1
         of, counts = new, class_counts(pairs, new, classes + 1)
         value = likelihood(counts)
+        rises = value - best[0] > SETTLED * (best[0] - start)
+        idle = 0 if rises else idle + 1
         if value > best[0]:
             best = (value, of, counts)
-        if changed * 1000 < units.end:
-            break
     return best[1], best[2]
 
 
@@ -285,12 +295,13 @@ class Model:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
 
-def fit(texts: DataFrame, *, classes: int = CLASSES, core: int = CORE, groups: int = GROUPS,
-        dictionary: int = DICTIONARY, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+def fit(texts: DataFrame, *, classes: int = CLASSES, core: int = CORE, least: int = LEAST,
+        groups: int = GROUPS, dictionary: int = DICTIONARY,
+        rounds: int | None = None) -> tuple[Model, DataFrame]:
     """(model, vocabulary table) learned from the column ``text``."""
     vocabulary = word_counts(texts)
     words, counts = frequent(vocabulary, dictionary)
-    units = Units(words[:core], groups)
+    units = Units(words[:max(core, int((counts >= least).sum()))], groups)
     pairs = neighbor_counts(texts, units)
     of, transitions = exchange(pairs, units, classes=classes, rounds=rounds)
     return Model(words, counts, units, of, transitions, classes, vocabulary), vocabulary

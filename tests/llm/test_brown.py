@@ -101,6 +101,24 @@ def test_exchange_raises_the_likelihood(spark):
     assert of[-1] == 6 and (of[:-1] < 6).all()
 
 
+def test_units_grow_with_the_corpus_and_rounds_go_on(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.9))}" for _ in range(60)))
+            for i in range(600)]
+    sizes = []
+    for n in (150, 600):
+        docs = spark.createDataFrame(rows[:n], DOC)
+        model, vocabulary = brown.fit(docs, classes=8, core=10, least=20, groups=4)
+        many = {bytes(r.word) for r in vocabulary.where("c >= 20 AND word <> X''").collect()}
+        assert many <= set(model.units.core)
+        sizes.append(len(model.units.core))
+    assert sizes[1] > 2 * sizes[0] > 20
+    pairs = brown.neighbor_counts(docs, model.units)
+    few, until = (brown.likelihood(brown.exchange(pairs, model.units, classes=8, rounds=r)[1])
+                  for r in (2, None))
+    assert until > few
+
+
 def test_best_class_agrees_with_the_likelihood():
     rng = np.random.default_rng(0)
     for _ in range(20):
