@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, conversations, langid, mixing, order, quality, simhash
+from . import bpe, brown, conversations, langid, mixing, order, quality, repeats, simhash
 from . import toxicity, vectors
 from .common import shared_path, ship
 
@@ -57,6 +57,10 @@ def op10_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf, "embeddings"))
 
 
+def op11_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.repeat_report(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_class_lm": op2_class_lm,
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_mixing": op9_mixing,
     "op10_near_vectors": op10_near_vectors,
+    "op11_repeated_passages": op11_repeated_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {
