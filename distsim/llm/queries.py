@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, conversations, langid, mixing, order, quality, repeats, simhash
-from . import toxicity, vectors
+from . import bpe, brown, conversations, langid, mixing, order, quality, repeats, resampling
+from . import simhash, toxicity, vectors
 from .common import shared_path, ship
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -61,6 +61,10 @@ def op11_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.repeat_report(_table(spark, sf, "documents"))
 
 
+def op12_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_class_lm": op2_class_lm,
@@ -73,6 +77,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_near_vectors": op10_near_vectors,
     "op11_repeated_passages": op11_repeated_passages,
+    "op12_resampling": op12_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
