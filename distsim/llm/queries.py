@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, conversations, langid, mixing, order, quality, repeats, resampling
-from . import simhash, toxicity, vectors
+from . import bpe, brown, conversations, langid, mixing, order, phrases, quality, repeats
+from . import resampling, simhash, toxicity, vectors
 from .common import shared_path, ship
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -65,6 +65,10 @@ def op12_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return resampling.resample(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def op13_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.phrases(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_class_lm": op2_class_lm,
@@ -78,6 +82,7 @@ QUERIES = {
     "op10_near_vectors": op10_near_vectors,
     "op11_repeated_passages": op11_repeated_passages,
     "op12_resampling": op12_resampling,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -14,7 +14,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(queries.ORACLE_SQL) <= set(names)
     assert len(corpus_pipeline.STAGES) == 5
 
