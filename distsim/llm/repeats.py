@@ -38,19 +38,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import has_rows, stored, values
 
 LEAST = 50
 GRAM = 16
 SEGMENT = 1 << 20
 BUCKET_BYTES = 16 << 20
+SLICE_BYTES = 16 << 20
+PACKED_BYTES = 8 << 20
+GROUP_DOCS = 256
 HOT = 50_000
 HOT_KEYS = 1_000_000
-ENTRIES = 1 << 18
+ENTRIES = 1 << 16
+_PACK, _LOOSEN = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 
 
@@ -129,6 +134,13 @@ class _Texts:
         whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         self.data = whole[at[0]:at[-1]] if len(at) else whole[:0]
         self.starts, self.ends = at[:-1] - at[0], at[1:] - at[0]
+        self._padded = None
+
+    def padded(self, side: int) -> np.ndarray:
+        """All bytes, with ``side`` zeros at both ends, made once."""
+        if self._padded is None:
+            self._padded = np.pad(self.data, side)
+        return self._padded
 
     def of(self, places: np.ndarray) -> np.ndarray:
         """Number of the text at each place."""
@@ -138,12 +150,11 @@ class _Texts:
 def _packed(*columns: np.ndarray) -> bytes:
     """Arrays of one length as one compressed value."""
     head = np.array([len(columns[0])], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(
-        np.ascontiguousarray(c).tobytes() for c in columns))
+    return _PACK.compress(head + b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
 
 
 def _unpacked(blob: bytes, *types) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = _LOOSEN.decompress(blob)
     n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
     for t in types:
         dtype = np.dtype(t)
@@ -160,37 +171,80 @@ def _parts(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[part[0]]), part
 
 
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _runs(keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values."""
     return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
 
 
-_PLACES = "kind int, bucket long, doc long, blob binary"
+_DEALT = "kind int, bucket long, blob binary"
 ANSWER, DEALT, HOT_KEY = 0, 1, 2
 
 
-def _rows(kind: list, bucket: list, doc: list, blob: list) -> pa.RecordBatch:
+def _rows(kind: list, bucket: list, blob: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.int32()), pa.array(bucket, pa.int64()), pa.array(doc, pa.int64()),
-         pa.array(blob, pa.binary())], ["kind", "bucket", "doc", "blob"])
-
-
-def _answers(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """One row for each document with the places of its repeated anchors."""
-    kind, ids, blobs = [], [], []
-    for part in np.split(order := np.argsort(doc, kind="stable"), _runs(doc[order])[1:]):
-        if len(part):
-            kind.append(ANSWER)
-            ids.append(int(doc[part[0]]))
-            blobs.append(_packed(np.sort(place[part]).astype(np.int64)))
-    return _rows(kind, [0] * len(ids), ids, blobs)
+        [pa.array(kind, pa.int32()), pa.array(bucket, pa.int64()), pa.array(blob, pa.binary())],
+        ["kind", "bucket", "blob"])
+
+
+def _sorted_out(table: pa.Table) -> tuple[list[pa.RecordBatch], list[bytes]]:
+    """(rows of answers that pass through, values of the rows that are dealt)."""
+    of = table.column("kind")
+    kept = table.filter(pyarrow.compute.equal(of, ANSWER)).select(["kind", "bucket", "blob"])
+    dealt = table.filter(pyarrow.compute.equal(of, DEALT)).column("blob").to_pylist()
+    return kept.to_batches(), dealt
+
+
+def _sliced(items: np.ndarray, start: np.ndarray) -> pa.Array:
+    """Rows of an array as binary values, each from one start to the next."""
+    data = np.ascontiguousarray(items)
+    step = data.nbytes // max(len(data), 1)
+    ends = np.append(start, len(data)).astype(np.int64) * step
+    large = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    return large.cast(pa.binary())
+
+
+def _owned(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, items) of a column of binary values, each of some 32-bit numbers."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    items = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].view(np.uint32)
+    return np.repeat(np.arange(len(column)), np.diff(ends) // 4), items.astype(np.int64)
+
+
+def _grouped(groups: int, doc: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Answers to documents, as one row for each group of documents."""
+    key = _mixed(doc.astype(np.uint64)) % np.uint64(groups)
+    order = np.lexsort((*columns[::-1], doc, key))
+    which, blobs = [], []
+    for part in np.split(order, _runs(key[order])[1:]) if len(order) else []:
+        which.append(int(key[part[0]]))
+        blobs.append(_packed(np.diff(doc[part], prepend=0), *(c[part] for c in columns)))
+    return _rows([ANSWER] * len(which), which, blobs)
+
+
+def _slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, so many at a time that a column has about ``limit`` bytes."""
+    ends = np.cumsum(pyarrow.compute.fill_null(pyarrow.compute.binary_length(
+        batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
-def _repeated(docs: DataFrame, least: int, buckets: int, hot: int) -> DataFrame:
-    """Rows (kind, bucket, doc, blob): places of repeated anchors, and hashes of hot ones."""
+def _repeated(docs: DataFrame, least: int, buckets: int, groups: int, hot: int) -> DataFrame:
+    """Rows (kind, bucket, blob): places of repeated anchors, and hashes of hot ones."""
 
     def gather(batches):
-        for batch in batches:
+        for batch in (x for whole in batches for x in _slices(whole, "text", SLICE_BYTES)):
             texts = _Texts(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             place, key = anchors(texts.data, texts.ends, least)
@@ -204,34 +258,42 @@ def _repeated(docs: DataFrame, least: int, buckets: int, hot: int) -> DataFrame:
             size = np.diff(np.append(start, len(order)))
             first, last = ids[number[order[start]]], ids[number[order[start + size - 1]]]
             several = np.repeat(first < last, size)
-            yield _answers(ids[number[order[several]]], place[order[several]])
+            told = order[several]
+            yield _grouped(groups, ids[number[told]], place[told].astype(np.uint32))
             alone = order[~several]
             shared = start[first < last]
             own = [np.ones(len(alone), np.uint32), size[first < last].astype(np.uint32)]
             at = np.concatenate([alone, order[shared]])
             count, multi = np.concatenate(own), np.repeat([0, 1], [len(alone), len(shared)])
-            bucket = ((key[at] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            # In the order of the text, so that places and ids are small steps.
+            back = np.argsort(at, kind="stable")
+            at, count, multi = at[back], count[back], multi[back]
             which, blobs = [], []
-            for b, part in _parts(bucket):
+            for b, part in _parts(_bucket(key[at], buckets)):
                 row = at[part]
-                docs_here, index = np.unique(number[row], return_inverse=True)
-                blobs.append(_packed(key[row].astype(np.uint64), index.astype(np.uint32),
-                                     place[row].astype(np.uint32), count[part],
-                                     multi[part].astype(np.uint8)) + b"|" +
-                             ids[docs_here].astype(np.int64).tobytes() +
-                             np.int64(len(docs_here)).tobytes())
+                doc = ids[number[row]]
+                new = np.append(True, doc[1:] != doc[:-1])
+                step = np.where(new, place[row], np.diff(place[row], prepend=0))
+                blobs.append(_packed(key[row].astype(np.uint32), step.astype(np.int32),
+                                     np.diff(doc, prepend=0), count[part],
+                                     multi[part].astype(np.uint8), new.astype(np.uint8)))
                 which.append(b)
-            yield _rows([DEALT] * len(which), which, [None] * len(which), blobs)
+            yield _rows([DEALT] * len(which), which, blobs)
 
     def answer(table: pa.Table) -> pa.Table:
+        out, dealt = _sorted_out(table)
         fields = [[] for _ in range(5)]
-        for blob in table.column("blob").to_pylist():
-            n = int(np.frombuffer(blob[-8:], np.int64)[0])
-            ids = np.frombuffer(blob[-8 - 8 * n:-8], np.int64)
-            key, index, place, count, multi = _unpacked(
-                blob[:-9 - 8 * n], np.uint64, np.uint32, np.uint32, np.uint32, np.uint8)
-            for field, x in zip(fields, (key, ids[index], place, count, multi)):
+        for blob in dealt:
+            key, step, doc, count, multi, new = _unpacked(
+                blob, np.uint32, np.int32, np.int64, np.uint32, np.uint8, np.uint8)
+            # Steps start anew with each document: take off what went before it.
+            place = np.cumsum(step, dtype=np.int64)
+            first = np.flatnonzero(new)
+            place -= np.repeat(place[first] - step[first], np.diff(np.append(first, len(new))))
+            for field, x in zip(fields, (key, np.cumsum(doc), place, count, multi)):
                 field.append(x)
+        if not dealt:
+            return pa.Table.from_batches(out)
         key, doc, place, count, multi = (np.concatenate(f) for f in fields)
         order = np.lexsort((doc, key))
         start = _runs(key[order])
@@ -241,15 +303,52 @@ def _repeated(docs: DataFrame, least: int, buckets: int, hot: int) -> DataFrame:
         total = np.add.reduceat(count[order].astype(np.int64), start)
         asked = order[np.repeat(several, size)]
         asked = asked[multi[asked] == 0]
-        frequent = key[order[start[total > hot]]]
-        out = [_answers(doc[asked], place[asked])] if len(asked) else []
+        frequent = key[order[start[total > hot]]].astype(np.uint64)
+        if len(asked):
+            out.append(_grouped(groups, doc[asked], place[asked].astype(np.uint32)))
         if len(frequent):
-            out.append(_rows([HOT_KEY], [0], [None], [_packed(frequent)]))
-        return pa.Table.from_batches(out, _rows([], [], [], []).schema)
+            bucket = np.uint64(table.column("bucket")[0].as_py())
+            out.append(_rows([HOT_KEY], [0], [_packed(bucket << np.uint64(32) | frequent)]))
+        return pa.Table.from_batches(out, _rows([], [], []).schema)
+
+    # Answers known at once pass through the same shuffle, so that nothing is stored twice.
+    dealt = docs.select("doc_id", "text").mapInArrow(gather, _DEALT)
+    return stored(dealt.groupBy("bucket").applyInArrow(answer, _DEALT))
+
+
+def _places(answers: DataFrame) -> DataFrame:
+    """(doc_id, places) from the answers of :func:`_repeated`."""
 
-    found = stored(docs.select("doc_id", "text").mapInArrow(gather, _PLACES))
-    dealt = found.where(F.col("kind") == DEALT).groupBy("bucket").applyInArrow(answer, _PLACES)
-    return stored(found.where(F.col("kind") == ANSWER).unionByName(dealt))
+    def gather(table: pa.Table) -> pa.Table:
+        doc, place = _unpacked_all(table, np.uint32)
+        order = np.lexsort((place, doc))
+        doc = doc[order]
+        start = _runs(doc)
+        return pa.table({"doc_id": pa.array(doc[start]), "places": _sliced(place[order], start)})
+
+    return answers.groupBy("bucket").applyInArrow(gather, "doc_id long, places binary")
+
+
+def _spans(answers: DataFrame) -> DataFrame:
+    """(doc_id, tag, spans), spans united."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        doc, tag, start, end = _unpacked_all(table, np.int64, np.int64, np.int64)
+        order = np.lexsort((end, start, tag, doc))
+        doc, tag, start, end = doc[order], tag[order], start[order], end[order]
+        head = _starts_of(doc, tag)
+        own, a, b = _united_by(head, start, end)
+        return pa.table({"doc_id": pa.array(doc[head]), "tag": pa.array(tag[head]),
+                         "spans": _sliced(np.stack([a, b], axis=1), _runs(own))})
+
+    return answers.groupBy("bucket").applyInArrow(gather, "doc_id long, tag long, spans binary")
+
+
+def _unpacked_all(table: pa.Table, *types) -> list[np.ndarray]:
+    """Documents and columns of all values of :func:`_grouped`."""
+    parts = [_unpacked(x, np.int64, *types) for x in table.column("blob").to_pylist()]
+    return [np.concatenate([np.cumsum(p[0]) for p in parts]),
+            *(np.concatenate([p[k] for p in parts]) for k in range(1, len(types) + 1))]
 
 
 # --- contexts ------------------------------------------------------------------------
@@ -292,11 +391,16 @@ def _contexts(least: int, texts: _Texts, ids, tags, number, place) -> _Contexts:
     at = texts.starts[number] + place
     left = np.minimum(place, side)
     right = np.minimum(texts.ends[number] - at - GRAM, side)
-    cols = np.arange(-side, GRAM + side)
-    where = at[:, None] + cols[None, :]
-    inside = (cols[None, :] >= -left[:, None]) & (cols[None, :] < GRAM + right[:, None])
-    text = np.where(inside, texts.data[np.clip(where, 0, max(len(texts.data) - 1, 0))], 0)
-    return _Contexts(least, text.astype(np.uint8), left.astype(np.int16), right.astype(np.int16),
+    text = np.lib.stride_tricks.sliding_window_view(texts.padded(side), GRAM + 2 * side)[at]
+    for short, cols in ((left, np.arange(-side, 0)), (right, np.arange(1, side + 1))):
+        some = np.flatnonzero(short < side)
+        part = text[some, :side] if cols[0] < 0 else text[some, side + GRAM:]
+        part = np.where(np.abs(cols)[None, :] <= short[some, None], part, 0)
+        if cols[0] < 0:
+            text[some, :side] = part
+        else:
+            text[some, side + GRAM:] = part
+    return _Contexts(least, text, left.astype(np.int16), right.astype(np.int16),
                      ids[number], tags[number], place)
 
 
@@ -407,9 +511,10 @@ def _scan(c: _Contexts, rows, before, begin, end) -> None:
     side, least, width = c.side, c.least, c.text.shape[1]
     at = side - before
     length = (before + GRAM + c.right[rows]).astype(np.int64)
-    cols = at[:, None] + np.arange(width)[None, :]
-    text = np.where(cols < width, c.text[rows[:, None], np.minimum(cols, width - 1)], 0)
-    text = text.astype(np.uint8)
+    text = np.zeros((len(rows), width), np.uint8)
+    for k in np.unique(at):
+        some = np.flatnonzero(at == k)
+        text[some, :width - k] = c.text[rows[some], k:]
     order = _order(text)
     text, rows, at, length = text[order], rows[order], at[order], length[order]
     whole = at == side - c.left[rows]  # nothing is before it
@@ -436,31 +541,38 @@ def _scan(c: _Contexts, rows, before, begin, end) -> None:
             np.maximum.at(end, hit, at[part][later] + shared)
 
 
-_SPANS = "kind int, bucket long, doc long, tag long, blob binary"
+def _starts_of(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Starts of the runs of one document."""
+    new = np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))[:len(doc)]
+    return np.flatnonzero(new)
+
+
+def _united_by(head: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """(number of the run, start, end) of the spans of each run, united.
+
+    Runs are laid apart, so that one pass unites the spans of all.
+    """
+    number = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(start))))
+    a, b = united(start + (number << 40), end + (number << 40))
+    own = a >> 40
+    return own, a - (own << 40), b - (own << 40)
 
 
-def _span_rows(*found) -> pa.RecordBatch:
-    """One row for each document with its united spans."""
+def _span_rows(groups: int, *found) -> pa.RecordBatch:
+    """Covered spans as answers to their documents."""
     doc, tag, start, end = (np.concatenate([np.asarray(f[k], np.int64) for f in found])
                             for k in range(4))
-    ids, tags, blobs = [], [], []
     order = np.lexsort((end, start, tag, doc))
     doc, tag, start, end = doc[order], tag[order], start[order], end[order]
-    cut = np.flatnonzero((doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])) + 1
-    for part in np.split(np.arange(len(doc)), cut) if len(doc) else []:
-        a, b = united(start[part], end[part])
-        ids.append(int(doc[part[0]]))
-        tags.append(int(tag[part[0]]))
-        blobs.append(_packed(a, b))
-    n = len(ids)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([ANSWER] * n, pa.int32()), pa.array([0] * n, pa.int64()),
-         pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(blobs, pa.binary())],
-        ["kind", "bucket", "doc", "tag", "blob"])
+    head = _starts_of(doc, tag)
+    own, a, b = _united_by(head, start, end)
+    return _grouped(groups, doc[head][own], tag[head][own], a, b)
 
 
 def united(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of intervals given by rising starts; those that touch are one."""
+    if not len(start):
+        return start, end
     reach = np.maximum.accumulate(end)
     first = np.append(True, start[1:] > reach[:-1])
     last = np.append(np.flatnonzero(first)[1:] - 1, len(start) - 1)
@@ -480,41 +592,69 @@ def _single_strings(c: _Contexts) -> _Contexts:
                      c.doc[row], c.tag[row], c.place[row])
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a tag that tells rows of one id apart: 0 if no id is repeated."""
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    return docs.withColumn("tag", F.xxhash64("text") if has_rows(again)
+                           else F.lit(0).cast("long"))
+
+
+def squeezed(docs: DataFrame) -> DataFrame:
+    """doc_id, tag and packed (the compressed text) of each row."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("tag"),
+                 pa.array([_squeeze(t) for t in values(texts)], pa.binary())],
+                ["doc_id", "tag", "packed"])
+
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, packed binary")
+
+
+def _squeeze(text: bytes) -> bytes:
+    return _PACK.compress(text)
+
+
+def _loosen(packed: bytes) -> bytes:
+    return _LOOSEN.decompress(packed)
+
+
+def _loosened(packed: pa.Array) -> list[bytes]:
+    return [_loosen(p) for p in values(packed)]
+
+
 def covered_spans(docs: DataFrame, *, least: int = LEAST, hot: int | None = None,
                   buckets: int | None = None) -> DataFrame:
-    """(doc_id, tag, spans) of the rows of ``docs`` (doc_id, text) that have spans to go.
+    """(doc_id, tag, spans) of the rows of :func:`tagged` that have spans to go.
 
-    ``tag`` is ``xxhash64`` of the text, which tells rows of one id apart. ``spans`` is a list
-    of (start, end) in bytes, united and in order.
+    ``spans`` has pairs of start and end in bytes, as binary values of two longs a pair.
     """
     if least < GRAM + 8 or least - GRAM > 255:
         raise ValueError(f"least must be between {GRAM + 8} and {GRAM + 255}")
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= least))
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    sizes = docs.agg(F.sum(F.octet_length("text").cast("long")), F.count("*")).first()
+    size, groups = sizes[0] or 0, max(1, sizes[1] // GROUP_DOCS)
     if buckets is None:
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     if hot is None:
         hot = max(HOT, size // HOT_KEYS)
-    repeated = _repeated(docs, least, buckets, hot)
+    repeated = _repeated(docs, least, buckets, groups, hot)
     frequent = [_unpacked(bytes(r.blob), np.uint64)[0] for r in repeated.where(
         F.col("kind") == HOT_KEY).select("blob").toLocalIterator()]
     frequent = np.sort(np.concatenate([*frequent, np.zeros(0, np.uint64)]))
 
     def deal(batches):
-        for batch in batches:
-            texts = _Texts(batch.column("text"))
+        for batch in (x for whole in batches for x in _slices(whole, "packed", PACKED_BYTES)):
+            texts = _Texts(pa.array(_loosened(batch.column("packed")), pa.large_binary()))
             ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
             place, key = anchors(texts.data, texts.ends, least)
             number = texts.of(place)
             place = place - texts.starts[number]
-            asked = [np.zeros(0, np.int64)]
-            for k, blobs in enumerate(batch.column("blobs").to_pylist()):
-                here = np.concatenate([_unpacked(b, np.int64)[0] for b in blobs])
-                asked.append(here + (k << 40))
-            keep = np.isin((number << 40) + place, np.concatenate(asked))
+            row, asked = _owned(batch.column("places"))
+            keep = np.isin((number << 40) + place, (row << 40) + asked)
             place, key, number = place[keep], _mixed(key[keep]), number[keep]
             for part in _pieces(number, key):
                 yield from send(_contexts(least, texts, ids, tags, number[part], place[part]),
@@ -523,7 +663,8 @@ def covered_spans(docs: DataFrame, *, least: int = LEAST, hot: int | None = None
     def send(c: _Contexts, key: np.ndarray):
         if not len(key):
             return
-        many = np.isin(key, frequent)
+        held = _bucket(key, buckets).astype(np.uint64) << np.uint64(32)
+        many = np.isin(held | (key & np.uint64(0xFFFFFFFF)), frequent)
         found = []
         for group, by_string in ((np.flatnonzero(~many), False), (np.flatnonzero(many), True)):
             if not len(group):
@@ -537,27 +678,24 @@ def covered_spans(docs: DataFrame, *, least: int = LEAST, hot: int | None = None
             else:
                 side = rest.side
                 hashes = _mixed(_hashes_of(rest.text[:, side:side + GRAM]))
-            # Rows of the same context and document are answered together by number.
-            bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             which, blobs = [], []
-            for b, part in _parts(bucket):
+            for b, part in _parts(_bucket(hashes, buckets)):
                 which.append(b + (buckets if by_string else 0))
                 x = rest.take(part)
                 blobs.append(_packed(x.text.view(f"V{x.text.shape[1]}").ravel(),
                                      x.left.astype(np.uint8), x.right.astype(np.uint8), x.doc,
                                      x.tag, x.place.astype(np.int64)))
-            n = len(which)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([DEALT] * n, pa.int32()), pa.array(which, pa.int64()),
-                 pa.array([None] * n, pa.int64()), pa.array([None] * n, pa.int64()),
-                 pa.array(blobs, pa.binary())], ["kind", "bucket", "doc", "tag", "blob"])
+            yield _rows([DEALT] * len(which), which, blobs)
         if found:
-            yield _span_rows(*found)
+            yield _span_rows(groups, *found)
 
     def search(table: pa.Table) -> pa.Table:
         width = 2 * least - GRAM
+        out, dealt = _sorted_out(table)
+        if not dealt:
+            return pa.Table.from_batches(out)
         fields = [[] for _ in range(6)]
-        for blob in table.column("blob").to_pylist():
+        for blob in dealt:
             for field, x in zip(fields, _unpacked(blob, f"V{width}", np.uint8, np.uint8, np.int64,
                                                   np.int64, np.int64)):
                 field.append(x)
@@ -565,19 +703,15 @@ def covered_spans(docs: DataFrame, *, least: int = LEAST, hot: int | None = None
         c = _Contexts(least, text.view(np.uint8).reshape(-1, width), left.astype(np.int16),
                       right.astype(np.int16), doc, tag, place)
         rest, start, spans = _reduced(c)
-        return pa.Table.from_batches([_span_rows(spans, _search(rest, start))])
+        return pa.Table.from_batches([*out, _span_rows(groups, spans, _search(rest, start))])
 
-    asked = repeated.where(F.col("kind") == ANSWER).groupBy(F.col("doc").alias("doc_id")).agg(
-        F.collect_list("blob").alias("blobs"))
-    joined = docs.withColumn("tag", F.xxhash64("text")).join(asked, "doc_id")
-    found = stored(joined.select("doc_id", "tag", "text", "blobs").mapInArrow(deal, _SPANS))
-    dealt = found.where(F.col("kind") == DEALT).groupBy("bucket").applyInArrow(search, _SPANS)
-    spans = found.where(F.col("kind") == ANSWER).unionByName(dealt)
-    return stored(spans.groupBy(F.col("doc").alias("doc_id"), "tag").agg(
-        F.collect_list("blob").alias("spans")))
+    asked = _places(repeated.where(F.col("kind") == ANSWER))
+    joined = squeezed(docs).join(asked, "doc_id")
+    dealt = joined.select("doc_id", "tag", "packed", "places").mapInArrow(deal, _DEALT)
+    return stored(_spans(dealt.groupBy("bucket").applyInArrow(search, _DEALT)))
 
 
-PIECE = 1 << 16
+PIECE = 1 << 15
 
 
 def _pieces(number: np.ndarray, key: np.ndarray) -> Iterator[np.ndarray]:
@@ -609,37 +743,32 @@ def _digest(rows: np.ndarray) -> np.ndarray:
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = tagged(rows)
     spans = covered_spans(rows, **options)
-    spans = spans.select(F.col("doc_id").alias("own"), F.col("tag").alias("own_tag"), "spans")
-    joined = rows.join(spans, (F.col("doc_id").cast("long") == F.col("own")) & (
-        F.xxhash64("text") == F.col("own_tag")), "left")
+    joined = squeezed(rows).join(spans, ["doc_id", "tag"], "left")
 
-    @F.arrow_udf("n_removed long, n_spans long, kept binary, kept_sha256 string")
+    @F.arrow_udf("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = [[] for _ in range(4)]
-        texts = texts.cast(pa.binary())
-        for k in range(len(texts)):
-            text, blobs = texts[k].as_py(), spans[k].as_py()
-            parts, a, b = [text], (), ()
+        out = [[] for _ in range(5)]
+        for text, blobs in zip(values(texts), values(spans)):
+            text = _loosen(text)
+            parts, a = [text], ()
             if blobs:
-                pairs = [_unpacked(x, np.int64, np.int64) for x in blobs]
-                a, b = (np.concatenate([p[i] for p in pairs]) for i in range(2))
-                order = np.argsort(a, kind="stable")
-                a, b = united(a[order], b[order])
+                a, b = np.frombuffer(blobs, np.int64).reshape(-1, 2).T
                 parts = [text[i:j] for i, j in zip([0, *b.tolist()], [*a.tolist(), len(text)])]
             kept = b"".join(parts)
-            for column, x in zip(out, (len(text) - len(kept), len(a), kept,
+            for column, x in zip(out, (len(text), len(text) - len(kept), len(a), kept,
                                        hashlib.sha256(kept).hexdigest())):
                 column.append(x)
+        types = [pa.int64()] * 3 + [pa.binary(), pa.string()]
         return pa.StructArray.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-             pa.array(out[2], pa.binary()), pa.array(out[3], pa.string())],
-            ["n_removed", "n_spans", "kept", "kept_sha256"])
+            [pa.array(x, t) for x, t in zip(out, types)],
+            ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    found = joined.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
-                          cut(F.col("text"), F.col("spans")).alias("cut"))
-    return found.select("doc_id", "n_bytes", "cut.*")
+    found = joined.select("doc_id", cut(F.col("packed"), F.col("spans")).alias("cut"))
+    return found.select("doc_id", "cut.*")
 
 
 def repeat_report(docs: DataFrame, **options) -> DataFrame:
