@@ -5,8 +5,8 @@ candidate is found at least ``least`` times; its score is the smallest, over the
 it can be cut in two, of what its count is above that expected of its two parts.
 
 Words get numbers. Tasks number the words of their texts for themselves (a shard); only the
-distinct words of each shard meet the vocabulary, in a join, and are answered with the numbers
-of those that are frequent enough to be in a candidate. So neither the vocabulary nor the
+distinct words of each shard are dealt, by word, and are answered with the numbers of those that
+are frequent enough to be in a candidate. So neither the vocabulary nor the
 tokens have to fit one place, and no tokens are shuffled by word.
 
 Counting quotient filters. A phrase of n numbers of B bits is n * B bits wide. Rounds that
@@ -34,17 +34,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import has_rows, numbered, stored, values
+from .common import has_rows, stored, values
+from .repeats import _loosen as loosen
 from .repeats import _packed, _runs, _unpacked
+from .repeats import _squeeze as squeeze
 
 LEAST = 100
 LONGEST = 5
 TOP = 2000
 SHARD_TOKENS = 1 << 22
-BUCKET_TOKENS = 1 << 22
+BUCKET_BYTES = 1 << 24
 UNKNOWN = "und"
 _STEPS = np.random.default_rng(13).integers(1 << 32, 1 << 63, (64, 2), dtype=np.uint64)
 
@@ -222,23 +225,47 @@ class _Numbers(dict):
         return n
 
 
-def _shards(docs: DataFrame) -> DataFrame:
-    """(shard, lang, tokens, words, counts, total), stored: texts as numbers of their words."""
+def _packed_words(words: list[bytes], counts: np.ndarray, number: np.ndarray) -> list[bytes]:
+    """Words with their counts and numbers in a shard as two values."""
+    size = np.fromiter(map(len, words), np.uint32, len(words))
+    return [_packed(size, counts.astype(np.int64), number.astype(np.uint32)),
+            squeeze(b"".join(words))]
+
+
+def _unpacked_words(parts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    size, counts, number = _unpacked(parts[0], np.uint32, np.int64, np.uint32)
+    text, ends = loosen(parts[1]), np.cumsum(size, dtype=np.int64).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends)], counts, number
+
+
+_SHARD = "shard string, lang string, tokens binary, total long, bucket long, words array<binary>"
+
+
+def _shards(docs: DataFrame, buckets: int) -> DataFrame:
+    """Rows of shards (shard, lang, tokens, total) and of their words (shard, lang, bucket,
+    words), stored: texts as numbers of the words of their shard."""
 
     def run(batches):
         open_: dict[str, tuple] = {}
 
-        def row(lang):
+        def rows(lang):
             numbers, parts = open_.pop(lang)
             tokens = np.concatenate(parts)
-            counts = np.bincount(tokens, minlength=len(numbers))[1:]
+            counts = np.bincount(tokens, minlength=len(numbers))
+            shard, words = uuid.uuid4().hex, np.array(list(numbers), object)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+            which = (hashes % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(which[1:], kind="stable") + 1
+            found = [part for part in np.split(order, _runs(which[order])[1:]) if len(part)]
+            n = len(found)
             return pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([lang]),
-                 pa.array([_packed(tokens.astype(np.uint32))], pa.binary()),
-                 pa.array([list(numbers)[1:]], pa.list_(pa.binary())),
-                 pa.array([counts], pa.list_(pa.int64())),
-                 pa.array([int(counts.sum())], pa.int64())],
-                ["shard", "lang", "tokens", "words", "counts", "total"])
+                [pa.array([shard] * (n + 1)), pa.array([lang] * (n + 1)),
+                 pa.array([_packed(tokens), *[None] * n], pa.binary()),
+                 pa.array([int(counts[1:].sum()), *[None] * n], pa.int64()),
+                 pa.array([None, *(int(which[part[0]]) for part in found)], pa.int64()),
+                 pa.array([None, *(_packed_words(words[part].tolist(), counts[part], part)
+                                   for part in found)], pa.list_(pa.binary()))],
+                ["shard", "lang", "tokens", "total", "bucket", "words"])
 
         for batch in batches:
             for lang, text in zip(values(batch.column("lang")),
@@ -251,40 +278,65 @@ def _shards(docs: DataFrame) -> DataFrame:
                 found.append(0)
                 parts.append(np.array(found, np.uint32))
                 if len(parts) % 64 == 0:
-                    joined = np.concatenate(parts)
-                    parts[:] = [joined]
-                    if len(joined) >= SHARD_TOKENS:
-                        yield row(lang)
+                    parts[:] = [np.concatenate(parts)]
+                    if len(parts[0]) >= SHARD_TOKENS:
+                        yield rows(lang)
         for lang in list(open_):
-            yield row(lang)
+            yield rows(lang)
 
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"),
                         F.coalesce("text", F.lit("")).alias("text"))
-    return stored(texts.mapInArrow(
-        run, "shard string, lang string, tokens binary, words array<binary>, "
-             "counts array<bigint>, total long"))
-
-
-def _vocabulary(shards: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """((lang, word, c, id) of the frequent words, (shard, tokens) in their numbers), stored."""
-    entry = F.explode(F.arrays_zip("words", "counts")).alias("x")
-    counts = shards.select("lang", entry).groupBy("lang", F.col("x.words").alias("word")).agg(
-        F.sum("x.counts").alias("c")).where(F.col("c") >= least)
-    words = stored(numbered(counts, F.col("lang"), F.col("word"), name="id").withColumn(
-        "id", F.col("id") + 1))
-    own = shards.select("shard", "lang", F.posexplode("words").alias("at", "word"))
-    known = own.join(words.select("lang", "word", "id"), ["lang", "word"])
-    known = known.groupBy("shard").agg(F.collect_list("at").alias("at"),
-                                       F.collect_list("id").alias("id"))
+    return stored(texts.mapInArrow(run, _SHARD))
+
+
+def _vocabulary(shards: DataFrame, buckets: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """((lang, word, c, id) of the frequent words, (shard, tokens) in their numbers), stored.
+
+    A word's number is made of its bucket and its place among the bucket's frequent words.
+    """
+
+    def number(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        langs, of = table.column("lang").to_pylist(), table.column("shard").to_pylist()
+        counts: dict[tuple[str, bytes], int] = {}
+        parts = [_unpacked_words(x) for x in table.column("words").to_pylist()]
+        for lang, (words, c, _) in zip(langs, parts):
+            for w, k in zip(words, c.tolist()):
+                counts[lang, w] = counts.get((lang, w), 0) + k
+        some = sorted(k for k, c in counts.items() if c >= least)
+        ids = {k: n * buckets + bucket + 1 for n, k in enumerate(some)}
+        told, blobs = [], []
+        for lang, shard, (words, _, at) in zip(langs, of, parts):
+            new = np.fromiter((ids.get((lang, w), 0) for w in words), np.uint32, len(words))
+            hit = new > 0
+            if hit.any():
+                told.append(shard)
+                blobs.append(_packed(at[hit], new[hit]))
+        n, m = len(some), len(told)
+        return pa.table({
+            "lang": pa.array([k[0] for k in some] + [None] * m, pa.string()),
+            "word": pa.array([k[1] for k in some] + [None] * m, pa.binary()),
+            "c": pa.array([counts[k] for k in some] + [None] * m, pa.int64()),
+            "id": pa.array([ids[k] for k in some] + [None] * m, pa.int64()),
+            "shard": pa.array([None] * n + told, pa.string()),
+            "known": pa.array([None] * n + blobs, pa.binary())})
+
+    dealt = shards.where("bucket IS NOT NULL").select("shard", "lang", "bucket", "words")
+    found = stored(dealt.groupBy("bucket").applyInArrow(
+        number, "lang string, word binary, c long, id long, shard string, known binary"))
+    words = found.where("word IS NOT NULL").select("lang", "word", "c", "id")
+    known = found.where("shard IS NOT NULL").groupBy("shard").agg(
+        F.collect_list("known").alias("known"))
 
     def run(batches):
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
                 tokens = _unpacked(batch.column("tokens")[k].as_py(), np.uint32)[0]
-                at, number = (batch.column(c)[k].values.to_numpy() for c in ("at", "id"))
                 new = np.zeros(int(tokens.max(initial=0)) + 1, np.uint32)
-                new[at + 1] = number
+                for blob in batch.column("known")[k].as_py():
+                    at, ids = _unpacked(blob, np.uint32, np.uint32)
+                    new[at] = ids
                 tokens = new[tokens]
                 # One break is as good as several.
                 keep = np.append(True, (tokens[1:] != 0) | (tokens[:-1] != 0))
@@ -292,8 +344,8 @@ def _vocabulary(shards: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("shard"), pa.array(out, pa.binary())], ["shard", "tokens"])
 
-    streams = shards.select("shard", "tokens").join(known, "shard").select(
-        "shard", "tokens", "at", "id").mapInArrow(run, "shard string, tokens binary")
+    streams = shards.where("tokens IS NOT NULL").select("shard", "tokens").join(
+        known, "shard").mapInArrow(run, "shard string, tokens binary")
     return words, stored(streams)
 
 
@@ -374,17 +426,18 @@ def frequent_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONG
 
     ``docs`` has lang and text. Word numbers tell languages apart.
     """
-    shards = _shards(docs)
-    totals = stored(shards.groupBy("lang").agg(F.sum("total").alias("n")))
-    words, streams = _vocabulary(shards, least)
-    size = words.agg(F.max("id").alias("ids"), F.sum("c").alias("tokens")).first()
-    grams = words.select(F.array("id").alias("ids"), F.col("c").alias("f"))
-    bits = max(int(size.ids or 1).bit_length(), 1)
-    if bits > 32:
-        raise ValueError("more than 2**32 frequent words")
     if buckets is None:
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(partitions, int(size.tokens or 0) // BUCKET_TOKENS)
+        buckets = max(partitions, size // BUCKET_BYTES)
+    shards = _shards(docs, buckets)
+    totals = stored(shards.where("tokens IS NOT NULL").groupBy("lang").agg(
+        F.sum("total").alias("n")))
+    words, streams = _vocabulary(shards, buckets, least)
+    grams = words.select(F.array("id").alias("ids"), F.col("c").alias("f"))
+    bits = max(int(words.agg(F.max("id")).first()[0] or 1).bit_length(), 1)
+    if bits > 32:
+        raise ValueError("more than 2**32 numbers of words")
     lead = min(max(buckets - 1, 1).bit_length(), bits)
     found = None
     for n in range(2, longest + 1):
