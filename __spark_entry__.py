@@ -216,6 +216,24 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             return _round_similarity(ds.similarity(_pairs(s, d), **options))
         return run
 
+    def every_word(s, d):
+        ds.configure(s)
+        pairs = _pairs(s, d)
+        return _round_similarity(ds.similarity(
+            pairs, sim_min=SIM_MIN, words=pairs.select("target").distinct(),
+            words_plan="salted", split=256))
+
+    def every_target(s, d):
+        return _pairs(s, d).select("target").distinct()
+
+    def contexts_of_table(s, d):
+        return ds.sentence_contexts(_sentences(s, d), every_target(s, d))
+
+    def variants_of_table(s, d):
+        return ds.sentence_variants_of_words(
+            _sentences(s, d), _word_thesaurus(s, d),
+            _reduced(s, d).select(F.col("neighbor").alias("target")), size=1)
+
     return {
         "corpus_lines": _lines,
         "sentence_lines": _sentences,
@@ -246,6 +264,10 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "similarity_assoc_min": sim(sim_min=SIM_MIN, assoc_min=3),
         "similarity_pruned": sim(sim_min=0.7, distances=True, prune=True),
         "similarity_words": sim(sim_min=SIM_MIN, distances=True, words=WORDS),
+        "similarity_hybrid": sim(sim_min=SIM_MIN, distances=True, rare="auto"),
+        "similarity_every_word": every_word,
+        "nearest_neighbors": lambda s, d: ds.nearest_neighbors(
+            _pairs(s, d), size=10, sim_min=SIM_MIN),
         "similarity_dist_max": sim(sim_min=SIM_MIN, dist_max=0.5, distances=True),
         "similarity_random": similarity_random,
         "thesaurus": lambda s, d: _round_similarity(_thesaurus(s, d)),
@@ -281,6 +303,11 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _sentences(s, d), _word_thesaurus(s, d), "the"),
         "substitute_words": lambda s, d: ds.substitute_words(
             _sentences(s, d), _thesaurus(s, d)),
+        "words_in_sentences": lambda s, d: ds.words_in(_sentences(s, d), every_target(s, d)),
+        "sentence_contexts_of_table": contexts_of_table,
+        "sentence_variants_of_table": variants_of_table,
+        "substitute_inside": lambda s, d: ds.substitute_words(
+            _sentences(s, d), _thesaurus(s, d), inside=True),
         "build_thesaurus": build_thesaurus,
         "build_thesaurus_pair_lines": build_from_pair_lines,
     }
@@ -425,8 +452,13 @@ _CTES = {
     "ranked": """SELECT target, neighbor, cosine, row_number() OVER
           (PARTITION BY target ORDER BY cosine DESC, neighbor) AS rn
         FROM (SELECT target, neighbor, round_even(cosine, 6) AS cosine FROM thes)""",
+    "wranked": f"""SELECT target, neighbor, row_number() OVER
+          (PARTITION BY target ORDER BY round_even(cosine, 6) DESC, neighbor) AS rn
+        FROM thes WHERE target IN ({_WORDS_SQL}) OR neighbor IN ({_WORDS_SQL})""",
     "reduced": f"SELECT target, neighbor, cosine FROM ranked "
                f"WHERE rn <= 50 AND target IN ({_WORDS_SQL})",
+    "inside": "SELECT sentence, word FROM sents, (SELECT DISTINCT target AS word FROM pc) "
+              "WHERE contains(sentence, word)",
     "words": "SELECT unnest(tok) AS w FROM ctoks",
     "freqs": "SELECT lower(w) AS word, count(*)::DOUBLE AS freq FROM words "
              "WHERE w <> '' GROUP BY 1",
@@ -572,6 +604,9 @@ def core_sql() -> dict[str, str]:
         "similarity_pruned": f"SELECT {far} FROM simhighdist",
         "similarity_words": f"SELECT {far} FROM simdist "
                             f"WHERE target1 IN ({_WORDS_SQL}) OR target2 IN ({_WORDS_SQL})",
+        "similarity_hybrid": f"SELECT {far} FROM simdist",
+        "similarity_every_word": f"SELECT {near} FROM simcos",
+        "nearest_neighbors": "SELECT target, neighbor, cosine FROM ranked WHERE rn <= 10",
         "similarity_dist_max": f"SELECT {far} FROM simdist "
                                "WHERE NOT (lin > 0.5 AND l1 > 0.5 AND jsd > 0.5)",
         "similarity_random": """SELECT target1, target2,
@@ -615,6 +650,25 @@ def core_sql() -> dict[str, str]:
               replace(sentence, target, neighbor) AS variant
             FROM (SELECT sentence, unnest(list_distinct({_tokens('sentence')})) AS word FROM sents)
             JOIN ranked ON target = word WHERE rn = 1 AND word <> ''""",
+        "words_in_sentences": "SELECT sentence, word FROM inside",
+        "sentence_contexts_of_table": f"""SELECT word,
+              lower(CASE WHEN p > 1 THEN tok[p - 1] ELSE '' END) AS w_prev, lower(word) AS target,
+              lower(CASE WHEN p > 1 THEN coalesce(tok[p + 1], '') ELSE '' END) AS w_next
+            FROM (SELECT word, tok, coalesce(list_position(tok, word), 0) AS p
+                  FROM (SELECT word, {_tokens('sentence')} AS tok FROM inside))""",
+        "sentence_variants_of_table": f"""SELECT sentence, word AS target, neighbor,
+              CASE WHEN neighbor IS NULL THEN sentence ELSE regexp_replace(sentence,
+                CASE WHEN regexp_matches(word, '^[\\p{{L}}\\p{{Nd}}_]')
+                  THEN '(^|[^\\p{{L}}\\p{{Nd}}_])' ELSE '([\\p{{L}}\\p{{Nd}}_])' END
+                || regexp_escape(word), '\\1' || neighbor, 'g') END AS variant
+            FROM (SELECT sentence, word FROM sents, (SELECT DISTINCT neighbor AS word FROM reduced)
+                  WHERE contains(sentence, word))
+            JOIN (SELECT target, neighbor FROM wranked WHERE rn = 1
+                  UNION ALL SELECT DISTINCT target, NULL FROM wranked) ON target = word""",
+        "substitute_inside": """SELECT sentence, word AS target, neighbor,
+              replace(sentence, word, neighbor) AS variant
+            FROM (SELECT DISTINCT target AS word, neighbor FROM ranked WHERE rn = 1), sents
+            WHERE contains(sentence, word)""",
         "build_thesaurus_pair_lines": f"SELECT {far} FROM simdist "
                                       f"UNION ALL SELECT {back} FROM simdist",
         "build_thesaurus": f"SELECT {far} FROM simdist UNION ALL SELECT {back} FROM simdist",

@@ -37,6 +37,8 @@ from .operators.profiles import (
     target_links,
     target_profiles,
 )
+from .operators.containment import word_keys, words_in
+from .operators.nearest import nearest_neighbors
 from .operators.similarity import (
     configure,
     similarity,
@@ -44,7 +46,12 @@ from .operators.similarity import (
     thesaurus,
     vector_parts,
 )
-from .operators.substitution import sentence_variants, substitute_sentence, substitute_words
+from .operators.substitution import (
+    sentence_variants,
+    sentence_variants_of_words,
+    substitute_sentence,
+    substitute_words,
+)
 from .operators.thesaurus import (
     context_trigrams,
     neighbor_frequencies,

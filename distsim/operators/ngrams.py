@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.text import WHITE_SPACE, clean_line, split_fields, token_windows, tokenize
 
 
-def corpus_lines(documents: DataFrame, text: str = "text") -> DataFrame:
-    """One row per line of a text column; a carriage return before the break is dropped."""
+def corpus_lines(
+    documents: DataFrame, text: str = "text", partitions: int | None = None
+) -> DataFrame:
+    """One row per line of a text column; a carriage return before the break is dropped.
+
+    ``partitions`` deals the documents anew in so many parts first. A file is read in whole row
+    groups, so a corpus in fewer of them than there are cores is tokenized by as few tasks;
+    corpora of many row groups need no shuffle and leave it out.
+    """
+    if partitions is not None:
+        documents = documents.select(text).repartition(partitions)
     lines = documents.select(F.explode(F.split(F.col(text), "\n")).alias("line"))
     return lines.select(
         F.when(F.endswith("line", F.lit("\r")), F.expr("left(line, length(line) - 1)"))

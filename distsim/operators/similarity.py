@@ -178,13 +178,11 @@ def _contributions(v1: Column, v2: Column, distances: bool, jsd: str) -> dict[st
     return terms
 
 
-def _pair_sums(
-    cells: DataFrame, distances: bool, jsd: str, extra: dict[str, Column] | None = None
-) -> DataFrame:
-    """Sums over shared contexts for each pair of targets, ``target1 < target2``.
+def _pair_rows(cells: DataFrame, distances: bool, extra: dict[str, Column] | None = None):
+    """(rows of pairs, names of what is constant in a pair), ``target1 < target2``.
 
-    What depends on the pair alone travels with its rows: the product of the norms, the
-    totals, and the ``extra`` columns.
+    A row has both weights of one shared context. What depends on the pair alone travels with
+    it: the product of the norms, the totals, and the ``extra`` columns.
     """
     ordered = F.col("a_target") < F.col("b_target")
 
@@ -209,6 +207,11 @@ def _pair_sums(
         v1.alias("v1"), v2.alias("v2"),
         *[value.alias(name) for name, value in constants.items()],
     )
+    return rows, list(constants)
+
+
+def _summed(rows: DataFrame, constants: list[str], distances: bool, jsd: str) -> DataFrame:
+    """Sums over the shared contexts of each pair."""
     terms = _contributions(F.col("v1"), F.col("v2"), distances, jsd)
     return rows.groupBy("i", "j", "target1", "target2").agg(
         *[F.sum(term).alias(name) for name, term in terms.items()],
@@ -216,6 +219,14 @@ def _pair_sums(
     )
 
 
+def _pair_sums(
+    cells: DataFrame, distances: bool, jsd: str, extra: dict[str, Column] | None = None
+) -> DataFrame:
+    """Sums over shared contexts for each pair of targets, ``target1 < target2``."""
+    rows, constants = _pair_rows(cells, distances, extra)
+    return _summed(rows, constants, distances, jsd)
+
+
 def _with_totals(
     entries: DataFrame, distances: bool, jsd: str, all_pairs: bool
 ) -> DataFrame:
@@ -240,6 +251,54 @@ def _plain_sums(
     return _pair_sums(_join_cells(rows, partitions, blocks), distances, jsd)
 
 
+def _framed(entries: DataFrame, distances: bool, jsd: str) -> DataFrame:
+    """Entries with the totals of their target and ``df``, the targets that have the context.
+
+    All branches of a plan read one shuffle of the entries: the context is said to be never
+    null, so that no test for it is pushed below, and all columns are used.
+    """
+    keyed = entries.withColumn("context", F.coalesce("context", F.lit("")))
+    frequency = keyed.groupBy("context").agg(F.count("n").alias("df"))
+    return _with_totals(keyed, distances, jsd, False).join(frequency, "context")
+
+
+def _block(target: str, blocks: int) -> Column:
+    return F.coalesce(F.pmod(F.hash(target), F.lit(blocks)), F.lit(0))
+
+
+def _hybrid_sums(
+    entries: DataFrame, distances: bool, jsd: str, rare: int, partitions: int, blocks: int
+) -> DataFrame:
+    """Sums of every pair that shares a context; each kind of context by the cheaper way.
+
+    A context that ``d`` targets have makes ``d * (d - 1) / 2`` rows of pairs, and in cells
+    ``d * (blocks + 1)`` copies of entries. Contexts of at most ``rare`` targets are joined as
+    they are, without a copy of any entry, and their rows of pairs are sent to the cell of the
+    pair; the others are copied to the cells and joined there. A cell sums both, so pairs on
+    frequent contexts, the large part, are still not shuffled.
+    """
+    rows = _framed(entries, distances, jsd)
+    few, many = F.col("df") <= rare, F.col("df") > rare
+    joined = _join_cells(rows.where(many).drop("df"), partitions, blocks)
+    frequent, constants = _pair_rows(joined, distances)
+
+    def side(name: str) -> DataFrame:
+        kept = {c: f"{name}_{c}" for c in rows.columns if c not in ("context", "df")}
+        return rows.where(few & (F.col("df") > 1)).drop("df").withColumnsRenamed(kept)
+
+    met = side("a").join(side("b"), "context").where(F.col("a_target") < F.col("b_target"))
+    a, b = _block("a_target", blocks), _block("b_target", blocks)
+    met = met.withColumns({"i": F.least(a, b), "j": F.greatest(a, b)})
+    scarce = _pair_rows(met, distances)[0].repartition(partitions, "i", "j")
+    return _summed(frequent.unionByName(scarce), constants, distances, jsd)
+
+
+def _side(name: str, df: DataFrame) -> DataFrame:
+    """Columns renamed for one side of a join, but for what both sides share."""
+    kept = {c: f"{name}_{c}" for c in df.columns if c not in ("salt", *_entry_keys(df))}
+    return df.withColumnsRenamed(kept)
+
+
 def _word_sums(
     entries: DataFrame, distances: bool, jsd: str, all_pairs: bool, words: DataFrame
 ) -> DataFrame:
@@ -251,19 +310,48 @@ def _word_sums(
     rows = _with_totals(entries, distances, jsd, all_pairs)
     chosen = words.select("target").where(F.col("target").isNotNull()).distinct()
     marked = rows.join(chosen.withColumn("word", F.lit(True)), "target", "left")
+    one = _side("a", rows.join(chosen, "target", "left_semi"))
+    met = one.join(_side("b", marked), _entry_keys(rows)).where(_taken_once())
+    return _pair_sums(met.withColumns({"i": F.lit(0), "j": F.lit(0)}), distances, jsd)
 
-    def side(name: str, df: DataFrame) -> DataFrame:
-        kept = {c: f"{name}_{c}" for c in df.columns if c not in _entry_keys(df)}
-        return df.withColumnsRenamed(kept)
 
-    one = side("a", rows.join(chosen, "target", "left_semi"))
-    met = one.join(side("b", marked), _entry_keys(rows)).where(
-        (F.col("a_target") != F.col("b_target"))
-        & (F.col("b_word").isNull() | (F.col("a_target") < F.col("b_target")))
-    )
+def _taken_once() -> Column:
+    """Pairs of a word and another target, those of two words from the smaller one."""
+    return (F.col("a_target") != F.col("b_target")) & (
+        F.col("b_word").isNull() | (F.col("a_target") < F.col("b_target")))
+
+
+def _salted_word_sums(
+    entries: DataFrame, distances: bool, jsd: str, words: DataFrame, split: int
+) -> DataFrame:
+    """:func:`_word_sums` with the entries of frequent contexts split.
+
+    A context that more than ``split`` targets have is dealt in ``ceil(df / split)`` parts by
+    target, and the words' entries on it are copied to each part, so no task gets more than
+    about ``split`` entries of a context for each word that has it.
+    """
+    rows = _framed(entries, distances, jsd)
+    rows = rows.withColumn("parts", F.ceil(F.col("df") / split).cast("int")).drop("df")
+    chosen = words.select("target").where(F.col("target").isNotNull()).distinct()
+    marked = rows.join(chosen.withColumn("word", F.lit(True)), "target", "left").withColumn(
+        "salt", F.pmod(F.hash("target"), F.col("parts"))).drop("parts")
+    one = rows.join(chosen, "target", "left_semi").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    met = _side("a", one).join(_side("b", marked), ["context", "salt"]).where(_taken_once())
     return _pair_sums(met.withColumns({"i": F.lit(0), "j": F.lit(0)}), distances, jsd)
 
 
+def _word_cell_sums(
+    entries: DataFrame, distances: bool, jsd: str, words: DataFrame, partitions: int, blocks: int
+) -> DataFrame:
+    """:func:`_word_sums` in cells, for so many words that their pairs are most of all pairs."""
+    rows = _with_totals(entries, distances, jsd, False)
+    chosen = words.select("target").where(F.col("target").isNotNull()).distinct()
+    marked = rows.join(chosen.withColumn("word", F.lit(True)), "target", "left")
+    cells = _join_cells(marked, partitions, blocks)
+    return _pair_sums(cells.where("a_word OR b_word"), distances, jsd)
+
+
 def _levelled(entries: DataFrame, distances: bool, jsd: str, sim_min: float) -> DataFrame:
     """Entries with the totals of their target and the frequency level of their context.
 
@@ -415,6 +503,9 @@ def similarity(
     prune: bool = False,
     all_pairs: bool = False,
     words: str | Sequence[str] | DataFrame | None = None,
+    rare: int | str | None = None,
+    words_plan: str = "join",
+    split: int = 4096,
 ) -> DataFrame:
     """Similarity of pairs of targets, ``target1 < target2``.
 
@@ -428,7 +519,15 @@ def similarity(
     quadratic in the number of targets; without either, the call is refused.
 
     ``words`` (a word, a list, or a DataFrame with a column ``target``) keeps the pairs with
-    at least one of them, and forms no others; it is meant for few words.
+    at least one of them. ``words_plan`` says how: ``"join"`` meets the words' entries with all
+    entries on context and forms no other pairs; ``"salted"`` does so with contexts of more than
+    ``split`` targets dealt in parts, for vocabularies with very frequent contexts; ``"cells"``
+    uses the cells, for tables that hold a large part of all targets.
+
+    ``rare`` uses the hybrid plan, with the same result: contexts that at most so many targets
+    have are joined as they are, without copies of entries, and only the others in cells.
+    ``"auto"`` takes the number from which on copies are the cheaper way, ``2 * blocks + 3``.
+    It pays where partitions are many, since copies in cells grow with their square root.
 
     ``partitions`` defaults to four times ``spark.sql.shuffle.partitions``. Entries are
     copied ``blocks + 1`` times; ``blocks`` defaults to about eight cells per partition, and
@@ -440,12 +539,27 @@ def similarity(
         raise ValueError("give either a positive sim_min or all_pairs=True")
     if prune and (all_pairs or words is not None):
         raise ValueError("pruning needs a positive sim_min and no words")
+    if rare is not None and (all_pairs or prune or words is not None):
+        raise ValueError("the hybrid plan needs a positive sim_min, no pruning and no words")
+    if words_plan not in ("join", "salted", "cells"):
+        raise ValueError(f"words_plan must be 'join', 'salted' or 'cells', got {words_plan!r}")
+    if words_plan != "join" and (all_pairs or words is None):
+        raise ValueError("a plan for words needs words and a positive sim_min")
     entries = shared_once(association_filter(pair_counts, assoc_min))
+    partitions, blocks = _grid(pair_counts.sparkSession, partitions, blocks)
     if words is not None:
-        sums = _word_sums(entries, distances, jsd, all_pairs, word_table(entries, words))
+        chosen = word_table(entries, words)
+        if words_plan == "join":
+            sums = _word_sums(entries, distances, jsd, all_pairs, chosen)
+        elif words_plan == "salted":
+            sums = _salted_word_sums(entries, distances, jsd, chosen, split)
+        else:
+            sums = _word_cell_sums(entries, distances, jsd, chosen, partitions, blocks)
     else:
-        partitions, blocks = _grid(pair_counts.sparkSession, partitions, blocks)
-        if prune:
+        if rare is not None:
+            limit = 2 * blocks + 3 if rare == "auto" else int(rare)
+            sums = _hybrid_sums(entries, distances, jsd, limit, partitions, blocks)
+        elif prune:
             sums = _pruned_sums(entries, distances, jsd, sim_min, partitions, blocks)
         else:
             sums = _plain_sums(entries, distances, jsd, all_pairs, partitions, blocks)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_fields
+from .containment import words_in
 from .thesaurus import reduced_thesaurus
 
 # Fixed value: the characters that count as part of a word at a word boundary.
@@ -60,6 +61,39 @@ def sentence_variants(
     )
 
 
+def _quoted(replacement: Column) -> Column:
+    """A replacement text without special characters."""
+    return F.replace(F.replace(replacement, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+
+
+def sentence_variants_of_words(
+    sentences: DataFrame,
+    thesaurus: DataFrame,
+    words: DataFrame,
+    size: int = 50,
+    sentence: str = "sentence",
+) -> DataFrame:
+    """:func:`sentence_variants` for a table of words (column ``target``) of any size.
+
+    One row per sentence, word in it and neighbor, with the word in ``target``; the row with a
+    null ``neighbor`` is the original. A sentence with several of the words has rows for each.
+    """
+    best = reduced_thesaurus(thesaurus, words, size).select("target", "neighbor")
+    held = words_in(sentences, words, sentence).withColumnRenamed("word", "target")
+    word = F.col("target")
+    head = F.when(F.rlike(word, F.lit(r"^[\p{L}\p{Nd}_]")), F.lit(f"(?<!{WORD_CHARACTER})"))
+    before = head.otherwise(F.lit(f"(?<={WORD_CHARACTER})"))
+    end = F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    pattern = F.concat(before, F.lit(r"\Q"), end, F.lit(r"\E"))
+    changed = held.join(best, "target").select(
+        "sentence", "target", "neighbor",
+        F.regexp_replace("sentence", pattern, _quoted(F.col("neighbor"))).alias("variant"))
+    originals = held.select(
+        "sentence", "target", F.lit(None).cast("string").alias("neighbor"),
+        F.col("sentence").alias("variant"))
+    return originals.unionByName(changed)
+
+
 def substitute_sentence(
     sentences: DataFrame,
     thesaurus: DataFrame,
@@ -87,14 +121,21 @@ def substitute_words(
     words: DataFrame | None = None,
     k: int = 1,
     sentence: str = "sentence",
+    inside: bool = False,
 ) -> DataFrame:
     """:func:`substitute_sentence` for a table of words (column ``target``), or for all.
 
     One row per sentence, word that is a token of it, and neighbor. Tokens are joined with
     the words' neighbors, so the thesaurus is ranked once for all words, and sentences
-    without any of the words give no rows.
+    without any of the words give no rows. With ``inside``, as for a single word, the word
+    may stand anywhere in the sentence, within other words as well.
     """
     best = reduced_thesaurus(thesaurus, words, k).select("target", "neighbor")
+    if inside:
+        held = words_in(sentences, best, sentence).withColumnRenamed("word", "target")
+        return held.join(best, "target").select(
+            "sentence", "target", "neighbor",
+            F.replace("sentence", F.col("target"), F.col("neighbor")).alias("variant"))
     tokens = F.explode(F.array_distinct(split_fields(sentence, " "))).alias("target")
     rows = sentences.select(F.col(sentence).alias("sentence"), tokens).where("target <> ''")
     return rows.join(best, "target").select(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_fields
+from .containment import words_in
 
 
 def top_rows(df: DataFrame, group: str, score: str, n: int) -> DataFrame:
@@ -81,9 +82,10 @@ def sentence_contexts(
     sentences where the word is no token. ``word`` is the key, as given; the other
     columns are lower-cased.
 
-    ``words`` may be a DataFrame with a column ``target``, of any size, with
-    ``strict_context`` only: tokens are then joined with it. Finding words inside others
-    tries every word on every sentence, which is for a short list.
+    ``words`` may be a DataFrame with a column ``target``, of any size. With
+    ``strict_context`` tokens are joined with it; else words are looked up in sentences by
+    their rarest runs of characters (:func:`~distsim.operators.containment.words_in`). A list
+    tries every word on every sentence, which is for a few words.
     """
     tokens = split_fields(sentence, " ")
     if strict_context:
@@ -110,17 +112,15 @@ def sentence_contexts(
             hits = rows.select(first.alias("hit")).select("hit.*")
         left, right = F.col("w_prev"), F.col("w_next")
     else:
-        if isinstance(words, DataFrame):
-            raise ValueError("a table of words needs strict_context=True")
         word = F.col("word")
-        found = (
-            sentences.select(
+        if isinstance(words, DataFrame):
+            held = words_in(sentences, words, sentence)
+        else:
+            held = sentences.select(
                 F.col(sentence).alias("sentence"),
                 F.explode(F.array(*[F.lit(w) for w in _words(words)])).alias("word"),
-            )
-            .where(F.contains("sentence", word))
-            .select("word", split_fields("sentence", " ").alias("tokens"))
-        )
+            ).where(F.contains("sentence", word))
+        found = held.select("word", split_fields("sentence", " ").alias("tokens"))
         hits = found.withColumn("at", F.array_position("tokens", word).cast("int"))
         left, right = (
             F.when(F.col("at") > 1, F.get("tokens", F.col("at") - 1 + k)) for k in (-1, 1)

@@ -4,6 +4,7 @@ import pytest
 from golden import CORPUS, all_measures, lines
 
 import distsim as ds
+from distsim.operators import similarity
 
 NAMES = ["cosine", "lin", "wjaccard", "l1", "l2", "jsd", "askew1", "askew2"]
 
@@ -181,3 +182,52 @@ def test_words_give_the_rows_of_the_full_result(spark, sim_min):
 def test_added_entries_meet_no_context(spark):
     rows = [("a", "\n", 2), ("b", "\n", 3), ("c", "", 4), ("d", "", 1), ("e", "x", 1)]
     check(ds.similarity(frame(spark, rows), distances=True, all_pairs=True), all_measures(rows))
+
+
+@pytest.mark.parametrize("rare", [0, 3, 8, 1000, "auto"])
+def test_hybrid_plan_against_brute_force(spark, rare):
+    rows = vectors(11)
+    expected = {p: m for p, m in all_measures(rows).items() if m["cosine"] >= 0.2}
+    check(ds.similarity(frame(spark, rows), sim_min=0.2, distances=True, rare=rare, partitions=5,
+                        blocks=3), expected)
+
+
+def test_rare_contexts_are_not_copied(spark):
+    """Copies come from frequent contexts alone, whatever the number of partitions."""
+    rows = vectors(12) + [(f"r{i}", f"only{i // 2}", 1 + i % 3) for i in range(200)]
+    df = frame(spark, rows)
+    frequency = {}
+    for _, context, _ in rows:
+        frequency[context] = frequency.get(context, 0) + 1
+    many = sum(d for d in frequency.values() if d > 5)
+    assert many < len(rows) / 2
+    framed = similarity._framed(df, False, "integer")
+    for partitions, blocks in ((4, 3), (400, 80)):
+        cells = similarity._in_cells(framed.where("df > 5"), blocks, partitions, "both")
+        assert cells.count() == many * blocks
+    plan = ds.similarity(df, sim_min=0.2, rare=5, partitions=6)._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    # What sums the pairs reads both kinds of rows as they were dealt by cell.
+    above = text[: text.index("Union")]
+    assert "Exchange" not in above and text.count("REPARTITION_BY_NUM") == 3
+
+
+@pytest.mark.parametrize("plan", ["salted", "cells"])
+@pytest.mark.parametrize("words", [["t01", "t02", "wide", "absent"], None])
+def test_plans_for_words(spark, plan, words):
+    rows = vectors(13)
+    everything = sorted({t for t, _, _ in rows})
+    chosen = words or everything
+    expected = {p: m for p, m in all_measures(rows).items()
+                if m["cosine"] >= 0.2 and set(p) & set(chosen)}
+    table = spark.createDataFrame([(w,) for w in chosen + [None, chosen[0]]], "target string")
+    check(ds.similarity(frame(spark, rows), sim_min=0.2, distances=True, words=table,
+                        words_plan=plan, split=4, partitions=4, blocks=3), expected)
+
+
+def test_plans_are_refused_where_they_mean_nothing(spark):
+    df = frame(spark, vectors(1))
+    for wrong in ({"rare": 5, "prune": True}, {"rare": 5, "words": "t01"}, {"words_plan": "cells"},
+                  {"words": "t01", "words_plan": "other"}):
+        with pytest.raises(ValueError):
+            ds.similarity(df, sim_min=0.2, **wrong)

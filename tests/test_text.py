@@ -110,3 +110,11 @@ def test_vector_text_round_trip(spark):
     assert sorted(sorted(map(tuple, r.e)) for r in back.collect()) == [
         [("a", 1), ("b", 2)], [("x", 3)]
     ]
+
+
+def test_lines_of_documents_dealt_anew(spark):
+    df = spark.createDataFrame([("a\nb", 1), ("c\r\n", 2), (None, 3)], "text string, n int")
+    plain = sorted(r.line for r in ds.corpus_lines(df).collect())
+    dealt = ds.corpus_lines(df, partitions=3)
+    assert sorted(r.line for r in dealt.collect()) == plain == ["", "a", "b", "c"]
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
