@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,6 +148,9 @@ class QuotientFilter:
         n, first = len(self.counts), permutation.width(0)
         q = min(lead + max(n, 1).bit_length() - 1, first, 63)
         q = max(q, lead)
+        # A few bits more, if remainders are then whole bytes.
+        if (more := (first - q) % 8) <= 3:
+            q = min(q + more, 63)
         low = self.columns[0] << np.uint64(q)
         quotient = (self.columns[0] >> np.uint64(64 - q)) & np.uint64((1 << (q - lead)) - 1) \
             if q > lead else np.zeros(n, np.uint64)
@@ -225,6 +229,49 @@ class _Numbers(dict):
         return n
 
 
+def _packed_tokens(tokens: np.ndarray) -> bytes:
+    """Numbers of words as one value: all first bytes, all second bytes, and so on."""
+    planes = tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return _packed(np.ascontiguousarray(planes).reshape(-1))
+
+
+def _unpacked_tokens(blob: bytes) -> np.ndarray:
+    planes = _unpacked(blob, np.uint8)[0].reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
+
+
+def _stream(tokens: np.ndarray, least: int) -> list[bytes]:
+    """[tokens, words]: runs of ``least`` words or more, as places in a list of words.
+
+    Shorter runs are left out, and breaks between runs are single. Places are by frequency,
+    which packs well.
+    """
+    padded = np.concatenate([[0], tokens, [0]])
+    edge = np.flatnonzero((padded[1:] != 0) != (padded[:-1] != 0))
+    first, last = edge[0::2], edge[1::2]
+    some = last - first >= least
+    first, size = first[some], (last - first)[some]
+    # Each run with one break after it.
+    ends = np.cumsum(size + 1)
+    kept = np.zeros(int(ends[-1]) if len(ends) else 0, tokens.dtype)
+    inside = np.ones(len(kept), bool)
+    inside[ends - 1] = False
+    at = np.flatnonzero(inside)
+    kept[at] = tokens[at + np.repeat(first - (ends - size - 1), size)]
+    words, place, counts = np.unique(kept[at], return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(1, len(order) + 1)
+    out = np.zeros(len(kept), np.uint32)
+    out[at] = rank[place]
+    return [_packed_tokens(out), _packed(words[order].astype(np.uint32))]
+
+
+def _tokens(stream: list[bytes]) -> np.ndarray:
+    words = np.append(np.uint32(0), _unpacked(stream[1], np.uint32)[0])
+    return words[_unpacked_tokens(stream[0])]
+
+
 def _packed_words(words: list[bytes], counts: np.ndarray, number: np.ndarray) -> list[bytes]:
     """Words with their counts and numbers in a shard as two values."""
     size = np.fromiter(map(len, words), np.uint32, len(words))
@@ -260,7 +307,7 @@ def _shards(docs: DataFrame, buckets: int) -> DataFrame:
             n = len(found)
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard] * (n + 1)), pa.array([lang] * (n + 1)),
-                 pa.array([_packed(tokens), *[None] * n], pa.binary()),
+                 pa.array([_packed_tokens(tokens), *[None] * n], pa.binary()),
                  pa.array([int(counts[1:].sum()), *[None] * n], pa.int64()),
                  pa.array([None, *(int(which[part[0]]) for part in found)], pa.int64()),
                  pa.array([None, *(_packed_words(words[part].tolist(), counts[part], part)
@@ -332,38 +379,38 @@ def _vocabulary(shards: DataFrame, buckets: int, least: int) -> tuple[DataFrame,
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
-                tokens = _unpacked(batch.column("tokens")[k].as_py(), np.uint32)[0]
+                tokens = _unpacked_tokens(batch.column("tokens")[k].as_py())
                 new = np.zeros(int(tokens.max(initial=0)) + 1, np.uint32)
                 for blob in batch.column("known")[k].as_py():
                     at, ids = _unpacked(blob, np.uint32, np.uint32)
                     new[at] = ids
-                tokens = new[tokens]
-                # One break is as good as several.
-                keep = np.append(True, (tokens[1:] != 0) | (tokens[:-1] != 0))
-                out.append(_packed(tokens[keep[:len(tokens)]]))
+                out.append(_stream(new[tokens], 2))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("shard"), pa.array(out, pa.binary())], ["shard", "tokens"])
+                [batch.column("shard"), pa.array(out, pa.list_(pa.binary()))],
+                ["shard", "tokens"])
 
     streams = shards.where("tokens IS NOT NULL").select("shard", "tokens").join(
-        known, "shard").mapInArrow(run, "shard string, tokens binary")
+        known, "shard").mapInArrow(run, "shard string, tokens array<binary>")
     return words, stored(streams)
 
 
-_FOUND = "shard string, ids array<bigint>, f long, values array<binary>"
+_FOUND = "shard string, ids array<bigint>, f long, values array<binary>, tokens array<binary>"
 
 
 def _counted(streams: DataFrame, before: DataFrame | None, n: int, bits: int, lead: int,
              least: int) -> DataFrame:
     """Frequent phrases of ``n`` words (ids, f), and each shard's values of them, stored.
 
-    ``before`` has each shard's values of frequent phrases of one word less.
+    ``before`` has each shard's values of frequent phrases of one word less. Where there is
+    one, the result also has the shards' tokens that are in a counted phrase: longer ones are
+    among those.
     """
     shorter, longer, pruned = Permutation(n - 1, bits), Permutation(n, bits), before is not None
 
     def count(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                tokens = _unpacked(batch.column("tokens")[k].as_py(), np.uint32)[0]
+                tokens = _tokens(batch.column("tokens")[k].as_py())
                 if len(tokens) < n:
                     continue
                 alive = np.lib.stride_tricks.sliding_window_view(tokens > 0, n).all(axis=1)
@@ -381,25 +428,42 @@ def _counted(streams: DataFrame, before: DataFrame | None, n: int, bits: int, le
                 if not len(at):
                     continue
                 whole = QuotientFilter.of(longer.values([tokens[at + j] for j in range(n)]))
-                heads, blobs = [], []
+                shard = batch.column("shard")[k].as_py()
+                heads, blobs, streams = [], [], []
+                if pruned:
+                    kept = np.zeros_like(tokens)
+                    for j in range(n):
+                        kept[at + j] = tokens[at + j]
+                    heads.append(xxhash.xxh32_intdigest(shard) >> (32 - lead) if lead else 0)
+                    blobs.append(None)
+                    streams.append(_stream(kept, n + 1))
                 for head, part in whole.parts(lead):
                     heads.append(head)
                     blobs.append(part.encode(longer, lead))
-                shard = batch.column("shard")[k].as_py()
+                streams += [None] * (len(heads) - len(streams))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(heads, pa.int64()), pa.array([shard] * len(heads)),
-                     pa.array(blobs, pa.list_(pa.binary()))], ["bucket", "shard", "parts"])
+                     pa.array(blobs, pa.list_(pa.binary())), pa.array(streams, pa.list_(pa.binary()))],
+                    ["bucket", "shard", "parts", "tokens"])
 
     def merge(table: pa.Table) -> pa.Table:
         head = table.column("bucket")[0].as_py()
+        passed = table.filter(pc.is_valid(table.column("tokens")))
+        table = table.filter(pc.is_valid(table.column("parts")))
+        shards, found = passed.column("shard").to_pylist(), [None] * passed.num_rows
+        f, sent, streams = list(found), list(found), passed.column("tokens").to_pylist()
         filters = [QuotientFilter.decode(p, longer, lead, head)
                    for p in table.column("parts").to_pylist()]
-        whole = merged(filters)
-        some = whole.counts >= least
-        columns = [c[some] for c in whole.columns]
-        ids = np.stack(longer.phrases(columns), axis=1).astype(np.int64)
-        shards = [None] * len(ids)
-        found, f, sent = list(ids), whole.counts[some].tolist(), [None] * len(ids)
+        columns = [np.zeros(0, np.uint64)] * longer.columns
+        if filters:
+            whole = merged(filters)
+            some = whole.counts >= least
+            columns = [c[some] for c in whole.columns]
+            ids = np.stack(longer.phrases(columns), axis=1).astype(np.int64)
+            shards += [None] * len(ids)
+            found += list(ids)
+            f += whole.counts[some].tolist()
+            sent += [None] * len(ids)
         for shard, one in zip(table.column("shard").to_pylist(), filters):
             hit = members(columns, one.columns)
             if hit.any():
@@ -407,16 +471,18 @@ def _counted(streams: DataFrame, before: DataFrame | None, n: int, bits: int, le
                 found.append(None)
                 f.append(None)
                 sent.append([c[hit].tobytes() for c in one.columns])
+        streams += [None] * (len(shards) - len(streams))
         return pa.table({"shard": pa.array(shards, pa.string()),
                          "ids": pa.array(found, pa.list_(pa.int64())), "f": pa.array(f, pa.int64()),
-                         "values": pa.array(sent, pa.list_(pa.binary()))})
+                         "values": pa.array(sent, pa.list_(pa.binary())),
+                         "tokens": pa.array(streams, pa.list_(pa.binary()))})
 
     rows = streams
     if pruned:
-        own = before.where("shard IS NOT NULL").groupBy("shard").agg(
+        own = before.where("values IS NOT NULL").groupBy("shard").agg(
             F.collect_list("values").alias("values"))
         rows = streams.join(own, "shard").select("shard", "tokens", "values")
-    dealt = rows.mapInArrow(count, "bucket long, shard string, parts array<binary>")
+    dealt = rows.mapInArrow(count, "bucket long, shard string, parts array<binary>, tokens array<binary>")
     return stored(dealt.groupBy("bucket").applyInArrow(merge, _FOUND))
 
 
@@ -442,9 +508,12 @@ def frequent_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONG
     found = None
     for n in range(2, longest + 1):
         found = _counted(streams, found, n, bits, lead, least)
-        grams = grams.unionByName(found.where("ids IS NOT NULL").select("ids", "f"))
-        if not has_rows(found):
+        more = found.where("ids IS NOT NULL").select("ids", "f")
+        grams = grams.unionByName(more)
+        if not has_rows(more):
             break
+        if n > 2:
+            streams = found.where("tokens IS NOT NULL").select("shard", "tokens")
     return stored(grams), words, totals
 
 

@@ -96,6 +96,13 @@ def test_the_quotient_is_spread():
     assert heads.min() > 800 and heads.max() < 1250
 
 
+def test_streams_keep_runs():
+    tokens = np.array([0, 7, 0, 0, 5, 5, 9, 0, 3, 4, 0, 5, 5], np.uint32)
+    assert phrases._tokens(phrases._stream(tokens, 2)).tolist() == [5, 5, 9, 0, 3, 4, 0, 5, 5, 0]
+    assert phrases._tokens(phrases._stream(tokens, 3)).tolist() == [5, 5, 9, 0]
+    assert phrases._tokens(phrases._stream(tokens[:0], 2)).tolist() == []
+
+
 def test_members():
     rng = np.random.default_rng(4)
     all_ = [rng.integers(0, 50, 4000, dtype=np.uint64) for _ in range(2)]
