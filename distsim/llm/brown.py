@@ -20,9 +20,9 @@ absolutely, and what a class's words give up is its probability of an unknown wo
 probabilities of the known words and of an unknown one sum to one.
 
 Words. The corpus vocabulary has no bound, so it stays a table. The ``dictionary`` most
-frequent words, a bounded set, go to every worker; the other words of a text, a few in a
-hundred, are joined with the table. Words outside the dictionary are rare by construction,
-so no join key is hot.
+frequent words, a bounded set, go to every worker; the other words of a slice of texts,
+each once, meet the table in buckets by word. Pairs of units are packed by task once, so the
+rounds of the exchange shuffle nothing.
 
 Edges: a null text is an empty one, that is, one end. Rows with a null id are not held out
 and not trained on. Without training rows the model knows nothing and every text scores 0.
@@ -31,15 +31,18 @@ Repeated rows are scored one by one.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_fold, stored, values
+from .repeats import _loosen, _packed, _parts, _slices, _squeeze, _unpacked
 
 CLASSES = 64
 CORE = 8192
@@ -51,6 +54,8 @@ TASK_PAIRS = 500_000
 FOLDS, HELD_OUT = 10, 0
 PRIOR = 5.0
 FLUSH = 200_000
+SLICE_BYTES = 8 << 20
+BUCKET_WORDS = 200_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -124,7 +129,7 @@ class Units:
 
 
 def neighbor_counts(texts: DataFrame, units: Units) -> DataFrame:
-    """(a, b, n): how often unit b follows unit a, stored."""
+    """(a, b, n): how often unit b follows unit a."""
     size = units.end + 1
 
     def count(batches):
@@ -149,29 +154,63 @@ def neighbor_counts(texts: DataFrame, units: Units) -> DataFrame:
 
     pairs = texts.select("text").mapInArrow(count, "code long, n long")
     pairs = pairs.groupBy("code").agg(F.sum("n").alias("n"))
-    return stored(pairs.select(F.expr(f"code div {size}").cast("int").alias("a"),
-                               (F.col("code") % size).cast("int").alias("b"), "n"))
+    return pairs.select(F.expr(f"code div {size}").cast("int").alias("a"),
+                        (F.col("code") % size).cast("int").alias("b"), "n")
 
 
 def class_counts(pairs: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
     """Counts of class b after class a."""
 
+    def arrays(batches):
+        for batch in batches:
+            yield tuple(batch.column(k).to_numpy() for k in range(3))
+
+    return _class_sums_of(pairs.select("a", "b", "n"), arrays, of, classes)
+
+
+def _class_sums_of(df: DataFrame, arrays, of: np.ndarray, classes: int) -> np.ndarray:
+    """Class counts from the pairs (a, b, n) that ``arrays`` finds in the batches of ``df``."""
+
     def count(batches):
         total = np.zeros(classes * classes, np.int64)
-        for batch in batches:
-            a, b, n = (batch.column(k).to_numpy() for k in range(3))
+        for a, b, n in arrays(batches):
             np.add.at(total, of[a] * classes + of[b], n)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "n"])
 
-    rows = pairs.select("a", "b", "n").mapInArrow(count, "k long, n long").groupBy("k").agg(
-        F.sum("n").alias("n")).collect()
+    rows = df.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     out = np.zeros(classes * classes, np.int64)
-    for r in rows:
+    for r in rows.collect():
         out[r.k] = r.n
     return out.reshape(classes, classes)
 
 
+def _by_task(pairs: DataFrame, tasks: int) -> DataFrame:
+    """(task, pairs), stored: the pairs of a task's units, either way, packed in one value.
+
+    A round reads these rows as they lie; nothing is shuffled again.
+    """
+
+    def pack(table: pa.Table) -> pa.Table:
+        u, v, side, n = (table.column(c).to_numpy() for c in ("u", "v", "side", "n"))
+        order = np.lexsort((v, side, u))
+        blob = _packed(u[order].astype(np.int32), v[order].astype(np.int32),
+                       side[order].astype(np.uint8), n[order].astype(np.int64))
+        return pa.table({"task": table.column("task")[:1], "pairs": pa.array([blob], pa.binary())})
+
+    ways = F.explode(F.array(
+        F.struct(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1).alias("side"), "n"),
+        F.struct(F.col("b").alias("u"), F.col("a").alias("v"), F.lit(0).alias("side"), "n")))
+    both = pairs.select(ways.alias("x")).select("x.*", (F.col("x.u") % tasks).alias("task"))
+    return stored(both.groupBy("task").applyInArrow(pack, "task int, pairs binary"))
+
+
+def _pairs_of(batch: pa.RecordBatch):
+    """(u, v, side, n) of each row of :func:`_by_task`."""
+    for blob in batch.column("pairs"):
+        yield _unpacked(blob.as_py(), np.int32, np.int32, np.uint8, np.int64)
+
+
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
@@ -196,17 +235,19 @@ def best_class(n: np.ndarray, own: int, left: np.ndarray, right: np.ndarray) ->
 
 
 def _mover(of: np.ndarray, counts: np.ndarray, width: int, tasks: int, half: int):
-    """Function of one task's neighbor counts: new classes of every other of its units."""
-
-    def move(table: pa.Table) -> pa.Table:
-        u, v, side, n = (table.column(c).to_numpy() for c in ("u", "v", "side", "n"))
-        ids, at = np.unique(u, return_inverse=True)
-        seen = np.zeros(2 * len(ids) * width)
-        np.add.at(seen, (at * 2 + side) * width + of[v], n)
-        seen = seen.reshape(len(ids), 2, width)
-        turn = np.flatnonzero((ids // tasks) % 2 == half)
-        new = [best_class(counts, int(of[ids[i]]), seen[i, 0], seen[i, 1]) for i in turn]
-        return pa.table({"u": pa.array(ids[turn], pa.int64()), "c": pa.array(new, pa.int64())})
+    """Function of tasks' neighbor counts: new classes of every other of their units."""
+    end = len(of) - 1
+
+    def move(batches):
+        for u, v, side, n in (x for batch in batches for x in _pairs_of(batch)):
+            some = (u != v) & (u != end)
+            ids, at = np.unique(u[some], return_inverse=True)
+            place = (at * 2 + side[some]) * width + of[v[some]]
+            seen = np.bincount(place, n[some], 2 * len(ids) * width).reshape(len(ids), 2, width)
+            turn = np.flatnonzero((ids // tasks) % 2 == half)
+            new = [best_class(counts, int(of[ids[i]]), seen[i, 0], seen[i, 1]) for i in turn]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[turn], pa.int64()), pa.array(new, pa.int64())], ["u", "c"])
 
     return move
 
@@ -219,22 +260,22 @@ def exchange(pairs: DataFrame, units: Units, *, classes: int = CLASSES,
     """
     tasks = tasks or max(64, 2 * pairs.count() // TASK_PAIRS)
     of = np.append(np.arange(units.end) % classes, classes).astype(np.int64)
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1).alias("side"), "n")
-    both = both.unionByName(pairs.select(
-        F.col("b").alias("u"), F.col("a").alias("v"), F.lit(0).alias("side"), "n"))
-    both = both.where((F.col("u") != F.col("v")) & (F.col("u") != units.end))
-    both = stored(both.withColumn("task", F.col("u") % tasks).repartition("task"))
-    counts = class_counts(pairs, of, classes + 1)
+    packed = _by_task(pairs, tasks)
+
+    def followers(batches):
+        for u, v, side, n in (x for batch in batches for x in _pairs_of(batch)):
+            yield u[side == 1], v[side == 1], n[side == 1]
+
+    counts = _class_sums_of(packed, followers, of, classes + 1)
     start = likelihood(counts)
     best, idle, k = (start, of, counts), 0, 0
     while idle < IDLE and (rounds is None or k < rounds):
         move = _mover(of, counts, classes + 1, tasks, k % 2)
-        moved = both.groupBy("task").applyInArrow(move, "u long, c long").collect()
         new = of.copy()
-        for r in moved:
+        for r in packed.mapInArrow(move, "u long, c long").collect():
             new[r.u] = r.c
         k += 1
-        of, counts = new, class_counts(pairs, new, classes + 1)
+        of, counts = new, _class_sums_of(packed, followers, new, classes + 1)
         value = likelihood(counts)
         rises = value - best[0] > SETTLED * (best[0] - start)
         idle = 0 if rises else idle + 1
@@ -303,17 +344,30 @@ def fit(texts: DataFrame, *, classes: int = CLASSES, core: int = CORE, least: in
     words, counts = frequent(vocabulary, dictionary)
     units = Units(words[:max(core, int((counts >= least).sum()))], groups)
     pairs = neighbor_counts(texts, units)
-    of, transitions = exchange(pairs, units, classes=classes, rounds=rounds)
+    # There are no more different pairs than tokens.
+    total = int(vocabulary.agg(F.sum("c")).first()[0] or 0)
+    of, transitions = exchange(pairs, units, classes=classes, rounds=rounds,
+                               tasks=max(64, 2 * total // TASK_PAIRS))
     return Model(words, counts, units, of, transitions, classes, vocabulary), vocabulary
 
 
+_PARTS = "batch string, bucket long, parts array<binary>"
+
+
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score and score of every row of ``docs``.
 
-    ``docs`` has doc_id, held_out and text.
+    ``docs`` has doc_id, held_out and text. A slice of documents is scored at once but for its
+    words outside the dictionary; these, each once, are dealt by word and meet the vocabulary
+    there, and the slice is told their counts. Ids travel with the scores.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    ends = int(model.class_total[-1])
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    ends, least = int(model.class_total[-1]), int(model.counts[-1]) if len(model.counts) else None
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                  model.distinct // BUCKET_WORDS)
+    total, distinct, discount = model.total, model.distinct, model.discount
+    class_total, log_unknown = np.maximum(model.class_total, 1), model.log_unknown
 
     def run(batches):
         m = shared.value
@@ -324,64 +378,106 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
         base[-1] = word[-1] = 0.0
         end_base = float(m.log_base(np.array([ends]))[0])
         get, end, n_core, g = index.get, m.width - 1, len(m.units.core), m.units.groups
-        for batch in batches:
-            out = [[] for _ in range(5)]
-            rare_row, rare_word, rare_class = [], [], []
-            for rid, text in zip(values(batch.column("rid")), values(batch.column("text"))):
+        for batch in (x for whole in batches for x in _slices(whole, "text", SLICE_BYTES)):
+            columns: list[list] = [[] for _ in range(5)]
+            numbers: dict[bytes, int] = {}
+            classes: list[int] = []
+            rare: list[int] = []
+            for text in values(batch.column("text")):
                 ws = tokens(text)
                 at = np.array([get(w, -1) for w in ws], np.int64)
                 k = k_of[at] if len(at) else at
                 missing = np.flatnonzero(at < 0)
                 for i in missing:
                     w = ws[i]
-                    k[i] = m.of[n_core + shape(w, g)]
-                    rare_word.append(w)
-                    rare_class.append(k[i])
-                rare_row += [rid] * len(missing)
+                    if w not in numbers:
+                        numbers[w] = len(classes)
+                        classes.append(int(m.of[n_core + shape(w, g)]))
+                    rare.append(numbers[w])
+                    k[i] = classes[rare[-1]]
                 path = np.concatenate([[end], k, [end]])
-                out[0].append(rid)
-                out[1].append(len(ws) + 1)
-                out[2].append(len(ws) - len(missing) + (ends > 0))
-                out[3].append(float(base[at].sum()) + end_base)
-                out[4].append(float(word[at].sum()
-                                    + m.log_transition[path[:-1], path[1:]].sum()))
+                for column, x in zip(columns, (
+                        len(ws) + 1, len(ws) - len(missing) + (ends > 0), len(missing),
+                        float(base[at].sum()) + end_base,
+                        float(word[at].sum() + m.log_transition[path[:-1], path[1:]].sum()))):
+                    column.append(x)
+            ids = batch.column("doc_id")
+            name = uuid.uuid4().hex
+            whole = [_packed(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64),
+                             ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8),
+                             batch.column("held_out").to_numpy(
+                                 zero_copy_only=False).astype(np.uint8),
+                             *(np.array(x, t) for x, t in zip(columns, (np.int64,) * 3 + (float,) * 2))),
+                     _packed(np.array(rare, np.uint32)), _packed(np.array(classes, np.uint16))]
+            words = list(numbers)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64,
+                                 len(words)).view(np.int64)
+            which, parts = [], []
+            for b, part in _parts(hashes % buckets):
+                some = [words[i] for i in part]
+                which.append(b)
+                parts.append([_packed(np.array([len(w) for w in some], np.uint32),
+                                      part.astype(np.uint32)), _squeeze(b"".join(some))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0] + rare_row, pa.int64()),
-                 pa.array([None] * len(out[0]) + rare_word, pa.binary()),
-                 pa.array([0] * len(out[0]) + rare_class, pa.int32()),
-                 pa.array(out[1] + [0] * len(rare_row), pa.int64()),
-                 pa.array(out[2] + [0] * len(rare_row), pa.int64()),
-                 pa.array(out[3] + [0.0] * len(rare_row), pa.float64()),
-                 pa.array(out[4] + [0.0] * len(rare_row), pa.float64())],
-                ["rid", "word", "k", "n_tokens", "n_known", "base", "model"])
-
-    rows = docs.withColumn("rid", F.monotonically_increasing_id())
-    found = stored(rows.select("rid", "text").mapInArrow(
-        run, "rid long, word binary, k int, n_tokens long, n_known long, base double, "
-             "model double"))
-    rare = found.where("word IS NOT NULL").groupBy("rid", "word", "k").agg(
-        F.count("*").alias("times"))
-    rare = rare.join(vocabulary, "word", "left").withColumn(
-        "c", F.coalesce("c", F.lit(0)).cast("double"))
-    by_class = [F.array(*[F.lit(float(x)) for x in v])
-                for v in (np.maximum(model.class_total, 1), model.log_unknown)]
-    total, unknown = (F.get(v, F.col("k")) for v in by_class)
-    known = F.log10((F.col("c") - model.discount) / total)
-    base = F.log10((F.col("c") + 0.1) / (model.total + 0.1 * (model.distinct + 1)))
-    times = F.col("times")
-    terms = rare.select(
-        "rid", F.lit(0).cast("long").alias("n_tokens"),
-        F.when(F.col("c") > 0, times).otherwise(0).alias("n_known"),
-        (times * base).alias("base"),
-        (times * F.when(F.col("c") > 0, known).otherwise(unknown)).alias("model"))
-    whole = found.where("word IS NULL").select(*terms.columns)
-    sums = whole.unionByName(terms).groupBy("rid").agg(
-        *[F.sum(c).alias(c) for c in terms.columns[1:]])
-    ids = rows.select("rid", "doc_id", "held_out")
-    return ids.join(sums, "rid").select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).alias("train_tokens"),
+                [pa.array([name] * (len(which) + 1)), pa.array([None, *which], pa.int64()),
+                 pa.array([whole, *parts], pa.list_(pa.binary()))], ["batch", "bucket", "parts"])
+
+    def look_up(asked: pa.Table, known: pa.Table) -> pa.Table:
+        counts = dict(zip(known.column("word").to_pylist(), known.column("c").to_pylist()))
+        told, blobs = [], []
+        for name, (sizes, text) in zip(asked.column("batch").to_pylist(),
+                                       asked.column("parts").to_pylist()):
+            size, number = _unpacked(sizes, np.uint32, np.uint32)
+            text, to = _loosen(text), np.cumsum(size, dtype=np.int64).tolist()
+            c = np.fromiter((counts.get(text[a:b], 0) for a, b in zip([0, *to], to)), np.int64,
+                            len(size))
+            if (c > 0).any():
+                told.append(name)
+                blobs.append(_packed(number[c > 0], c[c > 0]))
+        return pa.table({"batch": pa.array(told, pa.string()),
+                         "counts": pa.array(blobs, pa.binary())})
+
+    def finish(batches):
+        for batch in batches:
+            for parts, told in zip(batch.column("parts"), batch.column("counts")):
+                whole, rare, classes = parts.as_py()
+                ids, valid, held, n_tokens, n_known, n_rare, base, model_ = _unpacked(
+                    whole, np.int64, np.uint8, np.uint8, *(np.int64,) * 3, *(float,) * 2)
+                rare, k = _unpacked(rare, np.uint32)[0], _unpacked(classes, np.uint16)[0]
+                c = np.zeros(len(k), np.int64)
+                for blob in told.as_py() or []:
+                    number, found = _unpacked(blob, np.uint32, np.int64)
+                    c[number] = found
+                by_word = np.where(c > 0, np.log10(np.maximum(c - discount, 1e-9) / class_total[k]),
+                                   log_unknown[k])
+                by_base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+                of = np.repeat(np.arange(len(ids)), n_rare)
+                more = [np.bincount(of, x[rare], len(ids)) for x in (c > 0, by_base, by_word)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, mask=valid == 0), pa.array(held.astype(bool)),
+                     pa.array(n_tokens), pa.array(n_known + more[0].astype(np.int64)),
+                     pa.array(base + more[1]), pa.array(model_ + more[2])],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base", "model"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
+    found = stored(rows.mapInArrow(run, _PARTS))
+    # The dictionary has all words that are more frequent.
+    others = vocabulary.where(F.length("word") > 0)
+    if least is not None:
+        others = others.where(F.col("c") < least)
+    others = others.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
+    asked = found.where("bucket IS NOT NULL").groupBy("bucket")
+    told = asked.cogroup(others.groupBy("bucket")).applyInArrow(
+        look_up, "batch string, counts binary")
+    told = told.groupBy("batch").agg(F.collect_list("counts").alias("counts"))
+    scored = found.where("bucket IS NULL").join(told, "batch", "left").select(
+        "parts", "counts").mapInArrow(
+        finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
+                "model double")
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).alias("train_tokens"),
         F.col("base").alias("base_score"),
-        (F.col("model") if model.total else F.lit(0.0)).alias("score"))
+        (F.col("model") if total else F.lit(0.0)).alias("score"))
 
 
 def class_model_scores(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT,
