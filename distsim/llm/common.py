@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +88,31 @@ def values(array, rows: int = 500) -> Iterator:
         yield from array.slice(at, rows).to_pylist()
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has one of them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def set_aside(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all other columns under names of no meaning, and what gives them back.
+
+    Operators that add columns can so work on tables that have columns of those names.
+    """
+    names = {c: f"kept_{k}" for k, c in enumerate(df.columns) if c not in used}
+    rows = df.select(*used, *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+
+    def restored(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(names.get(c, c)).alias(c) for c in df.columns])
+
+    return rows, restored
+
+
 def has_rows(df: DataFrame) -> bool:
     return len(df.take(1)) > 0
 

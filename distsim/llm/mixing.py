@@ -18,8 +18,9 @@ and whether a document is taken follows from its own key and that row: the docum
 not shuffled.
 
 Edges: a null text has size 0 and takes 0; null sources are one source, last in order.
-Repeated rows (same id and text) share a key and are taken or left together. An empty table
-gives an empty result.
+Repeated rows (same id and text) share a key and are one row of the order with a count; at the
+end of the budget as many of them are taken as it has room for. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, small, stored, word_count
+from .common import has_rows, numbered, set_aside, small, stored, word_count
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -104,16 +105,24 @@ def mixture(docs: DataFrame, *, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
     ends = stored(ends.select("source", F.col("end.__bucket").alias("last"),
                               F.col("end.before").alias("before")))
     inside = _join(placed, ends, "inner").where(F.col("__bucket") == F.col("last"))
+    # Repeated rows are one row of the order, with a count.
+    inside = inside.groupBy("source", "__key", "doc_id", "__size", "before", "rest").agg(
+        F.count(F.lit(1)).alias("rows"))
     order = ["__key", F.col("doc_id").asc_nulls_first()]
-    running = F.sum("__size").over(Window.partitionBy("source").orderBy(*order).rowsBetween(
+    words = F.col("rows") * F.col("__size")
+    running = F.sum(words).over(Window.partitionBy("source").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)) + F.col("before")
     # Taking a document must not move the sum further from the target than it was.
-    taken = inside.withColumn("upto", running).where(
-        2 * F.col("upto") - F.col("__size") <= 2 * F.col("rest"))
-    cuts = taken.groupBy("source").agg(F.max(F.struct("__key", "doc_id")).alias("cut"))
+    room = (F.col("rest") - running + words) / F.greatest("__size", F.lit(1)) + F.lit(0.5)
+    take = F.least("rows", F.floor(F.when(F.col("__size") > 0, room).otherwise(
+        F.when(running <= F.col("rest"), F.col("rows")).otherwise(0))))
+    taken = inside.withColumn("take", take).where("take > 0")
+    cuts = taken.groupBy("source").agg(F.max(F.struct(
+        "__key", "doc_id", "take", "rows")).alias("cut"))
     return stored(_join(_join(targets, ends, "left"), cuts, "left").select(
         "source", "source_size", "scale", "target", "epochs", "last",
-        F.col("cut.__key").alias("cut_key"), F.col("cut.doc_id").alias("cut_id")))
+        F.col("cut.__key").alias("cut_key"), F.col("cut.doc_id").alias("cut_id"),
+        F.col("cut.take").alias("cut_take"), F.col("cut.rows").alias("cut_rows")))
 
 
 def _join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -125,20 +134,50 @@ def _join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
 
 def with_copies(docs: DataFrame, plan: DataFrame, *, buckets: int = BUCKETS, seed: int = SEED
                 ) -> DataFrame:
-    """``docs`` with __size, __copies, __source_size and __target, by the plan's rows."""
+    """``docs`` with __size, __copies, __source_size and __target, by the plan's rows.
+
+    If only some of the repeated rows at a cut are taken, those are the first by partition.
+    """
     table = plan.select(F.col("source").alias("__source"), F.struct(
-        "scale", "epochs", "last", "cut_key", "cut_id", "source_size", "target").alias("__plan"))
+        "scale", "epochs", "last", "cut_key", "cut_id", "cut_take", "cut_rows", "source_size",
+        "target").alias("__plan"))
     keyed = _keyed(docs, seed)
     joined = keyed.join(small(table), F.col("source").eqNullSafe(F.col("__source")), "left")
     p, key = F.col("__plan"), F.col("__key")
     part = F.least(F.floor((1.0 - F.exp(-key * p["scale"])) * buckets), F.lit(buckets - 1))
     before = (key < p["cut_key"]) | ((key == p["cut_key"]) & F.coalesce(
-        F.col("doc_id") <= p["cut_id"], F.col("doc_id").isNull()))
+        F.col("doc_id") < p["cut_id"], F.col("doc_id").isNull() & p["cut_id"].isNotNull()))
+    at = (part == p["last"]) & (key == p["cut_key"]) & F.col("doc_id").eqNullSafe(p["cut_id"])
+    joined = joined.withColumn("__at", F.coalesce(at, F.lit(False)))
+    whole = F.lit(True)
+    if has_rows(plan.where("cut_take < cut_rows")):
+        joined, number = _numbered_at_cut(joined)
+        whole = number < p["cut_take"]
     more = (part < p["last"]) | ((part == p["last"]) & F.coalesce(before, F.lit(False)))
+    more = more | (F.col("__at") & whole)
     copies = p["epochs"] + F.coalesce(more, F.lit(False)).cast("int")
     return joined.withColumn("__copies", copies).withColumn(
         "__source_size", p["source_size"]).withColumn("__target", p["target"]).drop(
-        "__source", "__plan", "__quality", "__key")
+        "__source", "__plan", "__quality", "__key", "__at", "__id", "__number", "__first")
+
+
+def _numbered_at_cut(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """The rows, stored, and the number from 0 of each row at the cut of its source.
+
+    Rows are numbered within the partitions they lie in; no partition sees those of another.
+    """
+    rows = stored(rows.withColumn("__id", F.monotonically_increasing_id()))
+    tied = rows.where("__at").select("source", "__id", F.shiftrightunsigned("__id", 33).alias("p"))
+    own = Window.partitionBy("source", "p").orderBy("__id")
+    numbers = tied.withColumn("n", F.row_number().over(own) - 1)
+    earlier = Window.partitionBy("source").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = tied.groupBy("source", "p").count().withColumn(
+        "first", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+    firsts = firsts.select(F.col("source").alias("s"), F.col("p").alias("q"), "first")
+    numbers = numbers.join(small(firsts), F.col("source").eqNullSafe(F.col("s"))
+                           & (F.col("p") == F.col("q")))
+    numbers = numbers.select("__id", (F.col("n") + F.col("first")).alias("__number"))
+    return rows.join(numbers, "__id", "left"), F.coalesce("__number", F.lit(0))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -155,8 +194,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their own columns."""
-    columns = docs.columns
+    rows, restored = set_aside(docs, "doc_id", "text", "source")
     own = {k: v for k, v in options.items() if k in ("buckets", "seed")}
-    taken = with_copies(docs, mixture(docs, **options), **own)
-    return taken.where("__copies > 0").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    taken = with_copies(rows, mixture(rows, **options), **own)
+    return restored(taken.where("__copies > 0").withColumn(
+        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))))

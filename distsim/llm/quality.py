@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import free_names, words
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2)
@@ -138,14 +138,15 @@ def with_quality(docs: DataFrame, table: list[float], *, threshold: float = THRE
     Its fields are the base counts, ``base_failed``, ``ratio`` (per n-gram) and ``kept``.
     """
     numbers = F.split(F.lit(",".join(f"{x:g}" for x in table)), ",").cast("array<double>")
-    text, w, h = F.col("text"), F.col("__words"), F.col("__hashes")
+    split, hashed, counts = free_names(docs, "words", "hashes", "counts")
+    text, w, h = F.col("text"), F.col(split), F.col(hashed)
     base = base_rules(text, w, h)
     sums = [F.aggregate(_buckets(h, n, len(table)), F.lit(0.0),
                         lambda a, g: a + F.get(numbers, g)) for n in orders]
-    counted = docs.withColumn("__words", words(text)).withColumn("__hashes", _hashes(w))
-    counted = counted.withColumn("__base", F.struct(
+    counted = docs.withColumn(split, words(text)).withColumn(hashed, _hashes(w))
+    counted = counted.withColumn(counts, F.struct(
         *[c.alias(k) for k, c in base.items()], sum(sums).alias("total")))
-    n, b = F.col("__base.n_words"), F.col("__base")
+    n, b = F.col(f"{counts}.n_words"), F.col(counts)
     grams_n = sum(F.greatest(n - (k - 1), F.lit(0)) for k in orders)
     ratio = F.when(n > 0, F.round(b["total"] / grams_n, 6)).otherwise(F.lit(0.0))
     failed = (n < MIN_WORDS) | (100 * b["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
@@ -155,7 +156,7 @@ def with_quality(docs: DataFrame, table: list[float], *, threshold: float = THRE
     verdict = F.struct(*fields, failed.alias("base_failed"), ratio.alias("ratio"),
                        (~failed & (ratio >= threshold)).alias("kept"))
     return counted.withColumn("quality_rules", F.explode(F.array(verdict))).drop(
-        "__words", "__hashes", "__base")
+        split, hashed, counts)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD,

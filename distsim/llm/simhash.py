@@ -23,11 +23,19 @@ Near copies. ``near_copies`` links texts whose sets of 5-word shingles have a Ja
 similarity of ``LEAST`` or more. At that similarity fingerprints differ in ten bits and more,
 a radius at which no cut of the Hamming space prunes, so candidates come from MinHash bands:
 two texts of similarity s share a band with probability 1 - (1 - s^4)^20, which is 0.99997 at
-0.8. Candidates are checked exactly on their shingles. Texts with equal sets are one point. A
-bucket's points are first held against its smallest one; buckets that still have points of
-several components are then compared in parts of about ``PEERS`` points, all pairs of a part,
-dealt anew in each round until a round links nothing. Smaller buckets are one part, so all
-their pairs are checked.
+0.8. Candidates are checked exactly on their shingles. Texts with equal sets are one point. The
+shingles of points in a bucket with others are stored once, and tasks get them by cell:
+
+* in a first round each bucket's points are held against its smallest one, and in further rounds
+  against another one, as long as a round joins a fair part of what is apart. That makes at most
+  as many rows as buckets have points, and leaves most buckets with points of one component.
+* buckets that still have several are then searched whole. The points outside a bucket's largest
+  component, in chunks, meet each other and those inside, in chunks, each pair of chunks in a
+  cell; a cell compares what is of different components and returns a spanning set of links.
+
+So all candidate pairs of different components are compared, whatever the size of the bucket, and
+no pair of texts is a row. A group of copies that are not similar to each other costs its square
+in comparisons, in cells of bounded size.
 """
 
 from __future__ import annotations
@@ -40,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_rows, stored, values
+from .common import small, stored, values
 from .components import components
 
 SHINGLE = 3
@@ -54,7 +62,9 @@ BLOCK = 512
 COPY_SHINGLE = 5
 LEAST = 0.8
 BANDS, BAND_ROWS = 20, 4
-PEERS = 16
+POINTS = 1024
+TURNS = 3
+TASK_SHINGLES = 1 << 20
 
 
 def _fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
@@ -238,13 +248,6 @@ def _shingles(text: bytes | None) -> np.ndarray:
     return np.unique(np.array([digest(join(r), SEED) for r in runs], dtype=np.uint64))
 
 
-def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    if not len(x) and not len(y):
-        return 1.0
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
-
-
 def _sketches(docs: DataFrame) -> DataFrame:
     """(id, digest of the shingle set, its size, MinHash bands) of (id, text)."""
     odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
@@ -277,73 +280,189 @@ def _sketches(docs: DataFrame) -> DataFrame:
         run, "id long, digest binary, size long, bands array<long>")
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts have a Jaccard similarity of at least ``least``."""
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of the rows of ``docs`` with these ids, stored."""
 
     def run(batches):
-        memory: dict = {}
+        for batch in batches:
+            texts = values(batch.column("text").cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array([_shingles(t).tobytes() for t in texts],
+                                              pa.binary())], ["id", "shingles"])
+
+    some = docs.join(small(ids), "id", "left_semi").select("id", "text")
+    return stored(some.mapInArrow(run, "id long, shingles binary"))
+
+
+LEFT, RIGHT, BOTH = 1, 2, 3
+
+
+def links_in_cell(role: np.ndarray, ids: np.ndarray, component: np.ndarray, sets: list,
+                  least: float) -> list[tuple[int, int]]:
+    """Links between left and right points of different components that join all they can."""
+    root = {int(c): int(c) for c in component}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    right = [k for k in np.flatnonzero(role & RIGHT) if len(sets[k])]
+    if not right:
+        return []
+    sizes = np.array([len(sets[k]) for k in right])
+    distinct, at = np.unique(np.concatenate([sets[k] for k in right]), return_inverse=True)
+    start = np.cumsum(sizes) - sizes
+    links = []
+    for k in np.flatnonzero(role & LEFT):
+        own = sets[k]
+        fit = (np.minimum(sizes, len(own)) >= least * np.maximum(sizes, len(own)))
+        fit &= component[right] != component[k]
+        if not fit.any():
+            continue
+        place = np.minimum(np.searchsorted(distinct, own), len(distinct) - 1)
+        held = np.zeros(len(distinct), bool)
+        held[place[distinct[place] == own]] = True
+        both = np.add.reduceat(held[at], start, dtype=np.int64)
+        for j in np.flatnonzero(fit & (both >= least * (sizes + len(own) - both))):
+            a, b = find(int(component[k])), find(int(component[right[j]]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                links.append((int(ids[k]), int(ids[right[j]])))
+    return links
+
+
+def _compared(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b), stored, of the points in each cell.
+
+    ``rows`` has the columns cell, role, id, component and size. Cells are dealt to tasks by
+    their hash, so many together as a task can hold the shingles of.
+    """
+    rows = stored(rows)
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(partitions, int(total) // TASK_SHINGLES)
 
-        def shingles(key, text):
-            if key not in memory:
-                if len(memory) >= 64:
-                    memory.clear()
-                memory[key] = _shingles(text)
-            return memory[key]
+    def search(table: pa.Table) -> pa.Table:
+        cell, role, ids, component = (table.column(c).to_numpy() for c in (
+            "cell", "role", "id", "component"))
+        shingles = table.column("shingles").to_pylist()
+        order = np.argsort(cell, kind="stable")
+        links = []
+        for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            links += links_in_cell(role[part], ids[part], component[part],
+                                   [np.frombuffer(shingles[k], np.uint64) for k in part], least)
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        for batch in batches:
-            ta, tb = (batch.column(c).cast(pa.binary()) for c in ("ta", "tb"))
-            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
-            keep = [_jaccard(shingles(i, x), shingles(j, y)) >= least
-                    for i, j, x, y in zip(a, b, values(ta), values(tb))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    dealt = rows.withColumn("part", F.pmod("cell", F.lit(parts))).join(sets, "id")
+    return stored(dealt.groupBy("part").applyInArrow(search, "a long, b long"))
+
+
+def _chunks(n: Column, size: Column, points: int) -> Column:
+    """In how many chunks to cut so many points of so many shingles together."""
+    return F.greatest(F.ceil(n / points), F.ceil(size / (points * 512)), F.lit(1)).cast("int")
 
-    first = docs.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    second = docs.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(
-        run, "a long, b long")
 
+def _star_cells(own: DataFrame, turn: int, points: int) -> DataFrame:
+    """Cells of each bucket's center and a chunk of its points of other components.
 
-def near_copies(docs: DataFrame, *, least: float = LEAST, peers: int = PEERS) -> DataFrame:
+    ``own`` has key, id, size and component. The center is the smallest point, later another.
+    """
+    rank = F.col("id") if turn == 0 else F.xxhash64("id", "key", F.lit(turn))
+    centers = own.groupBy("key").agg(
+        F.min(F.struct(rank.alias("rank"), "id", "component", "size")).alias("c"),
+        F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    centers = centers.select("key", *[F.col(f"c.{x}").alias(f"c_{x}") for x in (
+        "id", "component", "size")])
+    apart = own.join(centers, "key").where("component <> c_component")
+    # One center may lead many buckets: each pair once.
+    pairs = stored(apart.select("c_id", "c_component", "c_size", "id", "component", "size").distinct())
+    counts = pairs.groupBy("c_id").agg(
+        _chunks(F.count(F.lit(1)), F.sum("size"), points).alias("chunks"))
+    pairs = pairs.join(counts, "c_id").withColumn(
+        "cell", F.xxhash64("c_id", F.pmod(F.xxhash64("id"), F.col("chunks"))))
+    right = pairs.select("cell", F.lit(RIGHT).alias("role"), "id", "component", "size")
+    left = pairs.select("cell", F.lit(LEFT).alias("role"), F.col("c_id").alias("id"),
+                        F.col("c_component").alias("component"),
+                        F.col("c_size").alias("size")).distinct()
+    return right.unionByName(left)
+
+
+def _whole_cells(own: DataFrame, points: int) -> DataFrame:
+    """Cells of all pairs of chunks of a bucket that can hold points of two components."""
+    sums = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"),
+                                               F.sum("size").alias("size"))
+    buckets = sums.groupBy("key").agg(
+        F.max(F.struct("n", "component", "size")).alias("most"), F.count(F.lit(1)).alias("of"),
+        F.sum("n").alias("n"), F.sum("size").alias("size")).where("of > 1")
+    buckets = buckets.select(
+        "key", F.col("most.component").alias("major"),
+        _chunks(F.col("most.n"), F.col("most.size"), points).alias("inside"),
+        _chunks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size"), points)
+        .alias("outside"))
+    rows = own.join(buckets, "key")
+    hashed = F.xxhash64("id", F.lit(7))
+    out = rows.where("component <> major").withColumn(
+        "i", F.pmod(hashed, F.col("outside")).cast("int"))
+    inner = rows.where("component = major").withColumn(
+        "i", F.pmod(hashed, F.col("inside")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("outside") - 1)).alias("j")
+    each = out.select("key", "id", "component", "size", "i", every)
+    minor = each.select(
+        F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("cell"),
+        F.when(F.col("i") == F.col("j"), BOTH).when(F.col("i") < F.col("j"), LEFT)
+        .otherwise(RIGHT).alias("role"), "id", "component", "size")
+    every = F.explode(F.sequence(F.lit(0), F.col("inside") - 1)).alias("j")
+    left = out.select("key", "id", "component", "size", "i", every).select(
+        F.xxhash64("key", "i", F.lit("major"), "j").alias("cell"), F.lit(LEFT).alias("role"),
+        "id", "component", "size")
+    every = F.explode(F.sequence(F.lit(0), F.col("outside") - 1)).alias("j")
+    right = inner.select("key", "id", "component", "size", "i", every).select(
+        F.xxhash64("key", "j", F.lit("major"), "i").alias("cell"), F.lit(RIGHT).alias("role"),
+        "id", "component", "size")
+    return minor.unionByName(left).unionByName(right)
+
+
+def near_copies(docs: DataFrame, *, least: float = LEAST, points: int = POINTS,
+                turns: int = TURNS) -> DataFrame:
     """(id, component) of every row of ``docs`` (id, text); component is the smallest id.
 
-    ``docs`` should be stored, with distinct ids.
+    ``docs`` should be stored, with distinct ids. ``points`` is the size of a chunk, ``turns``
+    the most rounds of centers.
     """
     sketches = stored(_sketches(docs))
-    points = stored(sketches.groupBy("digest").agg(F.min("id").alias("point")))
-    bands = sketches.join(points.select(F.col("point").alias("id")), "id", "left_semi")
-    members = stored(bands.select("id", "size", F.explode("bands").alias("key")))
-    buckets = stored(members.groupBy("key").agg(
-        F.min(F.struct("id", "size")).alias("first"), F.count("*").alias("n")).where("n > 1"))
-    members = stored(members.join(buckets, "key"))
-    # Sets of sizes further apart can't be that similar.
-    sizes = F.least("size", "size2") >= F.greatest("size", "size2") * F.lit(least)
-    pairs = members.withColumn("size2", F.col("first.size")).where(sizes).where(
-        "id <> first.id").select(F.col("first.id").alias("a"), F.col("id").alias("b"))
-    tried = stored(pairs.distinct())
-    links = stored(_checked(tried, docs, least))
-    found = components(links)
-    turn = 0
-    while True:
+    distinct = stored(sketches.groupBy("digest").agg(
+        F.min(F.struct("id", "size", "bands")).alias("p")))
+    members = distinct.select("p.id", "p.size", F.explode("p.bands").alias("key"))
+    shared = members.groupBy("key").count().where("count > 1").select("key")
+    members = stored(members.join(shared, "key", "left_semi"))
+    sets = _sets(docs, members.select("id").distinct())
+
+    def apart(links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(components found, members with theirs)"""
+        found = stored(components(links)) if links is not None else docs.sparkSession.createDataFrame(
+            [], "node long, component long")
+        own = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
+            "component", F.coalesce("component", "id"))
+        return found, stored(own)
+
+    links, turn = None, 0
+    found, own = apart(None)
+    while turn < turns:
+        cells = _star_cells(own, turn, points)
+        new = _compared(cells, sets, least)
+        links = new if links is None else links.unionByName(new)
+        found, own = apart(links)
         turn += 1
-        own = stored(members.select("key", "id", "size", "n").join(
-            found.withColumnRenamed("node", "id"), "id", "left").withColumn(
-            "component", F.coalesce("component", "id")))
-        several = stored(own.groupBy("key").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"))
-        part = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.ceil(F.col("n") / peers))
-        rows = stored(own.join(several, "key", "left_semi").withColumn("part", part))
-        others = rows.select("key", "part", F.col("id").alias("id2"),
-                             F.col("size").alias("size2"), F.col("component").alias("other"))
-        pairs = rows.join(others, ["key", "part"]).where(
-            "id < id2 AND component <> other").where(sizes)
-        pairs = stored(pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-                       .join(tried, ["a", "b"], "left_anti"))
-        new = stored(_checked(pairs, docs, least))
-        if not has_rows(new):
+        # Go on while a round joins a fair part of the points in buckets.
+        if new.count() * 20 < sets.count():
             break
-        tried, links = tried.unionByName(pairs), links.unionByName(new)
-        found = components(links)
-    known = points.join(found.withColumnRenamed("node", "point"), "point", "left").select(
+    links = links.unionByName(_compared(_whole_cells(own, points), sets, least))
+    found = components(links)
+    known = distinct.select("digest", F.col("p.id").alias("point")).join(
+        found.withColumnRenamed("node", "point"), "point", "left").select(
         "digest", F.coalesce("component", "point").alias("component"))
     return sketches.select("id", "digest").join(stored(known), "digest").select(
         "id", "component")

@@ -87,3 +87,28 @@ def test_documents_are_repeated(spark):
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], DOC)).count() == 0
     assert mixing.mixed_documents(spark.createDataFrame([], DOC)).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_repeated_rows_are_taken_one_by_one(spark, partitions):
+    """A source of equal rows comes as near to its target as others do."""
+    words = " ".join(["w"] * 100)
+    rows = [(5, words, "a")] * 40 + [(k, f"v{k} " * 100, "b") for k in range(100, 120)]
+    rows += [(None, words, "c")] * 30
+    docs = spark.createDataFrame(rows, DOC).repartition(partitions)
+    out = mixing.mix(docs, weights=(2, 7, 4)).collect()
+    for source in "abc":
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 50
+    assert len({r.copies for r in out if r.source == "a"}) == 2
+    again = mixing.mix(docs.repartition(3), weights=(2, 7, 4)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+
+
+def test_columns_of_internal_names_stay(spark):
+    names = "__size int, __copies int, __key string, __plan string, kept_0 int, __source string"
+    rows = [(k, "one two three", "s", 7, 8, "k", "p", 9, "t") for k in range(3)]
+    docs = spark.createDataFrame(rows, DOC + ", " + names)
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r)[1:] for r in out.collect()} == {rows[0][1:]}

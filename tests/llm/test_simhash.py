@@ -151,3 +151,47 @@ def test_near_copies_against_brute_force(spark):
     # The radius of the fingerprint query leaves most of them.
     fps = {i: fingerprint(t) for i, t in rows}
     assert sum((fps[a] ^ fps[b]).bit_count() <= 2 for a, b in far) < 0.5 * len(far)
+
+
+@pytest.mark.parametrize("points, turns", [(1024, 3), (16, 1), (50, 0)])
+def test_near_copies_in_a_bucket_of_thousands(spark, points, turns):
+    """Variants of one text, most of them no near copies of each other but by others."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    rows, texts = [], []
+    for k in range(2000):
+        w = list(words)
+        for _ in range(rng.choice((0, 1, 1, 2, 2, 3))):
+            w[rng.randrange(60)] = rng.choice(("x", "y"))
+        texts.append(w)
+        rows.append((k * 3 + 1, " ".join(w)))
+    df = stored(spark.createDataFrame(rows, "id long, text string").repartition(4))
+    found = {r.id: r.component for r in simhash.near_copies(df, points=points, turns=turns).collect()}
+    # By blocks of an incidence matrix, so that the brute force takes seconds.
+    sets = [{tuple(w[k:k + 5]) for k in range(56)} for w in texts]
+    index = {g: n for n, g in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(rows), len(index)), np.float32)
+    for n, x in enumerate(sets):
+        held[n, [index[g] for g in x]] = 1
+    both, size = held @ held.T, held.sum(axis=1)
+    near = both >= 0.8 * (size[:, None] + size[None, :] - both)
+    linked = [(rows[a][0], rows[b][0]) for a, b in zip(*np.nonzero(np.triu(near, 1)))]
+    want = groups([i for i, _ in rows], linked)
+    assert len(set(want.values())) > 1
+    wrong = [i for i in want if found[i] != want[i]]
+    assert not wrong
+
+
+def test_links_in_a_cell_join_all_they_can():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 60, 100, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 60, k % 5 + 1, dtype=np.uint64)]))
+            for k in range(40)] + [np.zeros(0, np.uint64)]
+    ids = np.arange(len(sets)) * 10
+    def jaccard(a, b):
+        return len(np.intersect1d(sets[a], sets[b])) / max(len(np.union1d(sets[a], sets[b])), 1)
+    linked = [(10 * a, 10 * b) for a in range(40) for b in range(a) if jaccard(a, b) >= 0.8]
+    role = np.full(len(sets), simhash.BOTH)
+    found = simhash.links_in_cell(role, ids, ids.copy(), sets, 0.8)
+    assert len(found) < len(sets) and set(map(frozenset, found)) <= set(map(frozenset, linked))
+    assert groups(ids.tolist(), found) == groups(ids.tolist(), linked)
