@@ -31,10 +31,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 30_000
-QUERY_WORDS = 16_000
+CACHE_WORDS = 200_000
+QUERY_WORDS = 4_000
 LONG_BYTES = 96
-TEXTS = 500
+TEXTS = 2000
 
 # The characters with the Unicode property White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -61,13 +61,15 @@ WITH RECURSIVE t(w, pos, tok, next_pos, next_tok, step) AS (
   LEFT JOIN t y ON y.w = x.w AND y.pos = x.taken
   WHERE x.pos <> gone
 )
-SELECT w, list(tok ORDER BY pos) AS ids
+SELECT w, count(*) AS n, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids,
+  string_agg(chars, '' ORDER BY pos) AS chars
 FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step)
+  JOIN vocabulary USING (tok)
 GROUP BY w ORDER BY w
 """
 
 _DECODE = """
-SELECT w, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (tok)
+SELECT w, string_agg(chars, '' ORDER BY pos) AS chars FROM ids JOIN vocabulary USING (tok)
 GROUP BY w ORDER BY w
 """
 
@@ -82,6 +84,10 @@ class Encoder:
         explicit = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]")
         self.pattern = regex.compile(explicit.replace(r"\s", f"[{SPACE}]"))
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        # Whether the pattern leaves runs of letters, with a blank before them or none, whole.
+        letters = [chr(x) for x in (*range(65, 91), *range(97, 123))]
+        self.whole = all(self.pattern.findall(t) == [t] for a in letters for b in letters
+                         for t in (a + b, " " + a + b + a))
         self.known: dict[str, tuple[str, int, bytes]] = {}
         self.older: dict[str, tuple[str, int, bytes]] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
@@ -91,7 +97,8 @@ class Encoder:
         rows = pa.table(dict(zip("l r id".split(), np.array(merges, np.int32).T)))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM rows")
         rows = pa.table({"tok": pa.array(self.ranks.values(), pa.int32()),
-                         "hex": [b.hex() for b in self.ranks]})
+                         # A character for each byte.
+                         "chars": [b.decode("latin-1") for b in self.ranks]})
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM rows")
 
     def merged(self, word: bytes) -> list[int]:
@@ -126,8 +133,18 @@ class Encoder:
 
     def encode_words(self, found: list[bytes]) -> list[list[int]]:
         """Ids of non-empty words by the recursive query."""
-        ids: list = [self.merged(b) if len(b) > LONG_BYTES else None for b in found]
-        some = [k for k, x in enumerate(ids) if x is None]
+        return [[int(i) for i in ids.split()] for ids, _, _ in self.coded(found)]
+
+    def coded(self, found: list[bytes]) -> list[tuple[str, int, bytes]]:
+        """(ids in text form, number of ids, bytes that they decode to) of non-empty words."""
+        out: list = [None] * len(found)
+        for k, word in enumerate(found):
+            if word in self.ranks:  # a word that is a token is that token
+                out[k] = (str(self.ranks[word]), 1, word)
+            elif len(word) > LONG_BYTES:
+                ids = self.merged(word)
+                out[k] = (" ".join(map(str, ids)), len(ids), self.decode_words([ids])[0])
+        some = [k for k, x in enumerate(out) if x is None]
         if some:
             size = np.array([len(found[k]) for k in some])
             at = np.repeat(np.cumsum(size) - size, size)
@@ -139,10 +156,11 @@ class Encoder:
                               "pos": pos, "tok": tok, "next_pos": pos + 1,
                               "next_tok": following})
             self.con.register("start", start)
-            result = self.con.sql(_ENCODE).to_arrow_table().column("ids").to_pylist()
-            for k, x in zip(some, result):
-                ids[k] = x
-        return ids
+            result = self.con.sql(_ENCODE).to_arrow_table()
+            for k, n, ids, text in zip(some, *(result.column(c).to_pylist()
+                                               for c in ("n", "ids", "chars"))):
+                out[k] = (ids, n, text.encode("latin-1"))
+        return out
 
     def decode_words(self, ids: list[list[int]]) -> list[bytes]:
         """Bytes of non-empty lists of ids by an ordered aggregation."""
@@ -152,8 +170,8 @@ class Encoder:
         table = pa.table({"w": np.repeat(np.arange(len(ids), dtype=np.int32), size),
                           "pos": (np.arange(len(tok)) - at).astype(np.int32), "tok": tok})
         self.con.register("ids", table)
-        rows = self.con.sql(_DECODE).to_arrow_table().column("hex").to_pylist()
-        return [bytes.fromhex(x) for x in rows]
+        rows = self.con.sql(_DECODE).to_arrow_table().column("chars").to_pylist()
+        return [x.encode("latin-1") for x in rows]
 
     def chunks(self, text: str) -> list[str]:
         """Parts of a text that the pattern matches independently of each other.
@@ -178,21 +196,28 @@ class Encoder:
 
     def learn(self, new: set[str]) -> None:
         """Encode and decode chunks and keep the results."""
-        cut = {x: self.pattern.findall(x) for x in new}
-        self.known.update({m: self.older[m] for ms in cut.values() for m in ms
-                           if m not in self.known and m in self.older})
+        alone, cut, older = [], {}, self.older
+        for x in new:
+            if self.whole and x.isascii() and x.lstrip(" ").isalpha() and x[:2] != "  ":
+                alone.append(x)
+            else:
+                cut[x] = self.pattern.findall(x)
+        words = set(alone)
+        for m in set().union(*cut.values()).difference(self.known):
+            if m in older:
+                self.known[m] = older[m]
+            else:
+                words.add(m)
         # Words of like length take as many steps, so they share a query.
-        words = sorted({m for ms in cut.values() for m in ms if m not in self.known}, key=len)
+        words = sorted(words, key=len)
         for at in range(0, len(words), QUERY_WORDS):
             part = words[at:at + QUERY_WORDS]
-            ids = self.encode_words([m.encode() for m in part])
-            for m, i, b in zip(part, ids, self.decode_words(ids)):
-                self.known[m] = (" ".join(map(str, i)), len(i), b)
+            self.known.update(zip(part, self.coded([m.encode() for m in part])))
         for x, ms in cut.items():
             if x not in self.known:
                 own = [self.known[m] for m in ms]
-                self.known[x] = (" ".join(i for i, _, _ in own), sum(n for _, n, _ in own),
-                                 b"".join(b for _, _, b in own))
+                self.known[x] = (" ".join([i for i, _, _ in own]), sum([n for _, n, _ in own]),
+                                 b"".join([b for _, _, b in own]))
 
     def texts(self, texts: pa.Array) -> Iterable[list[tuple[str, int, bytes]]]:
         """For each text, its chunks as (ids in text form, number of ids, decoded bytes)."""

@@ -459,8 +459,8 @@ def near_copies(docs: DataFrame, *, least: float = LEAST, points: int = POINTS,
         # Go on while a round joins a fair part of the points in buckets.
         if new.count() * 20 < sets.count():
             break
-    links = links.unionByName(_compared(_whole_cells(own, points), sets, least))
-    found = components(links)
+    rest = _compared(_whole_cells(own, points), sets, least)
+    found = components(rest if links is None else links.unionByName(rest))
     known = distinct.select("digest", F.col("p.id").alias("point")).join(
         found.withColumnRenamed("node", "point"), "point", "left").select(
         "digest", F.coalesce("component", "point").alias("component"))
