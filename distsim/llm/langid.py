@@ -9,7 +9,8 @@ al., "Ad Click Prediction: a View from the Trenches", 2013) on a bounded sample:
 the sample is kept out of the steps and sets the temperature that scales the scores.
 
 What the driver holds is bounded by parameters: buckets x languages weights and the sample's
-hashed features (at most ``max_classes`` languages, the most frequent ones).
+hashed features, at most ``per_class`` rows of a language and about ``sample_rows`` in all, dealt
+evenly if languages are many. Every label is learned.
 
 Edges: a null text, or one without a letter, is ``und`` with score 0. Rows with a null id
 are never trained on. Without any labelled row everything is ``und``. Repeated rows get the
@@ -27,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_fold, values
+from .common import in_fold, small, stored, values
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
 PER_CLASS = 500
-MAX_CLASSES = 256
+SAMPLE_ROWS = 128_000
 FOLDS, HELD_OUT = 4, 2
 CHUNK = 1 << 20
 
@@ -171,27 +172,26 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return math.exp((low + high) / 2)
 
 
-def fit(docs: DataFrame, *, per_class: int = PER_CLASS, max_classes: int = MAX_CLASSES,
+def fit(docs: DataFrame, *, per_class: int = PER_CLASS, sample_rows: int = SAMPLE_ROWS,
         folds: int = FOLDS, held_out: int = HELD_OUT, **options) -> Model:
     """Model from ``docs`` (doc_id, text, lang), trained outside the held-out fold."""
     df, n = document_frequencies(docs)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
     usable = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(
         ~in_fold(F.col("doc_id"), folds, held_out))
-    langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_classes)
-    sizes = {r.lang: r["count"] for r in langs.collect()}
-    languages = sorted(sizes)
+    langs = stored(usable.groupBy("lang").count())
+    languages = sorted(r.lang for r in langs.select("lang").collect())
     if not languages:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0), idf)
     # A threshold on the hash leaves about three times the rows wanted of each language, so
     # that ranking sees only those, whatever the size of the input.
+    per_class = max(1, min(per_class, sample_rows // len(languages)))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    share = F.lit(0)
-    for lang, size in sizes.items():
-        limit = min(1 << 40, (3 * per_class << 40) // size)
-        share = F.when(F.col("lang") == lang, F.lit(limit)).otherwise(share)
+    limit = F.least(F.lit(1 << 40), F.floor(F.lit(float(3 * per_class << 40)) / F.col("count")))
+    limits = small(langs.select("lang", limit.cast("long").alias("share")))
     by_hash = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    ids = usable.select("doc_id", "lang", draw.alias("draw")).where(F.col("draw") < share)
+    ids = usable.select("doc_id", "lang", draw.alias("draw")).join(limits, "lang").where(
+        "draw < share")
     chosen = ids.withColumn("k", F.row_number().over(by_hash)).where(
         F.col("k") <= per_class).groupBy("doc_id").agg(F.min("k").alias("k"))
 
@@ -203,11 +203,11 @@ def fit(docs: DataFrame, *, per_class: int = PER_CLASS, max_classes: int = MAX_C
                         [pa.array([lang]), pa.array([found[0].tobytes()]),
                          pa.array([found[1].tobytes()])], ["lang", "b", "n"])
 
-    # The ids are bounded by per_class x max_classes, so they may be broadcast; repeated
-    # rows of one id count once.
-    picked = usable.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").where(
-        F.col("lang").isin(languages)).select("doc_id", "lang", "text")
-    seen = picked.dropDuplicates(["doc_id", "lang"]).select("lang", "text").mapInArrow(
+    # The ids are bounded by sample_rows, so they may be broadcast; repeated rows of one id
+    # count once, with the smallest text.
+    picked = usable.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    picked = picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    seen = picked.select("lang", "text").mapInArrow(
         featurize, "lang string, b binary, n binary").collect()
     by_lang = defaultdict(list)
     for r in sorted(seen, key=lambda r: (r.lang, bytes(r.b), bytes(r.n))):

@@ -1,4 +1,5 @@
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -69,3 +70,16 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = langid.identify(docs).join(docs, "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows) > 0
+
+
+def test_every_label_is_learned(spark):
+    """More labels than a bounded list would hold, each with a few rows."""
+    rows = []
+    for k in range(300):
+        for j in range(3):
+            rows.append((k * 8 + j, f"w{k:03d}x " * 12 + f"q{k:03d}y " * 6, f"l{k:03d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample_rows=600)
+    used = {f"l{k:03d}" for k in range(300)
+            if any(zlib.crc32(str(k * 8 + j).encode()) % 4 != 2 for j in range(3))}
+    assert set(model.languages) == used and len(used) > 256
