@@ -80,11 +80,13 @@ def sequences(docs: DataFrame, *, length: int = LENGTH, key: int = KEY,
         total += -(-sums[p] // length)
 
     def cut(batches):
-        at = first.get(TaskContext.get().partitionId(), 0)
+        at = first.get(TaskContext.get().partitionId())
         stream, ids, starts = b"", [], []
 
         def rows_of(n: int):
             """The first n sequences held."""
+            if at is None:
+                raise ValueError("rows changed partitions between two passes; store them first")
             begin = np.array(starts, np.int64)
             edges = np.arange(n, dtype=np.int64) * length
             lo = np.searchsorted(begin, edges, "right") - 1
@@ -127,7 +129,7 @@ def write_shards(found: DataFrame, total: int, path: str, *, shard_rows: int = S
     shards = max(1, -(-total // shard_rows))
     partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = found.select("shard", "slot", F.col("ids").cast("string").alias("value"))
-    rows = rows.repartition(min(shards, 4 * partitions), "shard")
+    rows = rows.repartitionByRange(min(shards, 4 * partitions), "shard")
     rows.sortWithinPartitions("shard", "slot").select("shard", "value").write.partitionBy(
         "shard").text(path)
 
