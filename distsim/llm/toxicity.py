@@ -264,8 +264,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_out: int
     sample = _sample(known, 1, toxic_rows).unionByName(_sample(known, 0, other_rows))
     # One row for an id that carries both labels; the ids are bounded by the parameters.
     sample = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(
-        ["doc_id"])
+    # Of rows that share an id the smallest text counts, whatever the order they come in.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy(
+        "doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def words(batches):
         memory: dict = {}
@@ -277,7 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_out: int
                 ["toxic", "words"])
 
     # Copies of a text tell no more than one.
-    rows = stored(chosen.dropDuplicates(["text"]).select("toxic", "text").mapInArrow(
+    rows = stored(chosen.groupBy("text").agg(F.max("toxic").alias("toxic")).select(
+        F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(
         words, "toxic int, words array<string>"))
 
     def features(batches):

@@ -117,7 +117,8 @@ def _points(vectors: DataFrame) -> DataFrame:
     bad = F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     full = vectors.select("vec_id", "embedding").where(
         F.col("vec_id").isNotNull() & (F.size(e) > 0) & ~bad & F.exists(e, lambda v: v != 0))
-    return full.dropDuplicates(["vec_id"])
+    # Of rows that share an id the smallest vector counts, whatever the order they come in.
+    return full.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def links_and_components(points: DataFrame, *, cosine: float, blocks: int, group_rows: int,
