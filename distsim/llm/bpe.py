@@ -3,13 +3,15 @@
 A text is cut into the matches of the tokenizer's pattern. The distinct matches of a batch
 that the worker has not met before become rows (word, position, token), one for each byte.
 A recursive query joins neighboring tokens with the merge table, contracts each word's
-leftmost pair of minimum rank, and goes on with the words that had one, until none has. An
-ordered aggregation gives each word's ids, and another, over the ids joined with the
-vocabulary, decodes them. A text's ids are those of its matches in order.
+leftmost pair of minimum rank, and goes on with the words that had one, until none has. Ordered
+aggregations then give each word's ids and, by the vocabulary, the bytes they decode to. A text's
+ids are those of its matches in order.
 
-Each worker keeps what it has encoded, about twice ``CACHE_WORDS`` entries, and then a second
-generation that starts with what is still met of the first. Nothing is shuffled. The recursion takes one step for each merge of the longest word, so a
-match of more than ``LONG_BYTES`` bytes is merged by the same rule with a heap instead.
+Each worker keeps the ids of what it has encoded, about twice ``CACHE_WORDS`` entries, and then
+a second generation that starts with what is still met of the first. Nothing is shuffled. The
+recursion takes one step for each merge of the longest word, so a match of more than
+``LONG_BYTES`` bytes is merged by the same rule with a heap instead, and a match that is a token
+as it stands is looked up.
 
 Edges: a null text is encoded as an empty one: no ids. Texts are taken whole, whatever
 their length. Repeated rows get equal results. The vocabulary file is a parameter, read from
@@ -31,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 QUERY_WORDS = 4_000
 LONG_BYTES = 96
 TEXTS = 2000
@@ -88,8 +90,10 @@ class Encoder:
         letters = [chr(x) for x in (*range(65, 91), *range(97, 123))]
         self.whole = all(self.pattern.findall(t) == [t] for a in letters for b in letters
                          for t in (a + b, " " + a + b + a))
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}
+        # Ids of a chunk in text form; what it decodes to, if that is not the chunk itself.
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.odd: dict[str, bytes] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         self.con.execute("SET temp_directory = ''")
         merges = [(self.ranks[b[:k]], self.ranks[b[k:]], i) for b, i in self.ranks.items()
@@ -212,15 +216,19 @@ class Encoder:
         words = sorted(words, key=len)
         for at in range(0, len(words), QUERY_WORDS):
             part = words[at:at + QUERY_WORDS]
-            self.known.update(zip(part, self.coded([m.encode() for m in part])))
+            for m, word, (ids, _, text) in zip(part, words_ := [m.encode() for m in part],
+                                               self.coded(words_)):
+                self.known[m] = ids
+                if text != word:
+                    self.odd[m] = text
         for x, ms in cut.items():
             if x not in self.known:
-                own = [self.known[m] for m in ms]
-                self.known[x] = (" ".join([i for i, _, _ in own]), sum([n for _, n, _ in own]),
-                                 b"".join([b for _, _, b in own]))
+                self.known[x] = " ".join([self.known[m] for m in ms])
+                if self.odd and any(m in self.odd for m in ms):
+                    self.odd[x] = b"".join([self.odd.get(m, m.encode()) for m in ms])
 
-    def texts(self, texts: pa.Array) -> Iterable[list[tuple[str, int, bytes]]]:
-        """For each text, its chunks as (ids in text form, number of ids, decoded bytes)."""
+    def _learned(self, texts: pa.Array) -> Iterable[list[str]]:
+        """For each text its chunks, which are known then."""
         for at in range(0, len(texts), TEXTS):
             cut = [self.chunks(t or "") for t in texts.slice(at, TEXTS).to_pylist()]
             seen = set().union(*cut)
@@ -231,8 +239,26 @@ class Encoder:
                     self.known[x] = self.older[x]
             if new := seen - self.known.keys():
                 self.learn(new)
-            for parts in cut:
-                yield [self.known[x] for x in parts]
+            yield from cut
+
+    def _bytes(self, chunk: str) -> bytes:
+        return self.odd[chunk] if chunk in self.odd else chunk.encode()
+
+    def texts(self, texts: pa.Array) -> Iterable[list[tuple[str, int, bytes]]]:
+        """For each text, its chunks as (ids in text form, number of ids, decoded bytes)."""
+        for parts in self._learned(texts):
+            yield [(self.known[x], self.known[x].count(" ") + 1, self._bytes(x)) if x
+                   else ("", 0, b"") for x in parts]
+
+    def whole_texts(self, texts: pa.Array) -> Iterable[tuple[str, bytes]]:
+        """For each text, its ids in text form, and the bytes that they decode to.
+
+        Every chunk has been decoded when it was encoded; most decode to themselves.
+        """
+        for parts in self._learned(texts):
+            decoded = (b"".join([self._bytes(x) for x in parts]) if self.odd
+                       else "".join(parts).encode())
+            yield " ".join([self.known[x] for x in parts if x]), decoded
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -251,8 +277,8 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        found = encoder(path, pattern).texts(texts)
-        ids = [[int(i) for x, _, _ in parts for i in x.split()] for parts in found]
+        found = encoder(path, pattern).whole_texts(texts)
+        ids = [[int(i) for i in x.split()] for x, _ in found]
         return pa.array(ids, pa.list_(pa.int32()))
 
     return run(text)
@@ -281,10 +307,10 @@ def token_digest(text: Column, path: str, pattern: str) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         sha = hashlib.sha256
         n, ids, decoded = [], [], []
-        for parts in encoder(path, pattern).texts(texts):
-            n.append(sum(k for _, k, _ in parts))
-            ids.append(sha(" ".join([i for i, _, _ in parts]).encode()).hexdigest())
-            decoded.append(sha(b"".join([b for _, _, b in parts])).hexdigest())
+        for x, b in encoder(path, pattern).whole_texts(texts):
+            n.append(x.count(" ") + 1 if x else 0)
+            ids.append(sha(x.encode()).hexdigest())
+            decoded.append(sha(b).hexdigest())
         return pa.StructArray.from_arrays(
             [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
             ["n_tokens", "ids_sha256", "decoded_sha256"])
