@@ -2,6 +2,8 @@ import random
 
 import duckdb
 
+from pyspark.sql import functions as F
+
 from distsim.llm import conversations
 
 TURN = "conv_id long, turn long, role string, text string"
@@ -56,3 +58,28 @@ def test_null_roles_and_texts_are_told_apart(spark):
 
 def test_empty_table(spark):
     assert conversations.maximal_conversations(spark.createDataFrame([], TURN)).count() == 0
+
+
+def test_a_conversation_in_many_ranges(spark):
+    """One conversation with most of the turns, another that begins it, and a third like it."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    rows = [(1, k, "user" if k % 2 else "assistant", f"turn {k // 3}") for k in range(3000)]
+    rows += [(2, k, r, t) for _, k, r, t in rows[:2999]] + [(3, k, r, t) for _, k, r, t in rows[:3000]]
+    rows += [(4, k, r, t + "!" * (k == 1500)) for _, k, r, t in rows[:3000]]
+    rows += [(5, 0, "user", "same")] * 50 + [(6, 0, "user", "same")] * 49
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.conf.set(key, "false")
+    try:
+        parts = conversations._laid(df).groupBy("conv_id").agg(
+            F.countDistinct("part").alias("p")).collect()
+        assert max(r.p for r in parts) > 1
+        found = {r.conv_id: r for r in conversations.maximal_conversations(df).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert {i: (r.n_turns, r.kept, r.kept_as) for i, r in found.items()} == {
+        1: (3000, True, 1), 2: (2999, False, 1), 3: (3000, False, 1), 4: (3000, True, 4),
+        5: (50, True, 5), 6: (49, False, 5)}
+    marks = found[4].rendered.split("<|im_start|>")[1:]
+    assert [m.split("\n")[1] for m in marks] == [
+        f"turn {k // 3}" + "!" * (k == 1500) + "<|im_end|>" for k in range(3000)]
