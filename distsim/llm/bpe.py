@@ -33,10 +33,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 100_000
+from .common import values
+
+CACHE_WORDS = 80_000
 QUERY_WORDS = 4_000
 LONG_BYTES = 96
-TEXTS = 2000
+TEXTS = 5000
 
 # The characters with the Unicode property White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -94,7 +96,7 @@ class Encoder:
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.odd: dict[str, bytes] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "100MB"})
         self.con.execute("SET temp_directory = ''")
         merges = [(self.ranks[b[:k]], self.ranks[b[k:]], i) for b, i in self.ranks.items()
                   for k in range(1, len(b)) if b[:k] in self.ranks and b[k:] in self.ranks]
@@ -228,18 +230,25 @@ class Encoder:
                     self.odd[x] = b"".join([self.odd.get(m, m.encode()) for m in ms])
 
     def _learned(self, texts: pa.Array) -> Iterable[list[str]]:
-        """For each text its chunks, which are known then."""
+        """For each text its chunks, which are known then.
+
+        Texts are cut twice, so that only the different chunks of a block are held.
+        """
         for at in range(0, len(texts), TEXTS):
-            cut = [self.chunks(t or "") for t in texts.slice(at, TEXTS).to_pylist()]
-            seen = set().union(*cut)
+            block = texts.slice(at, TEXTS)
+            seen: set[str] = set()
+            for t in values(block):
+                seen.update(self.chunks(t or ""))
             if len(self.known) + len(seen) > 2 * CACHE_WORDS:
                 self.older, self.known = self.known, {}
-            for x in seen - self.known.keys():
-                if x in self.older:
-                    self.known[x] = self.older[x]
-            if new := seen - self.known.keys():
-                self.learn(new)
-            yield from cut
+            for x in [x for x in seen if x not in self.known and x in self.older]:
+                self.known[x] = self.older[x]
+            seen.difference_update(self.known)
+            if seen:
+                self.learn(seen)
+            del seen
+            for t in values(block):
+                yield self.chunks(t or "")
 
     def _bytes(self, chunk: str) -> bytes:
         return self.odd[chunk] if chunk in self.odd else chunk.encode()
