@@ -563,3 +563,41 @@ def phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST, top:
     ranked = rows.withColumn("rank", F.row_number().over(order).cast("long"))
     return ranked.where(F.col("rank") <= top).select(
         "lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+# The same from the definitions: all runs of words as lists.
+SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+found AS (
+  SELECT lang, unnest(list_transform(range(0, greatest(len(w) - k + 1, 0)),
+    lambda i: w[i + 1:i + k])) AS p
+  FROM lists, (SELECT unnest(range(1, 6)) AS k)),
+f AS MATERIALIZED (SELECT lang, p, count(*) AS f FROM found GROUP BY 1, 2),
+totals AS (SELECT lang, sum(f) AS n FROM f WHERE len(p) = 1 GROUP BY 1),
+often AS MATERIALIZED (SELECT lang, p, f AS a FROM f WHERE len(p) > 1 AND f >= 100),
+inner_ AS (
+  SELECT lang, p[i:i + k - 1] AS p, max(a) AS most
+  FROM (SELECT lang, p, a, k, unnest(range(1, len(p) - k + 2)) AS i
+        FROM (SELECT lang, p, a, unnest(range(2, len(p))) AS k FROM often WHERE len(p) > 2))
+  GROUP BY 1, 2),
+kept AS (
+  SELECT often.* FROM often LEFT JOIN inner_ USING (lang, p)
+  WHERE most IS NULL OR 100 * most < 100 * a),
+cuts AS (
+  SELECT lang, c.p, a, k, l.f AS l, r.f AS r, n,
+    (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM kept) c
+  JOIN f l USING (lang) JOIN f r USING (lang) JOIN totals USING (lang)
+  WHERE l.p = c.p[1:k] AND r.p = c.p[k + 1:]),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS first FROM cuts),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC,
+    array_to_string(p, ' ')) AS rank, array_to_string(p, ' ') AS phrase, a, l, r,
+    n::BIGINT AS n, score::BIGINT AS score
+  FROM best WHERE first = 1)
+SELECT * FROM ranked WHERE rank <= 2000
+"""

@@ -87,4 +87,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_snapshot_collapse": conversations.SQL,
+    "op12_resampling": resampling.SQL,
+    "op13_phrases": phrases.SQL,
 }

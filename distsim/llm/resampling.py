@@ -271,3 +271,66 @@ def resample(docs: DataFrame, target: DataFrame, *, percent: int = PERCENT,
     rest = rows.where(F.col("n_words") < least_words).select(
         *columns, F.lit(None).cast("long").alias("rank"))
     return ranked.select(*columns, rank.cast("long").alias("rank")).unionByName(rest)
+
+
+# The same from the definitions; checksums by the values of bytes at distances from the end.
+SQL = r"""
+WITH RECURSIVE bits(b, v, k) AS (
+  SELECT b, b, 0 FROM range(256) t(b)
+  UNION ALL
+  SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1
+  FROM bits WHERE k < 8),
+step AS MATERIALIZED (SELECT b, v FROM bits WHERE k = 8),
+lists AS MATERIALIZED (
+  SELECT 0 AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+uses AS MATERIALIZED (
+  SELECT kind, id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)),
+    lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM lists),
+features AS MATERIALIZED (
+  SELECT feature, hex(feature) AS h, length(hex(feature)) // 2 AS size
+  FROM (SELECT DISTINCT feature FROM uses)),
+values_(b, d, v) AS (
+  SELECT b, 0, v FROM step
+  UNION ALL
+  SELECT x.b, d + 1, xor(x.v >> 8, s.v) FROM values_ x JOIN step s ON s.b = x.v % 256
+  WHERE d + 1 < (SELECT max(size) FROM features)),
+zeros(n, v) AS (
+  SELECT 0, 4294967295::BIGINT
+  UNION ALL
+  SELECT n + 1, xor(z.v >> 8, s.v) FROM zeros z JOIN step s ON s.b = z.v % 256
+  WHERE n < (SELECT max(size) FROM features)),
+bytes AS (
+  SELECT feature, size, ('0x' || substr(h, 2 * i + 1, 2))::BIGINT AS b, size - 1 - i AS d
+  FROM (SELECT *, unnest(range(size)) AS i FROM features)),
+hashed AS MATERIALIZED (
+  SELECT feature, xor(xor(bit_xor(x.v), any_value(z.v)), 4294967295) % 10000 AS k
+  FROM bytes JOIN values_ x USING (b, d) JOIN zeros z ON z.n = size GROUP BY feature),
+counts AS (
+  SELECT k, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t
+  FROM uses JOIN hashed USING (feature) GROUP BY k),
+gains AS (
+  SELECT k, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+    / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM counts),
+sums AS (
+  SELECT id, sum(gain) AS total, count(*) AS n FROM uses JOIN hashed USING (feature)
+  JOIN gains USING (k) WHERE kind = 0 GROUP BY id),
+scored AS (
+  SELECT l.id AS doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features,
+    coalesce(floor(total::DOUBLE / n), 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || l.id), 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM lists l LEFT JOIN sums s ON s.id = l.id WHERE kind = 0),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank
+  FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score,
+  CASE WHEN rank <= (SELECT count(*) * 25 // 100 FROM ranked) THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
