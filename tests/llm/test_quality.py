@@ -1,8 +1,11 @@
+import math
 import random
 import re
+import struct
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from distsim.llm import quality
@@ -90,3 +93,46 @@ def test_documents_keep_their_columns(judged):
     out = quality.with_quality(docs.drop("quality_rules"), table)
     assert out.columns == ["doc_id", "text", "w", "quality_rules"]
     assert out.where(F.col("quality_rules.kept")).count() > 0
+
+
+def test_ratio_and_verdict_equal_brute_force(spark):
+    """Buckets of words and pairs by the library's hash, counts, logarithms and the threshold."""
+    rng = random.Random(8)
+    good = [f"good{i}" for i in range(30)]
+    bad = [f"junk{i}" for i in range(30)]
+    docs = []
+    for k in range(120):
+        pool = good if k % 3 else bad
+        docs.append((k, " ".join(rng.choice(pool + good[:5]) for _ in range(rng.randint(0, 60)))))
+    docs += [(200, None), (201, ""), (202, "a b c d e " * 8), (None, " ".join(good))]
+    labels = [(k, int(k % 3 > 0)) for k in range(0, 120, 2)] + [(None, 1), (4, 1)]
+    buckets = 256
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in (text or "").split()]
+        pairs = [xxhash.xxh64_intdigest(struct.pack("<Q", b), xxhash.xxh64_intdigest(
+            struct.pack("<Q", a), 42)) for a, b in zip(h, h[1:])]
+        return [x & (buckets - 1) for x in h + pairs]
+
+    trusted = {k for k, q in labels if q == 1 and k is not None}
+    raw, seen = Counter(), Counter()
+    for k, text in docs:
+        raw.update(grams(text))
+        if k in trusted:
+            seen.update(grams(text))
+    rate = sum(seen.values()) / sum(raw.values())
+    table = [round(math.log((seen[b] + 16) / (raw[b] * rate + 16)), 4) for b in range(buckets)]
+    found = quality.quality_rules(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(labels, "doc_id long, quality int"), buckets=buckets)
+    got = {r.doc_id: r for r in found.collect()}
+    kept = set()
+    for k, text in docs:
+        own, n = grams(text), len((text or "").split())
+        ratio = round(sum(table[b] for b in own) / len(own), 6) if own else 0.0
+        assert got[k].ratio == pytest.approx(ratio, abs=2e-6), k
+        assert got[k].base_failed == (n < 10 or 100 * got[k].n_repeat_words > 20 * n)
+        if abs(ratio + 0.07) > 1e-5:
+            assert got[k].kept == (not got[k].base_failed and ratio >= -0.07), k
+        kept.add(got[k].kept)
+    assert kept == {True, False}
