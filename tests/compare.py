@@ -37,6 +37,11 @@ def difference(spark_rows: pd.DataFrame, sql_rows: pd.DataFrame) -> str | None:
         return f"rows {len(spark_rows)} / {len(sql_rows)}"
     a, b = sorted_rows(spark_rows), sorted_rows(sql_rows)
     for column in a.columns:
+        if a[column].isna().any() and b[column].isna().any():
+            # Whole numbers with nulls may come as floating-point numbers.
+            numbers = [pd.api.types.is_numeric_dtype(x[column]) for x in (a, b)]
+            if all(numbers):
+                a[column], b[column] = (x[column].astype("float64") for x in (a, b))
         if a[column].dtype.kind != b[column].dtype.kind:
             return f"type of {column}: {a[column].dtype} / {b[column].dtype}"
         same = (a[column] == b[column]) | (a[column].isna() & b[column].isna())
