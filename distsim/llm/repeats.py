@@ -774,3 +774,32 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
 def repeat_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``."""
     return without_repeats(docs, **options).drop("kept")
+
+
+# The same from the definition: all strings of 50 bytes.
+SQL = r"""
+WITH bytes AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS e FROM documents),
+strings AS MATERIALIZED (
+  SELECT doc_id, i, array_slice(e, i + 1, i + 50) AS s
+  FROM (SELECT doc_id, e, unnest(range(0, greatest(octet_length(e) - 49, 0))) AS i FROM bytes)),
+firsts AS (SELECT s, min(doc_id) AS first FROM strings GROUP BY s),
+gone AS (SELECT doc_id, i FROM strings JOIN firsts USING (s) WHERE first < doc_id),
+runs AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50
+          THEN 0 ELSE 1 END AS new FROM gone)),
+spans AS MATERIALIZED (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run),
+between_ AS (
+  SELECT doc_id, b AS lo, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a),
+    1099511627776) AS hi FROM spans
+  UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, list(hex(array_slice(e, lo + 1, hi)) ORDER BY lo) AS parts
+  FROM between_ JOIN bytes USING (doc_id) GROUP BY doc_id),
+counts AS (SELECT doc_id, sum(b - a) AS n, count(*) AS k FROM spans GROUP BY 1)
+SELECT doc_id, octet_length(e)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed,
+  coalesce(k, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN k IS NULL THEN e ELSE unhex(array_to_string(parts, '')) END) AS kept_sha256
+FROM bytes LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
