@@ -87,6 +87,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_snapshot_collapse": conversations.SQL,
+    "op10_near_vectors": vectors.SQL,
     "op11_repeated_passages": repeats.SQL,
     "op12_resampling": resampling.SQL,
     "op13_phrases": phrases.SQL,

@@ -264,3 +264,27 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, blocks: int = BL
             F.coalesce("component_id", "vec_id").cast("long").alias("component_id"))
     return joined.withColumn("kept", F.coalesce(
         F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+# The same from the definition: all pairs, and what each reaches.
+SQL = r"""
+WITH RECURSIVE whole AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+usable AS MATERIALIZED (
+  SELECT vec_id, e, list_inner_product(e, e) AS q FROM whole
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    AND list_inner_product(a.e, b.e) >= 0.9 * sqrt(a.q) * sqrt(b.q)),
+reached(a, b) AS (
+  SELECT a, b FROM links
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+least AS (SELECT a, min(b) AS least FROM reached GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links,
+  least(vec_id, coalesce(least, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
+FROM whole LEFT JOIN counts c ON c.a = vec_id LEFT JOIN least l ON l.a = vec_id
+"""
