@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -142,3 +144,58 @@ def test_labels_of_one_kind_and_empty_tables(spark):
     for table in (none, clean):
         assert all(r.score < 1e-6 for r in toxicity.toxicity(docs, table).collect())
     assert toxicity.toxicity(docs.where("false"), clean).count() == 0
+
+
+def test_lexicon_and_scores_equal_brute_force(spark):
+    """Counts, log-odds and G2 of features by document, and the score of the evidence."""
+    rng = random.Random(6)
+    fine = [f"{a}{b}" for a in ("river", "garden", "window", "market", "silver", "yellow")
+            for b in ("", "s", "ing")]
+    docs, labels = [], []
+    for k in range(240):
+        toxic = k % 3 == 0
+        words = [rng.choice(fine) for _ in range(rng.randint(5, 25))]
+        if toxic:
+            for _ in range(rng.randint(1, 3)):
+                words.insert(rng.randrange(len(words)), rng.choice(("moron", "m0r0n", "idiot", "i d i o t")))
+        docs.append((k, " ".join(words)))
+        if k % 5:
+            labels.append((k, int(toxic)))
+    docs += [(300, None), (301, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(df, marks)
+    known = {k: t for k, t in labels if zlib.crc32(str(k).encode()) % 5 != 0}
+    by_text = {}
+    for k, text in docs:
+        if k in known:
+            by_text[text] = max(by_text.get(text, 0), known[k])
+    yes, no = Counter(), Counter()
+    for text, t in by_text.items():
+        seen = {f for w in toxicity.document_words(text, model.letters, {})
+                for f in toxicity.word_features(w)}
+        (yes if t else no).update(seen)
+    n_yes, n_no = sum(by_text.values()), len(by_text) - sum(by_text.values())
+    tried = [f for f in yes if yes[f] >= toxicity.LEAST_COUNT]
+    least = max(toxicity.LEAST_G2, 2 * math.log(len(tried)))
+    lexicon = {}
+    for f in tried:
+        a, b, share = yes[f], no[f], n_yes / (n_yes + n_no)
+        w = math.log((a + 0.5) / (n_yes + 1)) - math.log((b + 0.5) / (n_no + 1))
+        g2 = 2 * (a * math.log(a / ((a + b) * share))
+                  + (b * math.log(b / ((a + b) * (1 - share))) if b else 0))
+        if w >= toxicity.LEAST_WEIGHT and g2 >= least:
+            lexicon[f] = w
+    assert lexicon and model.lexicon == pytest.approx(lexicon)
+    found = {r.doc_id: r for r in toxicity.toxicity(df, marks).collect()}
+    for k, text in docs:
+        hits = []
+        for w in toxicity.document_words(text, model.letters, {}):
+            own = [lexicon[f] for f in toxicity.word_features(w) if f in lexicon]
+            if own and max(own) > 0:
+                hits.append(max(own))
+        x = max(hits) + math.log(len(hits)) if hits else 0.0
+        score = 1 / (1 + math.exp(-(model.slope * x + model.intercept)))
+        assert found[k].score == pytest.approx(score, abs=1e-9)
+        assert found[k].predicted == int(found[k].score >= 0.5)
+        assert found[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0)
