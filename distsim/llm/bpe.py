@@ -7,7 +7,7 @@ leftmost pair of minimum rank, and goes on with the words that had one, until no
 aggregations then give each word's ids and, by the vocabulary, the bytes they decode to. A text's
 ids are those of its matches in order.
 
-Each worker keeps the ids of what it has encoded, about twice ``CACHE_WORDS`` entries, and then
+Each task keeps the ids of what it has encoded, about twice ``CACHE_WORDS`` entries, and then
 a second generation that starts with what is still met of the first. Nothing is shuffled. The
 recursion takes one step for each merge of the longest word, so a match of more than
 ``LONG_BYTES`` bytes is merged by the same rule with a heap instead, and a match that is a token
@@ -24,7 +24,7 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import duckdb
 import numpy as np
@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import values
 
-CACHE_WORDS = 80_000
+CACHE_WORDS = 50_000
 QUERY_WORDS = 4_000
 LONG_BYTES = 96
-TEXTS = 5000
+TEXTS = 3000
 
 # The characters with the Unicode property White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -96,16 +96,33 @@ class Encoder:
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.odd: dict[str, bytes] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "100MB"})
-        self.con.execute("SET temp_directory = ''")
         merges = [(self.ranks[b[:k]], self.ranks[b[k:]], i) for b, i in self.ranks.items()
                   for k in range(1, len(b)) if b[:k] in self.ranks and b[k:] in self.ranks]
-        rows = pa.table(dict(zip("l r id".split(), np.array(merges, np.int32).T)))
-        self.con.execute("CREATE TABLE merges AS SELECT * FROM rows")
-        rows = pa.table({"tok": pa.array(self.ranks.values(), pa.int32()),
-                         # A character for each byte.
-                         "chars": [b.decode("latin-1") for b in self.ranks]})
-        self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM rows")
+        # A character for each byte of a token.
+        self.tables = {
+            "merges": pa.table(dict(zip("l r id".split(), np.array(merges, np.int32).T))),
+            "vocabulary": pa.table({"tok": pa.array(self.ranks.values(), pa.int32()),
+                                    "chars": [b.decode("latin-1") for b in self.ranks]})}
+        self._con = None
+
+    @property
+    def con(self) -> duckdb.DuckDBPyConnection:
+        """The open connection, with the tables of merges and tokens."""
+        if self._con is None:
+            self._con = duckdb.connect(config={"threads": 1, "memory_limit": "100MB"})
+            self._con.execute("SET temp_directory = ''")
+            for name, table in self.tables.items():
+                self._con.register("given", table)
+                self._con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+                self._con.unregister("given")
+        return self._con
+
+    def forget(self) -> None:
+        """Give up what has been encoded, so that an idle worker holds no memory of it."""
+        self.known, self.older, self.odd = {}, {}, {}
+        if self._con is not None:
+            self._con.close()
+            self._con = None
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of one long word: the leftmost pair of minimum rank first, with a heap."""
@@ -313,16 +330,21 @@ def token_digest(text: Column, path: str, pattern: str) -> Column:
     """Struct (n_tokens, ids_sha256, decoded_sha256) of a text column."""
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(texts: pa.Array) -> pa.Array:
-        sha = hashlib.sha256
-        n, ids, decoded = [], [], []
-        for x, b in encoder(path, pattern).whole_texts(texts):
-            n.append(x.count(" ") + 1 if x else 0)
-            ids.append(sha(x.encode()).hexdigest())
-            decoded.append(sha(b).hexdigest())
-        return pa.StructArray.from_arrays(
-            [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-            ["n_tokens", "ids_sha256", "decoded_sha256"])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder, sha = encoder(path, pattern), hashlib.sha256
+        try:
+            for texts in batches:
+                n, ids, decoded = [], [], []
+                for x, b in coder.whole_texts(texts):
+                    n.append(x.count(" ") + 1 if x else 0)
+                    ids.append(sha(x.encode()).hexdigest())
+                    decoded.append(sha(b).hexdigest())
+                yield pa.StructArray.from_arrays(
+                    [pa.array(n, pa.int64()), pa.array(ids, pa.string()),
+                     pa.array(decoded, pa.string())],
+                    ["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            coder.forget()
 
     return run(text)
 
