@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import values
+from .common import give_back, values
 
 CACHE_WORDS = 50_000
 QUERY_WORDS = 4_000
@@ -345,6 +345,9 @@ def token_digest(text: Column, path: str, pattern: str) -> Column:
                     ["n_tokens", "ids_sha256", "decoded_sha256"])
         finally:
             coder.forget()
+            coder = None
+            _encoders.pop((path, pattern), None)
+            give_back()
 
     return run(text)
 
