@@ -38,7 +38,7 @@ from .common import give_back, values
 CACHE_WORDS = 50_000
 QUERY_WORDS = 4_000
 LONG_BYTES = 96
-TEXTS = 3000
+TEXTS = 2000
 
 # The characters with the Unicode property White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
