@@ -20,11 +20,14 @@ Edges: null and blank texts have fingerprint 0 and link like any other. Rows wit
 doc_id get a fingerprint but no component. Repeated rows give repeated result rows.
 
 Near copies. ``near_copies`` links texts whose sets of 5-word shingles have a Jaccard
-similarity of ``LEAST`` or more. At that similarity fingerprints differ in ten bits and more,
-a radius at which no cut of the Hamming space prunes, so candidates come from MinHash bands:
-two texts of similarity s share a band with probability 1 - (1 - s^4)^20, which is 0.99997 at
-0.8. Candidates are checked exactly on their shingles. Texts with equal sets are one point. The
-shingles of points in a bucket with others are stored once, and tasks get them by cell:
+similarity of ``LEAST`` or more. Texts with equal sets are one point. Points get a SimHash of
+their set, and the vantage-point tree links those within ``RADIUS`` bits: what it joins is a
+bucket of candidates. At a similarity of 0.8 fingerprints differ in ten bits and more, a radius at
+which no cut of the Hamming space prunes, so what lies beyond the tree's radius has candidates from
+MinHash bands as well: two texts of similarity s share a band with probability
+1 - (1 - s^4)^20, which is 0.99997 at 0.8. Candidates of both kinds are checked exactly on their
+shingles. The shingles of points in a bucket with others are stored once, and tasks get them by
+cell:
 
 * in a first round each bucket's points are held against its smallest one, and in further rounds
   against another one, as long as a round joins a fair part of what is apart. That makes at most
@@ -74,7 +77,11 @@ def _fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
         return 0
     digest, join = xxhash.xxh64_intdigest, b" ".join
     runs = zip(*[w[k:] for k in range(n)]) if len(w) >= n else [w]
-    hashes = np.array([digest(join(r), SEED) for r in runs], dtype=">u8")
+    return _majority(np.array([digest(join(r), SEED) for r in runs], dtype=">u8"))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes (big-endian), as a signed number."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = hashes[at:at + CHUNK].view(np.uint8).reshape(-1, 8)
@@ -249,7 +256,7 @@ def _shingles(text: bytes | None) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(id, digest of the shingle set, its size, MinHash bands) of (id, text)."""
+    """(id, digest of the shingle set, its size, its SimHash, MinHash bands) of (id, text)."""
     odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
     odd = odd * np.uint64(2) + np.uint64(1)
 
@@ -263,21 +270,31 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            digests, sizes, found = [], [], []
+            digests, sizes, fps, found = [], [], [], []
             for text in values(batch.column(1).cast(pa.binary())):
                 x = _shingles(text)
                 digests.append(xxhash.xxh3_128_digest(x.tobytes(), SEED))
                 sizes.append(len(x))
+                fps.append(_majority(x.astype(">u8")))
                 found.append(np.array(bands(x), np.uint64).view(np.int64))
             flat = np.concatenate(found) if found else np.zeros(0, np.int64)
             ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.ListArray.from_arrays(ends, pa.array(flat))],
-                ["id", "digest", "size", "bands"])
+                 pa.array(fps, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat))],
+                ["id", "digest", "size", "fp", "bands"])
 
     return docs.select("id", "text").mapInArrow(
-        run, "id long, digest binary, size long, bands array<long>")
+        run, "id long, digest binary, size long, fp long, bands array<long>")
+
+
+def _tree_buckets(points: DataFrame) -> DataFrame:
+    """(id, size, key) of ``points`` (id, size, fp): the key is that of what the tree joins."""
+    distinct = stored(points.groupBy("fp").agg(F.min("id").alias("id")))
+    joined = components(near_links(distinct)).withColumnRenamed("node", "id")
+    keys = distinct.join(joined, "id", "left").select(
+        "fp", F.xxhash64(F.lit("tree"), F.coalesce("component", "id")).alias("key"))
+    return points.join(keys, "fp").select("id", "size", "key")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -434,8 +451,9 @@ def near_copies(docs: DataFrame, *, least: float = LEAST, points: int = POINTS,
     """
     sketches = stored(_sketches(docs))
     distinct = stored(sketches.groupBy("digest").agg(
-        F.min(F.struct("id", "size", "bands")).alias("p")))
-    members = distinct.select("p.id", "p.size", F.explode("p.bands").alias("key"))
+        F.min(F.struct("id", "size", "fp", "bands")).alias("p")))
+    members = distinct.select("p.id", "p.size", F.explode("p.bands").alias("key")).unionByName(
+        _tree_buckets(distinct.select("p.id", "p.size", "p.fp")))
     shared = members.groupBy("key").count().where("count > 1").select("key")
     members = stored(members.join(shared, "key", "left_semi"))
     sets = _sets(docs, members.select("id").distinct())

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from distsim.llm import simhash
 from distsim.llm.common import stored
 from distsim.llm.components import components
@@ -195,3 +197,18 @@ def test_links_in_a_cell_join_all_they_can():
     found = simhash.links_in_cell(role, ids, ids.copy(), sets, 0.8)
     assert len(found) < len(sets) and set(map(frozenset, found)) <= set(map(frozenset, linked))
     assert groups(ids.tolist(), found) == groups(ids.tolist(), linked)
+
+
+def test_near_copies_come_from_the_tree(spark, monkeypatch):
+    """With no band in common, texts that the tree links are still compared."""
+    sketches = simhash._sketches
+    monkeypatch.setattr(simhash, "_sketches", lambda docs: sketches(docs).withColumn(
+        "bands", F.array(F.xxhash64("id"))))
+    words = [f"w{i * 7919 % 10007}" for i in range(4000)]
+    other = [f"v{i * 7919 % 10007}" for i in range(4000)]
+    texts = [" ".join(words), " ".join(other), " ".join(words[:-1] + ["end"]), "a b", ""]
+    sets = [simhash._shingles(t.encode()).astype(">u8") for t in texts]
+    assert (simhash._majority(sets[0]) ^ simhash._majority(sets[2])).bit_count() <= simhash.RADIUS
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = {r.id: r.component for r in simhash.near_copies(df).collect()}
+    assert found == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
