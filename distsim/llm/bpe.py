@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding with recursive DuckDB queries in every partition.
 
 A text is cut into the matches of the tokenizer's pattern. The distinct matches of a batch
-that the worker has not met before become rows (word, position, token), one for each byte.
+that the worker has not met before become rows (word, tokens), at first one token for each byte.
 A recursive query joins neighboring tokens with the merge table, contracts each word's
-leftmost pair of minimum rank, and goes on with the words that had one, until none has. Ordered
-aggregations then give each word's ids and, by the vocabulary, the bytes they decode to. A text's
-ids are those of its matches in order.
+leftmost pair of minimum rank, and goes on with the words that had one, until none has. An
+ordered aggregation then gives, by the vocabulary, the bytes that each word's ids decode to. A
+text's ids are those of its matches in order.
 
 Each task keeps the ids of what it has encoded, about twice ``CACHE_WORDS`` entries, and then
 a second generation that starts with what is still met of the first. Nothing is shuffled. The
@@ -35,41 +35,40 @@ from pyspark.sql import functions as F
 
 from .common import give_back, values
 
-CACHE_WORDS = 50_000
-QUERY_WORDS = 4_000
+CACHE_WORDS = 100_000
+QUERY_WORDS = 12_000
 LONG_BYTES = 96
-TEXTS = 2000
+TEXTS = 500
 
 # The characters with the Unicode property White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _OTHER_SPACE = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _DOUBLE = ("  ", " \n", "\n ", "\n\n")
 
-# A row is a token with its position, the next token and that one's position. Of each word,
-# ``best`` packs the pair of minimum rank, leftmost among equals: id, position, position of
-# the token that it takes in.
+# A row is a word with its tokens. Of each word, ``best`` packs the pair of minimum rank,
+# leftmost among equals: id, number of the tokens before it. A word without a pair is done.
 _ENCODE = """
-WITH RECURSIVE t(w, pos, tok, next_pos, next_tok, step) AS (
-  SELECT w, pos, tok, next_pos, next_tok, 0 FROM start
+WITH RECURSIVE t(w, toks, done) AS (
+  SELECT w, toks, false FROM start
   UNION ALL
-  SELECT x.w, x.pos, CASE WHEN x.pos = spot THEN id ELSE x.tok END,
-    CASE WHEN x.pos = spot THEN y.next_pos ELSE x.next_pos END,
-    CASE WHEN x.pos = spot THEN y.next_tok WHEN x.next_pos = spot THEN id ELSE x.next_tok END,
-    x.step + 1
-  FROM (SELECT t.*, (best >> 32)::INTEGER AS id, ((best >> 16) & 65535)::INTEGER AS spot,
-          (best & 65535)::INTEGER AS gone,
-          CASE WHEN pos = (best >> 16) & 65535 THEN next_pos END AS taken
-        FROM t JOIN (SELECT w, min((m.id::BIGINT << 32) | (pos << 16) | next_pos) AS best
-                     FROM t JOIN merges m ON m.l = tok AND m.r = next_tok GROUP BY w)
-          USING (w)) x
-  LEFT JOIN t y ON y.w = x.w AND y.pos = x.taken
-  WHERE x.pos <> gone
-)
-SELECT w, count(*) AS n, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids,
-  string_agg(chars, '' ORDER BY pos) AS chars
-FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step)
-  JOIN vocabulary USING (tok)
-GROUP BY w ORDER BY w
+  SELECT w, CASE WHEN best IS NULL THEN toks ELSE
+      toks[:best & 65535] || [(best >> 32)::INTEGER] || toks[(best & 65535) + 3:] END,
+    best IS NULL
+  FROM t LEFT JOIN (
+    SELECT w, min((m.id << 32) | k) AS best
+    FROM (SELECT w, (unnest(toks[:-2])::BIGINT << 32) | unnest(toks[2:]) AS lr,
+            unnest(range(len(toks) - 1)) AS k
+          FROM t WHERE NOT done AND len(toks) > 1) JOIN merges m USING (lr)
+    GROUP BY w) USING (w)
+  WHERE NOT done
+), ended AS MATERIALIZED (SELECT w, toks FROM t WHERE done)
+SELECT w, len(toks) AS n, array_to_string(toks, ' ') AS ids, chars
+FROM ended JOIN (
+  SELECT w, string_agg(chars, '' ORDER BY pos) AS chars
+  FROM (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM ended)
+    JOIN vocabulary USING (tok)
+  GROUP BY w) USING (w)
+ORDER BY w
 """
 
 _DECODE = """
@@ -96,11 +95,13 @@ class Encoder:
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.odd: dict[str, bytes] = {}
-        merges = [(self.ranks[b[:k]], self.ranks[b[k:]], i) for b, i in self.ranks.items()
+        # Both tokens of a merge as one number.
+        merges = [((self.ranks[b[:k]] << 32) | self.ranks[b[k:]], i)
+                  for b, i in self.ranks.items()
                   for k in range(1, len(b)) if b[:k] in self.ranks and b[k:] in self.ranks]
         # A character for each byte of a token.
         self.tables = {
-            "merges": pa.table(dict(zip("l r id".split(), np.array(merges, np.int32).T))),
+            "merges": pa.table(dict(zip(("lr", "id"), np.array(merges, np.int64).T))),
             "vocabulary": pa.table({"tok": pa.array(self.ranks.values(), pa.int32()),
                                     "chars": [b.decode("latin-1") for b in self.ranks]})}
         self._con = None
@@ -169,15 +170,10 @@ class Encoder:
                 out[k] = (" ".join(map(str, ids)), len(ids), self.decode_words([ids])[0])
         some = [k for k, x in enumerate(out) if x is None]
         if some:
-            size = np.array([len(found[k]) for k in some])
-            at = np.repeat(np.cumsum(size) - size, size)
+            ends = np.cumsum([0] + [len(found[k]) for k in some]).astype(np.int32)
             data = np.frombuffer(b"".join(found[k] for k in some), np.uint8)
-            pos, tok = (np.arange(len(data)) - at).astype(np.int32), self.first[data]
-            following = np.append(tok[1:], -1).astype(np.int32)
-            following[np.cumsum(size) - 1] = -1
-            start = pa.table({"w": np.repeat(np.arange(len(some), dtype=np.int32), size),
-                              "pos": pos, "tok": tok, "next_pos": pos + 1,
-                              "next_tok": following})
+            start = pa.table({"w": np.arange(len(some), dtype=np.int32),
+                              "toks": pa.ListArray.from_arrays(ends, self.first[data])})
             self.con.register("start", start)
             result = self.con.sql(_ENCODE).to_arrow_table()
             for k, n, ids, text in zip(some, *(result.column(c).to_pylist()
@@ -249,23 +245,20 @@ class Encoder:
     def _learned(self, texts: pa.Array) -> Iterable[list[str]]:
         """For each text its chunks, which are known then.
 
-        Texts are cut twice, so that only the different chunks of a block are held.
+        Only the chunks of a block of texts are held at once.
         """
         for at in range(0, len(texts), TEXTS):
-            block = texts.slice(at, TEXTS)
-            seen: set[str] = set()
-            for t in values(block):
-                seen.update(self.chunks(t or ""))
+            block = [self.chunks(t or "") for t in values(texts.slice(at, TEXTS))]
+            seen = set().union(*block)
             if len(self.known) + len(seen) > 2 * CACHE_WORDS:
                 self.older, self.known = self.known, {}
-            for x in [x for x in seen if x not in self.known and x in self.older]:
+            for x in seen.difference(self.known).intersection(self.older):
                 self.known[x] = self.older[x]
             seen.difference_update(self.known)
             if seen:
                 self.learn(seen)
             del seen
-            for t in values(block):
-                yield self.chunks(t or "")
+            yield from block
 
     def _bytes(self, chunk: str) -> bytes:
         return self.odd[chunk] if chunk in self.odd else chunk.encode()
