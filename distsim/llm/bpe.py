@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import give_back, values
 
-CACHE_WORDS = 100_000
+CACHE_WORDS = 120_000
 QUERY_WORDS = 12_000
 LONG_BYTES = 96
 TEXTS = 500
@@ -337,9 +337,8 @@ def token_digest(text: Column, path: str, pattern: str) -> Column:
                      pa.array(decoded, pa.string())],
                     ["n_tokens", "ids_sha256", "decoded_sha256"])
         finally:
+            # The vocabulary stays for the worker's next task.
             coder.forget()
-            coder = None
-            _encoders.pop((path, pattern), None)
             give_back()
 
     return run(text)
