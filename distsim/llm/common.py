@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship  # noqa: F401
+
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 # Tables of at most this many rows, counted first, may be broadcast.
@@ -42,27 +41,6 @@ def in_fold(doc_id: Column, folds: int, number: int) -> Column:
     return F.coalesce(fold(doc_id, folds) == number, F.lit(False))
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Give this package's code to the Python workers, once per application.
-
-    Functions that run in tasks are found by name there. An application that is submitted
-    with the package (``--py-files``) or has it installed everywhere need not call this.
-    """
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for file in sorted(package.rglob("*.py")):
-                out.write(file, file.relative_to(package.parent))
-        context.addPyFile(str(archive))
-        _shipped.add(context.applicationId)
-    return spark
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share.
 
