@@ -6,6 +6,7 @@ from test_similarity import check, frame, vectors
 
 import distsim as ds
 from distsim.operators import packed
+from distsim.operators.similarity import packed_totals
 
 
 @pytest.mark.parametrize("sim_min", [0.05, 0.3, 1.0])
@@ -75,3 +76,54 @@ def test_no_rows_of_pairs_in_the_plan(spark):
     for wrong in ({"prune": True}, {"rare": 5}, {"words": "t01", "words_plan": "cells"}):
         with pytest.raises(ValueError):
             ds.similarity(df, sim_min=0.2, packed=True, **wrong)
+
+
+@pytest.mark.parametrize("sim_min", [0.05, 0.3, 0.7, 0.95, 1.0])
+@pytest.mark.parametrize("plan", [{"packed": "pruned"}, {"packed": "hybrid", "rare": 0},
+                                  {"packed": "hybrid", "rare": 4}, {"packed": "hybrid"}])
+def test_pruned_and_hybrid_against_brute_force(monkeypatch, spark, plan, sim_min):
+    data = vectors(26) + [(f"r{i}", f"only{i // 2}", 1 + i % 3) for i in range(20)]
+    expected = {p: m for p, m in all_measures(data).items() if m["cosine"] >= sim_min}
+    monkeypatch.setattr(packed, "PART", 5)
+    monkeypatch.setattr(packed, "ROWS", 50)
+    check(ds.similarity(frame(spark, data), sim_min=sim_min, distances=True, partitions=3, blocks=4,
+                        **plan), expected)
+
+
+def test_pruned_multiplies_fewer_entries_and_looks_up_the_rest(spark):
+    data = [(f"t{i:02d}", "hot", 5) for i in range(30)]
+    data += [(f"t{i:02d}", f"rare{i // 2}", 20) for i in range(30)]
+    expected = {p: m for p, m in all_measures(data).items() if m["cosine"] >= 0.9}
+    assert len(expected) == 15
+    result = ds.similarity(frame(spark, data), sim_min=0.9, distances=True, packed="pruned")
+    check(result, expected)
+    assert "a_target" not in result._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hybrid_copies_rare_entries_only_where_they_meet(spark):
+    data = [(f"r{i}", f"only{i // 2}", 1 + i % 3) for i in range(200)]
+    data += [(f"s{i}", f"alone{i}", 1) for i in range(50)]
+    entries = frame(spark, data)
+    totals = packed_totals(entries, False, "integer")
+    cells = packed.packed_cells(entries, totals, 20, 4, 5)
+    copies = cells.selectExpr("sum(size(contexts)) AS n").first().n
+    assert 200 <= copies <= 400
+    everywhere = packed.packed_cells(entries, totals, 20, 4)
+    assert everywhere.selectExpr("sum(size(contexts)) AS n").first().n == 250 * 20
+
+
+def test_pairs_are_counted_once(spark):
+    """All branches of the pruned and the hybrid plan read one shuffle of the entries."""
+    df = frame(spark, vectors(27)).repartition(3, "target")
+    for plan in ("pruned", "hybrid"):
+        result = ds.similarity(df, sim_min=0.2, distances=True, packed=plan)
+        text = result._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Scan ExistingRDD") >= 1
+        result.collect()
+        final = result._jdf.queryExecution().executedPlan().toString()
+        final = final[: final.index("== Initial Plan ==")]
+        assert final.count("Scan ExistingRDD") == 1
+    for wrong in ({"packed": "hybrid", "words": "t01"}, {"packed": "other"},
+                  {"packed": "pruned", "rare": 3}):
+        with pytest.raises(ValueError):
+            ds.similarity(df, sim_min=0.2, **wrong)
