@@ -137,23 +137,55 @@ def _edges(span: str, at: int) -> Iterable[tuple[str, float]]:
         yield "", COST_DROP
 
 
+# What characters may emit, kept as (emitted, cost, letter number or None).
+_choices: dict[tuple[str, bool], tuple[tuple[str, float, int | None], ...]] = {}
+# The model last used and its numbers in a list, which single reads are quicker from.
+_costs: tuple[np.ndarray | None, list[float]] = (None, [])
+
+
+def _chosen(span: str, at: int) -> tuple[tuple[str, float, int | None], ...]:
+    key = (span[at], at > 0 and span[at - 1] == span[at])
+    found = _choices.get(key)
+    if found is None:
+        if len(_choices) > MEMORY:
+            _choices.clear()
+        found = _choices[key] = tuple(
+            (e, cost, _base(e) if e else None) for e, cost in _edges(span, at))
+    return found
+
+
 def decode(span: str, model: np.ndarray) -> list[str]:
     """Words on the best path through the lattice of a lower-cased span."""
-    # A state is the last two letters; it keeps its cost and its text.
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    global _costs
+    if _costs[0] is not model:
+        _costs = (model, model.ravel().tolist())
+    costs = _costs[1]
+    # A state is the last two letters, as one number; it keeps its cost and its text.
+    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
     for at in range(len(span)):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for emitted, cost in _edges(span, at):
-            letter = _base(emitted) if emitted else None
-            for (a, b), (total, text) in states.items():
+        chosen = _chosen(span, at)
+        if len(chosen) == 1:
+            (emitted, cost, letter), = chosen
+            if letter is None:
+                # The same states, each at the same cost more.
+                states = {k: (total + cost, text) for k, (total, text) in states.items()}
+                continue
+            if len(states) == 1:
+                (k, (total, text)), = states.items()
+                states = {k % 28 * 28 + letter: (
+                    total + cost + costs[k * 28 + letter], text + emitted)}
+                continue
+        new: dict[int, tuple[float, str]] = {}
+        for emitted, cost, letter in chosen:
+            for k, (total, text) in states.items():
                 if letter is None:
-                    key, value = (a, b), total + cost
+                    key, value = k, total + cost
                 else:
-                    key, value = (b, letter), total + cost + model[a, b, letter]
+                    key, value = k % 28 * 28 + letter, total + cost + costs[k * 28 + letter]
                 if key not in new or value < new[key][0]:
                     new[key] = (value, text + emitted)
         states = new
-    best = min((total + model[a, b, 0], text) for (a, b), (total, text) in states.items())
+    best = min((total + costs[k * 28], text) for k, (total, text) in states.items())
     return best[1].split()
 
 
@@ -188,6 +220,12 @@ def word_features(word: str) -> list[str]:
     return [word] + [word[:n] + "~" for n in PREFIXES if len(word) > n]
 
 
+def _listed(word: str, lexicon: dict[str, float]) -> bool:
+    """Whether a feature of the word is in the lexicon."""
+    return word in lexicon or any(
+        len(word) > n and word[:n] + "~" in lexicon for n in PREFIXES)
+
+
 def document_words(text: str | None, model: np.ndarray, memory: dict) -> set[str]:
     """Distinct restored words of a text; ``memory`` keeps what tokens restore to."""
     if not text:
@@ -340,7 +378,7 @@ def toxic_score(text: Column, model: Model) -> Column:
             words = document_words(text, model.letters, memory)
             new = [w for w in words if w not in hit]
             for w in new:
-                hit[w] = any(f in model.lexicon for f in word_features(w))
+                hit[w] = _listed(w, model.lexicon)
             out.append(model.score(model.evidence([w for w in words if hit[w]])))
             if len(hit) > MEMORY:
                 hit.clear()

@@ -199,3 +199,20 @@ def test_lexicon_and_scores_equal_brute_force(spark):
         assert found[k].score == pytest.approx(score, abs=1e-9)
         assert found[k].predicted == int(found[k].score >= 0.5)
         assert found[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0)
+
+
+def test_a_decoded_span_depends_on_the_model_and_the_letter_before_alone(letters):
+    """Choices of characters and numbers of a model are kept between calls."""
+    other = letters[::-1].copy()
+    spans = ["aa", "ba", "iddiot", "1d10t", "i d i o t", "\u00e9\u00e9", "", "--", "l0$er 5he"]
+    first = [toxicity.decode(s, letters) for s in spans]
+    turned = [toxicity.decode(s, other) for s in spans]
+    assert first == [toxicity.decode(s, letters.copy()) for s in reversed(spans)][::-1]
+    assert turned == [toxicity.decode(s, other.copy()) for s in spans]
+
+
+def test_listed_words_are_those_with_a_feature_in_the_lexicon():
+    lexicon = {"moron": 3.0, "idio~": 3.0, "stup~": 3.0, "worthl~": 2.6}
+    for word in ("moron", "morons", "idio", "idiot", "stupid", "stup", "worthless", "worth", ""):
+        assert toxicity._listed(word, lexicon) == any(
+            f in lexicon for f in toxicity.word_features(word))
