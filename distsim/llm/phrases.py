@@ -103,6 +103,17 @@ class Permutation:
         return lanes
 
 
+def _planes(numbers: np.ndarray, width: int = 4) -> bytes:
+    """Numbers below 256 ** ``width`` as one value: all first bytes, all second bytes, and so on."""
+    planes = numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return _packed(np.ascontiguousarray(planes).reshape(-1))
+
+
+def _of_planes(blob: bytes, width: int = 4) -> np.ndarray:
+    planes = _unpacked(blob, np.uint8)[0].reshape(width, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}")
+
+
 def _sorted(columns: list[np.ndarray]) -> np.ndarray:
     if len(columns) == 1:
         return np.argsort(columns[0], kind="stable")
@@ -159,15 +170,15 @@ class QuotientFilter:
         for k, column in enumerate([low, *self.columns[1:]]):
             used = -(-max(permutation.width(k) - (q if k == 0 else 0), 0) // 8)
             full.append(column.astype(">u8").view(np.uint8).reshape(n, 8)[:, :used])
-        return [np.array([n, q], np.int64).tobytes(), _packed(runs.astype(np.uint32)),
+        return [np.array([n, q], np.int64).tobytes(), _planes(runs),
                 np.ascontiguousarray(np.concatenate(full, axis=1)).tobytes(),
-                _packed(self.counts)]
+                _planes(self.counts, 8)]
 
     @classmethod
     def decode(cls, parts: list[bytes], permutation: Permutation, lead: int, head: int
                ) -> QuotientFilter:
         n, q = np.frombuffer(parts[0], np.int64).tolist()
-        runs = _unpacked(parts[1], np.uint32)[0]
+        runs = _of_planes(parts[1])
         quotient = np.repeat(np.arange(len(runs), dtype=np.uint64), runs)
         quotient |= np.uint64(head << (q - lead))
         used = [-(-max(permutation.width(k) - (q if k == 0 else 0), 0) // 8)
@@ -182,7 +193,7 @@ class QuotientFilter:
         columns[0] >>= np.uint64(q)
         if q:
             columns[0] |= quotient << np.uint64(64 - q)
-        return cls(columns, _unpacked(parts[3], np.int64)[0])
+        return cls(columns, _of_planes(parts[3], 8).astype(np.int64))
 
 
 def merged(filters: list[QuotientFilter]) -> QuotientFilter:
@@ -229,17 +240,6 @@ class _Numbers(dict):
         return n
 
 
-def _packed_tokens(tokens: np.ndarray) -> bytes:
-    """Numbers of words as one value: all first bytes, all second bytes, and so on."""
-    planes = tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return _packed(np.ascontiguousarray(planes).reshape(-1))
-
-
-def _unpacked_tokens(blob: bytes) -> np.ndarray:
-    planes = _unpacked(blob, np.uint8)[0].reshape(4, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
-
-
 def _stream(tokens: np.ndarray, least: int) -> list[bytes]:
     """[tokens, words]: runs of ``least`` words or more, as places in a list of words.
 
@@ -264,25 +264,36 @@ def _stream(tokens: np.ndarray, least: int) -> list[bytes]:
     rank[order] = np.arange(1, len(order) + 1)
     out = np.zeros(len(kept), np.uint32)
     out[at] = rank[place]
-    return [_packed_tokens(out), _packed(words[order].astype(np.uint32))]
+    return [_planes(out), _planes(words[order])]
 
 
 def _tokens(stream: list[bytes]) -> np.ndarray:
-    words = np.append(np.uint32(0), _unpacked(stream[1], np.uint32)[0])
-    return words[_unpacked_tokens(stream[0])]
+    words = np.append(np.uint32(0), _of_planes(stream[1]))
+    return words[_of_planes(stream[0])]
 
 
 def _packed_words(words: list[bytes], counts: np.ndarray, number: np.ndarray) -> list[bytes]:
-    """Words with their counts and numbers in a shard as two values."""
+    """Words with their counts and rising numbers in a shard as four values."""
     size = np.fromiter(map(len, words), np.uint32, len(words))
-    return [_packed(size, counts.astype(np.int64), number.astype(np.uint32)),
+    return [_planes(size), _planes(counts, 8), _planes(np.diff(number, prepend=0)),
             squeeze(b"".join(words))]
 
 
 def _unpacked_words(parts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    size, counts, number = _unpacked(parts[0], np.uint32, np.int64, np.uint32)
-    text, ends = loosen(parts[1]), np.cumsum(size, dtype=np.int64).tolist()
-    return [text[a:b] for a, b in zip([0, *ends], ends)], counts, number
+    size, counts, steps = _of_planes(parts[0]), _of_planes(parts[1], 8), _of_planes(parts[2])
+    text, ends = loosen(parts[3]), np.cumsum(size, dtype=np.int64).tolist()
+    number = np.cumsum(steps, dtype=np.int64).astype(np.uint32)
+    return [text[a:b] for a, b in zip([0, *ends], ends)], counts.astype(np.int64), number
+
+
+def _packed_known(at: np.ndarray, ids: np.ndarray) -> bytes:
+    """Rising numbers of words in a shard, and their numbers in the vocabulary."""
+    return _planes(np.concatenate([np.diff(at.astype(np.int64), prepend=0), ids]))
+
+
+def _unpacked_known(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, ids = np.split(_of_planes(blob), 2)
+    return np.cumsum(steps, dtype=np.int64), ids
 
 
 _SHARD = "shard string, lang string, tokens binary, total long, bucket long, words array<binary>"
@@ -307,7 +318,7 @@ def _shards(docs: DataFrame, buckets: int) -> DataFrame:
             n = len(found)
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard] * (n + 1)), pa.array([lang] * (n + 1)),
-                 pa.array([_packed_tokens(tokens), *[None] * n], pa.binary()),
+                 pa.array([_planes(tokens), *[None] * n], pa.binary()),
                  pa.array([int(counts[1:].sum()), *[None] * n], pa.int64()),
                  pa.array([None, *(int(which[part[0]]) for part in found)], pa.int64()),
                  pa.array([None, *(_packed_words(words[part].tolist(), counts[part], part)
@@ -358,7 +369,7 @@ def _vocabulary(shards: DataFrame, buckets: int, least: int) -> tuple[DataFrame,
             hit = new > 0
             if hit.any():
                 told.append(shard)
-                blobs.append(_packed(at[hit], new[hit]))
+                blobs.append(_packed_known(at[hit], new[hit]))
         n, m = len(some), len(told)
         return pa.table({
             "lang": pa.array([k[0] for k in some] + [None] * m, pa.string()),
@@ -379,10 +390,10 @@ def _vocabulary(shards: DataFrame, buckets: int, least: int) -> tuple[DataFrame,
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
-                tokens = _unpacked_tokens(batch.column("tokens")[k].as_py())
+                tokens = _of_planes(batch.column("tokens")[k].as_py())
                 new = np.zeros(int(tokens.max(initial=0)) + 1, np.uint32)
                 for blob in batch.column("known")[k].as_py():
-                    at, ids = _unpacked(blob, np.uint32, np.uint32)
+                    at, ids = _unpacked_known(blob)
                     new[at] = ids
                 out.append(_stream(new[tokens], 2))
             yield pa.RecordBatch.from_arrays(

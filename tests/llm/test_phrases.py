@@ -130,3 +130,24 @@ def test_no_phrases(spark):
     one = spark.createDataFrame([(1, "w " * 300, "en")], DOC)
     found = [tuple(r) for r in phrases.phrases(one).collect()]
     assert found == expected([(1, "w " * 300, "en")], 100)
+
+
+def test_planes_give_numbers_back_and_take_little_room():
+    rng = np.random.default_rng(5)
+    runs = rng.poisson(1.5, 50_000)
+    assert (phrases._of_planes(phrases._planes(runs)) == runs).all()
+    # Less than two thirds of what numbers of four bytes take.
+    assert len(phrases._planes(runs)) < 0.66 * len(phrases._packed(runs.astype(np.uint32)))
+    wide = np.array([0, 255, 256, 2 ** 40, 2 ** 63 - 1], np.int64)
+    assert (phrases._of_planes(phrases._planes(wide, 8), 8).astype(np.int64) == wide).all()
+    assert len(phrases._of_planes(phrases._planes(np.zeros(0, np.int64)))) == 0
+
+
+def test_words_of_a_shard_come_back():
+    words = [b"the", "\u00e9t\u00e9".encode(), b"x" * 300, b"of"]
+    counts, number = np.array([2 ** 33, 1, 7, 300]), np.array([1, 2, 70_000, 2 ** 32 - 1])
+    found = phrases._unpacked_words(phrases._packed_words(words, counts, number))
+    assert found[0] == words
+    assert found[1].tolist() == counts.tolist() and found[2].tolist() == number.tolist()
+    at, ids = phrases._unpacked_known(phrases._packed_known(number, np.uint32([5, 2 ** 32 - 1, 1, 9])))
+    assert at.tolist() == number.tolist() and ids.tolist() == [5, 2 ** 32 - 1, 1, 9]
