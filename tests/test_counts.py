@@ -70,6 +70,15 @@ def test_corpus_is_scanned_into_one_shuffle(spark, folder):
     assert final.count("ReusedExchange") == 2
 
 
+def test_vocabularies_are_hashed_from_one_shuffle(spark, folder):
+    ds.write_stage(lines(spark, CORPUS * 50), folder + "/in_hashed")
+    df = ds.pair_counts(ds.bigram_pairs(spark.read.parquet(folder + "/in_hashed")), 5, 2)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in final and final.count("ShuffledHashJoin") == 2
+    assert final.count("ReusedExchange [word") == 1
+
+
 def test_golden_profiles(counted):
     found = {(r.target, r.context): r.asDict() for r in ds.assoc_profiles(counted).collect()}
     assert len(found) == 12

@@ -118,3 +118,21 @@ def test_lines_of_documents_dealt_anew(spark):
     dealt = ds.corpus_lines(df, partitions=3)
     assert sorted(r.line for r in dealt.collect()) == plain == ["", "a", "b", "c"]
     assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cleaning_looks_no_character_up(spark):
+    df = spark.createDataFrame(
+        [("a\\b]c [d] (e)  f - g~",), ("   x   ",), ("~~ ~~",), ("",), ("\u00e9\U0001f600. a",), (None,)],
+        "line string")
+    cleaned = df.select(ds.clean_line("line").alias("c"))
+    assert [r.c for r in cleaned.collect()] == [
+        "ab]c [d] e f g", " x ", " ", "", "\u00e9\U0001f600 a", None]
+    assert "translate" not in cleaned._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_special_character_is_removed(spark):
+    from distsim.functions.text import SPECIAL_CHARACTERS
+
+    df = spark.createDataFrame([(c, f"a{c}b") for c in map(chr, range(33, 127))], "c string, line string")
+    for r in df.select("c", ds.clean_line("line").alias("cleaned")).collect():
+        assert r.cleaned == ("ab" if r.c in SPECIAL_CHARACTERS else f"a{r.c}b"), r.c
