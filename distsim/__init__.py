@@ -26,6 +26,7 @@ from .operators.ngrams import (
     ngrams,
     parse_pairs,
     trigram_counts,
+    trigrams_of,
     word_frequencies,
 )
 from .operators.profiles import (

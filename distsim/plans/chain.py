@@ -83,7 +83,7 @@ def build_thesaurus(
 def evaluate_thesaurus(
     thesaurus: DataFrame,
     frequencies: DataFrame,
-    trigrams: DataFrame,
+    trigrams: DataFrame | Callable[[DataFrame], DataFrame],
     sentences: DataFrame,
     words: str | Sequence[str] | DataFrame,
     synonyms: int = 10,
@@ -96,9 +96,13 @@ def evaluate_thesaurus(
     """Rank substitutes for each word from similarity, frequency and sentence context.
 
     ``words`` may be a DataFrame with a column ``target``, then with ``strict_context``.
+    ``trigrams`` may be a function that gets the neighbors as a column ``word`` and returns
+    their trigrams, such as one that calls :func:`~distsim.operators.ngrams.trigrams_of`.
     """
     reduced = thes.reduced_thesaurus(thesaurus, words, thesaurus_size)
     reduced = steps("reduced_thesaurus", thes.shared_neighbors(reduced))
+    if callable(trigrams):
+        trigrams = trigrams(reduced.select(F.col("neighbor").alias("word")))
     neighbors = steps("neighbor_frequencies", thes.neighbor_frequencies(reduced, frequencies))
     contexts = thes.sentence_contexts(sentences, words, strict_context)
     matches = steps(

@@ -136,3 +136,17 @@ def test_every_special_character_is_removed(spark):
     df = spark.createDataFrame([(c, f"a{c}b") for c in map(chr, range(33, 127))], "c string, line string")
     for r in df.select("c", ds.clean_line("line").alias("cleaned")).collect():
         assert r.cleaned == ("ab" if r.c in SPECIAL_CHARACTERS else f"a{r.c}b"), r.c
+
+
+def test_trigrams_of_words_are_those_read_from_text(spark):
+    lines = spark.createDataFrame(
+        [("The cat, sat on the cat sat",), ("the CAT sat the cat sat",), (" cat sat on",), ("cat",), ("",)],
+        "line string")
+    words = spark.createDataFrame([("cat",), ("cat",), ("CAT",), ("dog",)], "word string")
+    whole = ds.read_trigrams_text(ds.render_ngram_counts(ds.ngram_counts(lines, 3, clean=True)))
+    expected = sorted(tuple(r) for r in whole.where("w = 'cat'").collect())
+    found = ds.trigrams_of(lines, words)
+    assert sorted(tuple(r) for r in found.collect()) == expected
+    assert [r for r in expected if r[0] == "the"] == [("the", "cat", "sat", n) for n in (1, 1, 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate(keys=[w1") < plan.index("BroadcastHashJoin")
