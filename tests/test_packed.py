@@ -127,3 +127,30 @@ def test_pairs_are_counted_once(spark):
                   {"packed": "pruned", "rare": 3}):
         with pytest.raises(ValueError):
             ds.similarity(df, sim_min=0.2, **wrong)
+
+
+@pytest.mark.parametrize("rare", [None, 3])
+def test_an_entry_is_shuffled_once_for_all_cells(spark, rare):
+    """A block is packed once, and all cells read that; no entry is copied to a cell."""
+    data = [(f"t{i % 40:02d}", f"c{i}", 1) for i in range(80)] + [
+        (f"t{i:02d}", "hot", 2) for i in range(40)]
+    entries = frame(spark, data)
+    cells = packed.block_pairs(entries, packed_totals(entries, False, "integer"), 5, rare)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan
+    held = {}
+    for row in cells.collect():
+        assert row.i <= row.j
+        for block, side in ((row.i, "x"), (row.j, "y")):
+            tables = [bytes(row[f"{side}_{t}"]) for t in packed.TABLES]
+            assert held.setdefault(block, tables) == tables
+    many = [packed.pa.ipc.open_stream(tables[2]).read_all().num_rows for tables in held.values()]
+    assert sum(many) == (120 if rare is None else 40)
+    whole = ds.similarity(entries, sim_min=0.2, packed=True if rare is None else "hybrid")
+    assert "explode" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weights_are_stored_as_they_are():
+    for values in ([1.0, 2.0], [2.0**31, 3.0], [1.5, 2.0], []):
+        assert packed._small(np.array(values)).astype(float).tolist() == values
+    assert packed._small(np.array([1.0, 2.0])).dtype == np.int32
