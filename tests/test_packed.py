@@ -154,3 +154,22 @@ def test_weights_are_stored_as_they_are():
     for values in ([1.0, 2.0], [2.0**31, 3.0], [1.5, 2.0], []):
         assert packed._small(np.array(values)).astype(float).tolist() == values
     assert packed._small(np.array([1.0, 2.0])).dtype == np.int32
+
+
+def test_neighbors_travel_packed_and_are_ranked_in_parts(monkeypatch, spark):
+    """One row for each block of a cell, and no window over rows of neighbors."""
+    df = frame(spark, [(f"t{i:02d}", "c", 1 + i % 2) for i in range(40)] + vectors(28))
+    result = ds.nearest_neighbors(df, 4, blocks=3, packed=True)
+    assert "Window" not in result._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(result) == ranked(df, 4, 0.2)
+    first = [packed.pa.table({
+        "target": packed._coded(packed.pa.array(["a", "b", "ä", "z"]), np.array(t)),
+        "neighbor": packed._coded(packed.pa.array(["a", "b", "ä", "z"]), np.array(n)),
+        "cosine": np.array(c, np.int32)}) for t, n, c in (
+            ([0, 0, 3], [3, 2, 1], [5, 5, 9]), ([0, 0], [1, 0], [5, 4]), ([3], [0], [9]))]
+    whole = packed._first(first, 2).to_pylist()
+    parts = packed._first([packed._first(first[:2], 2), first[2]], 2).to_pylist()
+    assert whole == parts == [
+        {"target": t, "neighbor": n, "cosine": c}
+        for t, n, c in (("a", "b", 5), ("a", "z", 5), ("z", "a", 9), ("z", "b", 9))]
+    assert packed._first(first, 2)["neighbor"].combine_chunks().dictionary.to_pylist() == ["a", "b", "z"]
